@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif
+from . import bpe, gif, packing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +22,14 @@ def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed into sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_bpe_trie": op2_bpe_trie,
     "op7_gif_media": op7_gif_media,
+    "op8_best_two_fit": op8_best_two_fit,
 }
 ORACLE: dict[str, str] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, packing
+from . import bpe, gif, packing, rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,9 +27,15 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether rules and log-likelihood ratio keep it."""
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_bpe_trie": op2_bpe_trie,
     "op7_gif_media": op7_gif_media,
     "op8_best_two_fit": op8_best_two_fit,
+    "op9_quality_rules": op9_quality_rules,
 }
 ORACLE: dict[str, str] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, packing, rules
+from . import bpe, chat, gif, packing, rules, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,10 +32,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, fitting rule and verdict of every page's URL."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, formatted and read back."""
+    text = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat.digest(table(spark, sf_dir, "conversations").select(added.columns).unionByName(added))
+
+
 QUERIES: dict[str, Query] = {
     "op2_bpe_trie": op2_bpe_trie,
+    "op6_url_markov": op6_url_markov,
     "op7_gif_media": op7_gif_media,
     "op8_best_two_fit": op8_best_two_fit,
     "op9_quality_rules": op9_quality_rules,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLE: dict[str, str] = {}

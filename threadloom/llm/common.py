@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker handles at a time; a longer single text is a slice of its own.
 SLICE_CHARS = 1 << 20
@@ -48,3 +49,24 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], columns: list[str], held_fold: bool = True):
+    """At most most[c] labelled documents of each class c, in the order of a hash, as a pandas frame, and the classes' full counts.
+
+    Rows whose crc32(doc_id as text) mod 5 is 0 are left out if held_fold is set. A document with several labels has the
+    greatest; one with several rows gives the least text. Only the sampled ids are sent to the tasks.
+    """
+    own = labels.filter(F.col(label).isin(list(most)) & F.col("doc_id").isNotNull())
+    if held_fold:
+        own = own.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
+    own = own.groupBy("doc_id").agg(F.max(label).alias("_label"))
+    counts = {r["_label"]: r["n"] for r in own.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    ids = None
+    for c, n in most.items():
+        part = own.filter(F.col("_label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        ids = part if ids is None else ids.unionByName(part)
+    found = docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id")
+    rest = [c for c in columns if c != "text"]
+    one = found.groupBy("doc_id", "_label").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), *rest)).alias("_row"))
+    return one.select("doc_id", "_label", "_row.*").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas(), counts

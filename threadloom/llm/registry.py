@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, gif, packing, rules, urls
+from . import bpe, chat, gif, packing, rules, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +44,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(table(spark, sf_dir, "conversations").select(added.columns).unionByName(added))
 
 
+def op3_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_bpe_trie": op2_bpe_trie,
+    "op3_toxicity_gru": op3_toxicity_gru,
     "op6_url_markov": op6_url_markov,
     "op7_gif_media": op7_gif_media,
     "op8_best_two_fit": op8_best_two_fit,

@@ -3,7 +3,7 @@
 A word's input is its own hashed embedding beside the mean of its hashed letter trigrams' embeddings. Overlapping windows of
 words run through the network in both directions; attention pools the states, and a window's logit comes of the pooled state.
 A document's logit is its highest window's. In training the windows of a document share its label softly, by their logits;
-calibration on documents apart turns a document's logit into a probability. All windows of whole texts are scored.
+documents apart give the logit that parts the kinds with the fewest errors, which becomes the score 0.5. All windows of whole texts are scored.
 
 The training sample is bounded: MAX_TOXIC and MAX_CLEAN labelled documents, none of the held-out fifth. Its documents go to
 the driver, and the trained network, of fixed size, to the tasks. Labels, language, source and number are never inputs.
@@ -182,10 +182,10 @@ def evidence(rows: list[set[int]], labels: np.ndarray, size: int) -> tuple[np.nd
 
 
 class Scorer:
-    """A trained network with its calibration."""
+    """A trained network with the logit that parts the kinds."""
 
-    def __init__(self, network: Network | None, slope: float = 1.0, shift: float = 0.0):
-        self.network, self.slope, self.shift = network, slope, shift
+    def __init__(self, network: Network | None, least: float = 0.0):
+        self.network, self.least = network, least
         self.numbers: dict[str, int] = {}
         self.gates = np.zeros((0, 6 * HIDDEN), np.float32)
 
@@ -214,10 +214,10 @@ class Scorer:
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.network is None or not texts:
             return np.zeros(len(texts))
-        return sigmoid(np.clip(self.slope * self.logits(texts) + self.shift, -30, 30))
+        return sigmoid(np.clip(self.logits(texts) - self.least, -30, 30))
 
     def __getstate__(self):
-        return {"network": self.network, "slope": self.slope, "shift": self.shift, "numbers": {}, "gates": self.gates[:0]}
+        return {"network": self.network, "least": self.least, "numbers": {}, "gates": self.gates[:0]}
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Network:
@@ -267,19 +267,16 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Network:
     return network
 
 
-def platt(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic fit, targets drawn in a little; Newton steps with a small ridge."""
-    n1, n0 = float((labels == 1).sum()), float((labels == 0).sum())
-    target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([logits, np.ones_like(logits)], axis=1)
-    at = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = sigmoid(np.clip(x @ at, -30, 30))
-        slope = x.T @ (weights * (p - target)) + 1e-3 * (at - [1.0, 0.0])
-        curve = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        move = np.linalg.solve(curve, slope)
-        at = at - move * min(1.0, 2.0 / max(1e-9, np.abs(move).max()))
-    return float(max(at[0], 0.05)), float(at[1])
+def bound(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    """The logit that parts the kinds with the least weight of errors; in the middle of the widest gap if several do."""
+    order = np.argsort(logits, kind="stable")
+    x, toxic = logits[order], labels[order] == 1
+    w = weights[order]
+    errors = np.concatenate([[0.0], np.cumsum(np.where(toxic, w, 0))]) + np.concatenate([np.cumsum(np.where(toxic, 0, w)[::-1])[::-1], [0.0]])
+    gaps = np.diff(np.concatenate([[x[0] - 2], x, [x[-1] + 2]]))
+    best = np.flatnonzero((errors <= errors.min() + 1e-9) & (gaps > 0))
+    k = best[np.argmax(gaps[best])]
+    return float(np.concatenate([[x[0] - 2], x])[k] + gaps[k] / 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Scorer:
@@ -297,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     found = Scorer(network).logits([t for t, c in zip(texts, check) if c])
     own = kind[check]
     weights = np.where(own == 1, counts.get(1, 1) / max(1, (kind == 1).sum()), counts.get(0, 1) / max(1, (kind == 0).sum()))
-    return Scorer(network, *platt(found, own, weights / weights.mean()))
+    return Scorer(network, bound(found, own, weights))
 
 
 def score(text: Column, scorer: Scorer) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, gif, packing, rules, toxicity, urls
+from . import bpe, chat, gif, packing, pii, quality, rules, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,9 +49,21 @@ def op3_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_pii_boosting": op1_pii_boosting,
     "op2_bpe_trie": op2_bpe_trie,
     "op3_toxicity_gru": op3_toxicity_gru,
+    "op4_quality_cotraining": op4_quality_cotraining,
     "op6_url_markov": op6_url_markov,
     "op7_gif_media": op7_gif_media,
     "op8_best_two_fit": op8_best_two_fit,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, gif, packing, pii, quality, rules, toxicity, urls
+from . import bpe, chat, gif, jaccard, packing, pii, quality, rules, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,11 +59,17 @@ def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document, and its number of links."""
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii_boosting": op1_pii_boosting,
     "op2_bpe_trie": op2_bpe_trie,
     "op3_toxicity_gru": op3_toxicity_gru,
     "op4_quality_cotraining": op4_quality_cotraining,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_url_markov": op6_url_markov,
     "op7_gif_media": op7_gif_media,
     "op8_best_two_fit": op8_best_two_fit,

@@ -17,15 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no earlier stage.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary folder is taken.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the session's spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary one is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no earlier stage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -1,0 +1,57 @@
+"""Secrets in texts: findings by rule, decisions by hash, and redaction that fails closed."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import patterns as P
+from .text import entropy
+
+TOKEN = r"\b[A-Za-z0-9+/_=-]{32,4096}\b"
+
+
+def found_by_rules(text: Column) -> Column:
+    """An array of (rule, severity, match) for every match of every rule."""
+    def named(rule: str, severity: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), m.alias("match")))
+
+    return F.concat(*(named(*rule) for rule in P.SECRETS))
+
+
+def high_entropy(text: Column) -> Column:
+    """Tokens of two kinds of letters at least that look random, as findings; hex and version numbers are left to the rules."""
+    tokens = F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike(r"^[0-9a-fA-F]+$") & ~t.rlike(r"^[0-9]+[.0-9-]*$") & ((t.rlike("[A-Z]").cast("int") + t.rlike("[a-z]").cast("int") + t.rlike("[0-9]").cast("int")) >= 2) & (entropy(t) >= 4.4))
+    return F.transform(tokens, lambda t: F.struct(F.lit("high-entropy-token").alias("rule"), F.lit("medium").alias("severity"), t.alias("match")))
+
+
+def findings(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """One row for each finding: key, rule, severity, match and match_sha256. The secret's hash is what other tables should keep."""
+    each = rows.select(key, F.explode(F.concat(found_by_rules(F.col(text)), high_entropy(F.col(text)))).alias("f"))
+    return each.select(key, "f.*", F.sha2("f.match", 256).alias("match_sha256"))
+
+
+def decisions(found: DataFrame) -> DataFrame:
+    """One row for each distinct match: how often it was found, and what becomes of it. Soft findings never block and are kept."""
+    worst = F.min(F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2))
+    by_match = found.groupBy("match_sha256").agg(F.count("*").alias("n"), worst.alias("_worst"), F.min_by("rule", F.struct(F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2), "rule")).alias("rule"))
+    return by_match.select("match_sha256", "n", "rule", F.when(F.col("_worst") < 2, "redact").otherwise("keep").alias("action"))
+
+
+def redacted(text: Column, rules: tuple[str, ...] | None = None) -> Column:
+    """The text with every match of the high and medium rules (or the named ones) masked by its rule's name."""
+    out = text
+    for rule, severity, pattern in P.SECRETS:
+        if rule in rules if rules is not None else severity != "soft":
+            out = F.regexp_replace(out, pattern, f"[REDACTED:{rule}]")
+    return out
+
+
+def leaks(text: Column) -> Column:
+    """Whether a rendered text still has a finding that blocks: the gate before anything is written."""
+    return F.exists(found_by_rules(text), lambda f: f["severity"] != "soft")
+
+
+def assert_clean(rows: DataFrame, text: str) -> DataFrame:
+    """The rows as they are; the job fails at a row that would leak."""
+    return rows.withColumn(text, F.when(F.coalesce(leaks(F.col(text)), F.lit(False)), F.raise_error(F.lit("a secret would leak"))).otherwise(F.col(text)))

@@ -1,0 +1,47 @@
+"""References to files and packages that don't exist: anti-joins against what the working tree holds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Extensions that make a word a file name.
+EXTENSIONS = ("js", "ts", "jsx", "tsx", "mjs", "cjs", "py", "rs", "go", "rb", "java", "json", "md", "yml", "yaml", "toml", "sql", "sh", "css", "html", "txt", "env", "lock", "cfg", "ini")
+
+
+def file_references(turns: DataFrame, text: str = "text") -> DataFrame:
+    """tree, ref and first_ord: the distinct file names of each tree's texts, by first mention; turns has tree and ord."""
+    pattern = r"(?<![A-Za-z0-9_./-])((?:\.{0,2}/)?[A-Za-z0-9_-][A-Za-z0-9_./-]*\.(?:" + "|".join(EXTENSIONS) + r"))(?![A-Za-z0-9_])"
+    each = turns.select("tree", "ord", F.explode(F.regexp_extract_all(F.substring(text, 1, 20_000), F.lit(pattern), F.lit(1))).alias("ref"))
+    return each.select("tree", "ord", F.regexp_replace(F.lower("ref"), r"^\./", "").alias("ref")).groupBy("tree", "ref").agg(F.min("ord").alias("first_ord"))
+
+
+def missing_files(refs: DataFrame, existing: DataFrame, created: DataFrame) -> DataFrame:
+    """References that name no existing path, no existing base name and nothing that the tree itself created.
+
+    existing has path; created has tree and path. Base names are compared too, as a bare name may lie anywhere.
+    """
+    base = F.element_at(F.split("path", "/"), -1)
+    paths = existing.select(F.lower("path").alias("ref")).union(existing.select(F.lower(base).alias("ref"))).distinct()
+    own = created.select("tree", F.lower("path").alias("ref")).union(created.select("tree", F.lower(base).alias("ref"))).distinct()
+    return refs.join(paths, "ref", "left_anti").join(own, ["tree", "ref"], "left_anti").select("tree", "ref", "first_ord")
+
+
+def imports(turns: DataFrame, text: str = "text") -> DataFrame:
+    """tree, package and first_ord: roots of packages that JavaScript and Python import lines name; local ones are left out."""
+    js = F.regexp_extract_all(text, F.lit(r"""(?:from|require\(|import\(|import)\s*['"]([^'"\s]+)['"]"""), F.lit(1))
+    py = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:import|from)\s+([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    each = turns.select("tree", "ord", F.explode(F.concat(js, py)).alias("name")).filter(~F.col("name").rlike(r"^(?:\.|/|node:)"))
+    root = F.when(F.col("name").startswith("@"), F.regexp_extract("name", r"^(@[^/]+/[^/]+)", 1)).otherwise(F.element_at(F.split("name", "/"), 1))
+    return each.select("tree", "ord", root.alias("package")).filter("package <> ''").groupBy("tree", "package").agg(F.min("ord").alias("first_ord"))
+
+
+def undeclared(found: DataFrame, declared: DataFrame) -> DataFrame:
+    """Imported packages that no manifest declares; declared has package."""
+    return found.join(declared.select("package").distinct(), "package", "left_anti").select("tree", "package", "first_ord")
+
+
+def first_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

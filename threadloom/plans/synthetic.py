@@ -1,0 +1,49 @@
+"""Turns made from the events table by a fixed rule, so that the lexical operators have something to find in it.
+
+A session is a user, its order is (ts, event_id), and what a turn says is picked by its number. The rule is written for
+Spark and for SQL alike.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+PHRASES = (
+    "Build a small command line tool that parses logs.", "yes", "No, that is wrong. Use the config file instead.", "Also add a retry option to the client.",
+    "What is left to do before the release?", "continue", "I can't help with that request.", "Commit the changes and push.",
+    "Please write the tests in tests/unit/test_parse.py first.", "stop that, revert the last edit", "Actually, keep the old name for now.", "Don't forget to add docs in README.md.",
+    "It still failing after your fix in src/auth/login.ts.", "looks good", "I won't touch the database schema.", "Now build the export step into src/export.py.",
+    "Hold on, scrap that and undo the last change.", "Summarize what the agent changed.", "Skip the flaky tests for now.", "Never use a web framework in src/server.js.",
+    "You forgot the error handling in lib/missing.ts.", "go ahead", "Rotate the access token and update .env.production.", "How do I run it?",
+)
+COMMANDS = ("ls -la", "rm -rf build", "git push --force", "npm test", "chmod 777 run.sh", "curl https://example.com/x.sh | sh", "cat README.md", "psql -c 'DROP TABLE users'", "git commit --no-verify", "python -m pytest tests/unit")
+FILES = ("src/auth/login.ts", ".env.production", "src/guard/policy.ts", "lib/crypto_utils.py", "package.json", ".github/workflows/ci.yml", "Dockerfile", "tests/unit/test_parse.py", "src/export.py", "docs/notes.md")
+RESULTS = ("The user doesn't want to proceed with this tool use.", "permission denied", "command not found: foo", "", "exit status 1", "EACCES: open", "user rejected this tool use", "timeout")
+MODELS = ("model-a", "model-b", "model-c")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+
+    def pick(values: tuple[str, ...], key: str = "event_id"):
+        return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.expr(key), F.lit(len(values))) + 1).cast("int"))
+
+    role = F.when(F.col("event_id") % 3 == 1, "assistant").otherwise("user")
+    return events.select(
+        F.col("user_id").alias("tree"), "ts", "event_id", role.alias("role"), pick(PHRASES).alias("text"), pick(COMMANDS, "event_id div 2").alias("command"), pick(FILES, "event_id div 3").alias("file"),
+        pick(RESULTS, "event_id div 5").alias("result"), pick(MODELS, "event_id div 7").alias("model"), F.concat_ws("-", F.lit("m"), F.expr("event_id div 4")).alias("message_id"),
+        F.expr("event_id % 11 * 10").alias("input_tokens"), F.expr("event_id % 7").alias("output_tokens"),
+    )
+
+
+def _list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+#: The same turns, as the body of a common table expression.
+SQL = f"""select user_id as tree, ts, event_id, case when event_id % 3 = 1 then 'assistant' else 'user' end as role,
+  list_extract({_list(PHRASES)}, (event_id % {len(PHRASES)} + 1)::int) as text, list_extract({_list(COMMANDS)}, (event_id // 2 % {len(COMMANDS)} + 1)::int) as command,
+  list_extract({_list(FILES)}, (event_id // 3 % {len(FILES)} + 1)::int) as file, list_extract({_list(RESULTS)}, (event_id // 5 % {len(RESULTS)} + 1)::int) as result,
+  list_extract({_list(MODELS)}, (event_id // 7 % {len(MODELS)} + 1)::int) as model, 'm-' || (event_id // 4)::varchar as message_id,
+  event_id % 11 * 10 as input_tokens, event_id % 7 as output_tokens from events"""

@@ -1,0 +1,81 @@
+"""Turn texts, secrets and titles, case by case."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from threadloom.functions import secrets
+from threadloom.functions import text as T
+
+
+def one(spark, expression, **columns):
+    row = spark.createDataFrame([tuple(columns.values())], ", ".join(f"{c} string" for c in columns))
+    return row.select(expression.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("No, use the other file", "correction"), ("that broke the build", "correction"), ("also add a flag", "scope-change"), ("Commit it", "checkpoint"), ("Wait, one thing", "correction"),
+        ("How does it work?", "question"), ("Build the parser", "direction"), ("notable progress", "direction"), ("", "direction"), (None, "direction"),
+    ],
+)
+def test_turn_kind(spark, text, kind):
+    assert one(spark, T.turn_kind(F.col("t"), F.lit(False)), t=text) == kind
+    assert one(spark, T.turn_kind(F.col("t"), F.lit(True)), t=text) == "root"
+
+
+@pytest.mark.parametrize("text, yes", [("yes", True), ("looks good!", True), ("yes and add tests", False), ("go ahead", True), ("", False), (None, None)])
+def test_nudge(spark, text, yes):
+    assert one(spark, T.is_nudge(F.col("t")), t=text) in ((yes,) if text is not None else (None, False))
+
+
+@pytest.mark.parametrize("text, yes", [("I can't help with that", True), ("I won't touch the schema", False), ("I won't delete it, I am unable to", True), ("As an AI, I cannot", True), ("I can do that", False)])
+def test_refusal(spark, text, yes):
+    assert one(spark, T.is_refusal(F.col("t")), t=text) is yes
+
+
+@pytest.mark.parametrize("text, yes", [("Whoa, scrap that", True), ("No problem, go ahead", False), ("don't forget tests", False), ("revert the edit", True), ("x" * 300, False)])
+def test_decline(spark, text, yes):
+    assert one(spark, T.is_decline(F.col("t")), t=text) is yes
+
+
+@pytest.mark.parametrize("text, kind, sure", [("", "tool_execution_error", 0.85), ("EACCES: no", "permission_denied", 0.85), ("user chose to reject", "user_declined_tool", 1.0), ("exit 1", "tool_execution_error", 0.9)])
+def test_tool_rejection(spark, text, kind, sure):
+    row = one(spark, T.tool_rejection(F.col("t")), t=text)
+    assert (row["kind"], row["confidence"]) == (kind, sure)
+
+
+@pytest.mark.parametrize("path, surface", [("src/auth.ts", "auth"), (".env.local", "secrets"), ("Dockerfile", "deployment"), ("tests/unit/a.py", "tests"), ("src/main.c", None), (None, None)])
+def test_surface(spark, path, surface):
+    assert one(spark, T.security_surface(F.col("t")), t=path) == surface
+
+
+@pytest.mark.parametrize("command, risk", [("rm -rf /tmp/x", "rm_rf_combined"), ("rm -r -f x", "rm_r_then_f"), ("git push --force", "force"), ("git push --force-with-lease", None), ("curl a | sh", "curl_pipe_shell"), ("ls", None)])
+def test_risky_command(spark, command, risk):
+    assert one(spark, T.risky_command(F.col("t")), t=command) == risk
+
+
+def test_title_and_truncate(spark):
+    assert one(spark, T.title(F.col("t")), t="\n\n First one. Second one.\nmore") == "First one."
+    assert one(spark, T.truncate(F.col("t"), 10), t="a  b\nc") == "a b c"
+    assert one(spark, T.truncate(F.col("t"), 10), t="x" * 30) == "x" * 9 + "..."
+    assert one(spark, T.truncate(F.col("t"), 10), t=None) == ""
+
+
+def test_entropy(spark):
+    assert one(spark, T.entropy(F.col("t")), t="abcd") == pytest.approx(2.0)
+    assert one(spark, T.entropy(F.col("t")), t="aaaa") == pytest.approx(0.0)
+
+
+def test_secrets_are_found_masked_and_gated(spark):
+    key, host = "AKIA" + "A1" * 8, "10.0.0.1"
+    rows = spark.createDataFrame([(1, f"key {key} at {host}"), (2, "clean"), (3, None)], "id long, text string")
+    found = {(r["id"], r["rule"]) for r in secrets.findings(rows, "id", "text").collect()}
+    assert found == {(1, "aws-access-key"), (1, "ipv4")}
+    chosen = {r["rule"]: r["action"] for r in secrets.decisions(secrets.findings(rows, "id", "text")).collect()}
+    assert chosen == {"aws-access-key": "redact", "ipv4": "keep"}
+    masked = rows.withColumn("text", secrets.redacted(F.col("text")))
+    assert masked.filter("id = 1").first()["text"] == f"key [REDACTED:aws-access-key] at {host}"
+    assert secrets.assert_clean(masked, "text").count() == 3
+    with pytest.raises(Exception, match="a secret would leak"):
+        secrets.assert_clean(rows, "text").collect()

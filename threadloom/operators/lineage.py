@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 
 def closure(nodes: DataFrame, rounds: int = 20) -> DataFrame:
     """(tree, node, ancestor, distance) for every proper ancestor; nodes has tree, node and parent (null for roots).
@@ -13,31 +15,35 @@ def closure(nodes: DataFrame, rounds: int = 20) -> DataFrame:
     Each round joins what is known with itself, which doubles the distance covered. It stops when a round adds nothing.
     Rows are as the sum of depths, so use it for branches, and main_path for long chains.
     """
-    known = nodes.filter("parent is not null").select("tree", "node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
+    known = cut(nodes.filter("parent is not null").select("tree", "node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
     reach = 1
     for _ in range(rounds):
-        far = known.filter(F.col("distance") == reach).select("tree", F.col("node").alias("_via_to"), F.col("ancestor").alias("_via_from"))
-        more = known.withColumnRenamed("node", "_via").join(far.select("tree", F.col("_via_to").alias("node"), F.col("_via_from").alias("_via")), ["tree", "_via"])
-        more = more.select("tree", "node", "ancestor", (F.col("distance") + reach).alias("distance"))
+        far = known.filter(F.col("distance") == reach).select("tree", F.col("node").alias("_to"), F.col("ancestor").alias("_via"))
+        near = known.select("tree", F.col("node").alias("_via"), "ancestor", "distance")
+        more = cut(far.join(near, ["tree", "_via"]).select("tree", F.col("_to").alias("node"), "ancestor", (F.col("distance") + reach).cast("int").alias("distance")))
         if more.isEmpty():
             break
-        known = known.unionByName(more)
+        known = cut(known.unionByName(more))
         reach *= 2
     return known
 
 
 def main_path(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """(tree, node) of every node from each tree's leaf up to its root; leaves has tree and node."""
-    up = closure(nodes)
+    return _main_path(leaves, closure(nodes))
+
+
+def _main_path(leaves: DataFrame, up: DataFrame) -> DataFrame:
     above = leaves.join(up, ["tree", "node"]).select("tree", F.col("ancestor").alias("node"))
     return leaves.select("tree", "node").unionByName(above).distinct()
 
 
 def abandoned(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """Every node with status: abandoned if it is off the main path but has an ancestor on it, else accepted."""
-    main = main_path(nodes, leaves)
+    up = closure(nodes)
+    main = cut(_main_path(leaves, up))
     off = nodes.join(main, ["tree", "node"], "left_anti").select("tree", "node")
-    under = off.join(closure(nodes), ["tree", "node"]).join(main.withColumnRenamed("node", "ancestor"), ["tree", "ancestor"], "left_semi").select("tree", "node").distinct()
+    under = off.join(up, ["tree", "node"]).join(main.withColumnRenamed("node", "ancestor"), ["tree", "ancestor"], "left_semi").select("tree", "node").distinct()
     return nodes.join(under.withColumn("_off", F.lit(True)), ["tree", "node"], "left").withColumn("status", F.when(F.col("_off"), "abandoned").otherwise("accepted")).drop("_off")
 
 

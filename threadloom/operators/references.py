@@ -30,7 +30,7 @@ def missing_files(refs: DataFrame, existing: DataFrame, created: DataFrame) -> D
 def imports(turns: DataFrame, text: str = "text") -> DataFrame:
     """tree, package and first_ord: roots of packages that JavaScript and Python import lines name; local ones are left out."""
     js = F.regexp_extract_all(text, F.lit(r"""(?:from|require\(|import\(|import)\s*['"]([^'"\s]+)['"]"""), F.lit(1))
-    py = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:import|from)\s+([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    py = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:import|from)\s+([A-Za-z_][A-Za-z0-9_]*)(?![^\n]*['\"])"), F.lit(1))
     each = turns.select("tree", "ord", F.explode(F.concat(js, py)).alias("name")).filter(~F.col("name").rlike(r"^(?:\.|/|node:)"))
     root = F.when(F.col("name").startswith("@"), F.regexp_extract("name", r"^(@[^/]+/[^/]+)", 1)).otherwise(F.element_at(F.split("name", "/"), 1))
     return each.select("tree", "ord", root.alias("package")).filter("package <> ''").groupBy("tree", "package").agg(F.min("ord").alias("first_ord"))

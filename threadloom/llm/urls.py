@@ -113,18 +113,22 @@ def train(ruled: DataFrame) -> np.ndarray:
 
 
 def threshold(bins: list[tuple[int, str, int]]) -> float:
-    """The bound on the score that errs least on binned scores (bin, verdict, number), both verdicts weighing alike; 0 if one is missing."""
+    """The bound on the score that errs least on binned scores (bin, verdict, number), both verdicts weighing alike.
+
+    It lies in the middle between two bins, of the widest such gap if several err as little; 0 if a verdict is missing.
+    """
     allowed, blocked = ({b: n for b, v, n in bins if v == verdict} for verdict in ("allow", "block"))
     if not allowed or not blocked:
         return 0.0
-    a, r = sum(allowed.values()), sum(blocked.values())
-    low, best = 0.0, None
-    wrong = 1.0
-    for b in sorted({*allowed, *blocked}):
-        if best is None or wrong < low - 1e-12:
-            low, best = wrong, b
-        wrong += allowed.get(b, 0) / a - blocked.get(b, 0) / r
-    return best * BIN if wrong >= low else (b + 1) * BIN
+    places = sorted({*allowed, *blocked})
+    a = np.array([allowed.get(b, 0) for b in places]) / sum(allowed.values())
+    r = np.array([blocked.get(b, 0) for b in places]) / sum(blocked.values())
+    # with the bound below place k, allowed ones before k and blocked ones from k on are wrong
+    wrong = np.concatenate([[0], np.cumsum(a)]) + np.concatenate([np.cumsum(r[::-1])[::-1], [0]])
+    gaps = np.diff([places[0] - 1, *places, places[-1] + 1])
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+    k = int(best[np.argmax(gaps[best])])
+    return float(([places[0] - 1, *places][k] + 1 + [*places, places[-1] + 1][k]) / 2 * BIN)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:

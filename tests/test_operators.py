@@ -86,3 +86,36 @@ def test_chat_exports(spark, tmp_path):
     assert [(r["node"], r["parent"], r["role"], r["text"], r["model"]) for r in tree] == [("n1", None, "user", "hi", None), ("n2", "n1", "assistant", "yo\nx", "m")]
     flat = transcripts.message_lists(spark, str(tmp_path / "b.json")).orderBy("ord").collect()
     assert [(r["role"], r["text"], r["model"]) for r in flat] == [("user", "q", None), ("assistant", "a", "g")]
+
+
+def test_plan_from_transcript_to_document(spark, tmp_path):
+    import json
+
+    from threadloom.plans import lineage_plan
+
+    key = "AKIA" + "B2" * 8
+    lines = [
+        {"type": "user", "uuid": "1", "timestamp": "2024-01-01T00:00:00Z", "message": {"content": f"Build it with {key}. Thanks"}},
+        {"type": "assistant", "uuid": "2", "message": {"id": "m", "usage": {"input_tokens": 2, "output_tokens": 1}, "content": [{"type": "tool_use", "id": "t", "name": "Write", "input": {"file_path": "a.py"}}]}},
+        {"type": "user", "uuid": "3", "timestamp": "2024-01-02T00:00:01Z", "message": {"content": "yes"}},
+        {"type": "user", "uuid": "4", "timestamp": "2024-01-02T00:00:02Z", "message": {"content": "No, undo that"}},
+    ]
+    (tmp_path / "t.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    document = json.loads(lineage_plan.documents(spark, str(tmp_path)).first()["json"])
+    assert [(n["kind"], n["nudges"]) for n in document["nodes"]] == [("root", 1), ("correction", 0)]
+    assert document["nodes"][0]["text"] == "Build it with [REDACTED:aws-access-key]. Thanks"
+    assert [(f["failure_id"], f["type"], f["node_ord"]) for f in document["failures"]] == [("failure_001", "user_rejected_action", 2)]
+    row = lineage_plan.tree_stats(spark, str(tmp_path)).first()
+    assert (row["prompts"], row["corrections"], row["nudges"], row["tool_uses"], row["files"], row["input_tokens"], row["days"]) == (2, 1, 1, 1, 1, 2, 2)
+
+
+def test_streams(spark, tmp_path):
+    from threadloom.streaming import sessions
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"tree":1,"ts":"2024-01-01T00:00:00","event_id":1,"role":"user","text":"No, undo it"}\n{"tree":1,"ts":"2024-01-01T00:10:00","event_id":2,"role":"assistant","text":"ok"}\n{"tree":1,"ts":"2024-01-01T03:00:00","event_id":3,"role":"user","text":"go"}\n')
+    for name, frame, rows in (("w", sessions.windowed, {(1, 2), (1, 1)}), ("s", sessions.sessions, {(1, 2), (1, 1)})):
+        query = frame(sessions.turns(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName(f"out_{name}").start()
+        query.processAllAvailable()
+        query.stop()
+        assert {(r["tree"], r["turns"]) for r in spark.table(f"out_{name}").collect()} == rows

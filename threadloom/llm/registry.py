@@ -1,4 +1,4 @@
-"""The subpackage's queries, by name, and their SQL."""
+"""The subpackage's queries, by name, beside their SQL."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, gif, jaccard, packing, pii, quality, rules, toxicity, urls
 from .common import table
+from .oracles import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,4 +79,3 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE: dict[str, str] = {}

@@ -53,6 +53,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def hash_share(key, wanted: int, of: int):
+    """Whether a key is in a share of hashes that holds about as many of the given number; a cheap first cut before a top-k by hash."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(min(1 << 30, (wanted << 30) // max(1, of) + 1))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], columns: list[str], held_fold: bool = True):
     """At most most[c] labelled documents of each class c, in the order of a hash, as a pandas frame, and the classes' full counts.
 
@@ -66,7 +71,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
     counts = {r["_label"]: r["n"] for r in own.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     ids = None
     for c, n in most.items():
-        part = own.filter(F.col("_label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = own.filter((F.col("_label") == c) & hash_share(F.col("doc_id"), 3 * n, counts.get(c, 0))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         ids = part if ids is None else ids.unionByName(part)
     found = docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id")
     rest = [c for c in columns if c != "text"]

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ MAX_TOXIC, MAX_CLEAN = 1200, 2000
 WINDOW, STRIDE = 64, 48
 WORD_ROWS, LETTER_ROWS, WIDTH, HIDDEN, ATTENTION = 1 << 16, 1 << 13, 16, 12, 8
 STEPS, DOCS_A_STEP, RATE, SEED = 200, 24, 0.02, 7
+#: Windows of a document in a training step.
+STEP_WINDOWS = 48
 #: Rows of embeddings are learned if so many documents of the sample have them; the others stay zero.
 LEAST_DOCS = 5
 #: Documents' worth of doubt in the evidence that a row starts with, and the share of words whose own embedding is hidden in a step.
@@ -170,7 +172,7 @@ def numbered(texts: list[str]) -> tuple[list[str], list[list[int]]]:
     return list(numbers), rows
 
 
-def evidence(rows: list[set[int]], labels: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def evidence(rows: Iterable[set[int]], labels: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row the log odds of toxic documents among those that have it, against the sample's, and whether enough have it."""
     seen = np.zeros((2, size))
     for own, label in zip(rows, labels):
@@ -225,9 +227,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Network:
     network, r = Network(seed), np.random.default_rng(seed)
     kinds = [np.flatnonzero(labels == c) for c in (0, 1)]
     learned = {}
-    distinct = [set(WORD.findall(t.lower())) for t in texts]
-    for name, rows in (("words", [{word_row(w) for w in ws} for ws in distinct]), ("letters", [{i for w in ws for i in letter_rows(w)} for ws in distinct])):
-        odds, often = evidence(rows, labels, len(network.p[name]))
+    of_words = {"words": lambda ws: {word_row(w) for w in ws}, "letters": lambda ws: {i for w in ws for i in letter_rows(w)}}
+    for name, rows in of_words.items():
+        odds, often = evidence((rows(set(WORD.findall(t.lower()))) for t in texts), labels, len(network.p[name]))
         network.p[name] *= often[:, None]
         # the first column starts as what the row's counts say
         network.p[name][:, 0] = odds / 2
@@ -244,6 +246,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Network:
             del queues[c][: DOCS_A_STEP // 2]
         words, rows = numbered([texts[i] for i in chosen])
         index, mask, which = laid_out(rows)
+        # a very long document is seen by some of its windows in a step, so that a step's memory is bounded
+        some = np.concatenate([own if len(own) <= STEP_WINDOWS else np.sort(r.permutation(own)[:STEP_WINDOWS]) for own in (np.flatnonzero(which == k) for k in range(len(rows)))])
+        index, mask, which = index[:, some], mask[:, some], which[some]
         gates, back = network.inputs(words, (r.random(len(words)) >= HIDDEN_WORDS).astype(np.float32))
         logit, kept = network.forward(gates, index, mask, keep=True)
         # a document's logit is the soft maximum of its windows'

@@ -447,6 +447,15 @@ def test_quality_cotraining(spark):
     assert quality.judge(empty(spark), marks).count() == 0
 
 
+def test_layout_reads_whole_texts():
+    r = random.Random(4)
+    head = " ".join(r.choice(["river", "garden", "stone", "cloud", "winter"]) + str(r.random()) for _ in range(4000))[:65_536]
+    same, other = head + "buy now! " * 20_000, head + "".join(r.choice("abcdefghij \n") for _ in range(180_000))
+    packed = [quality.layout(t, "en", None, None)[12] for t in (head, same, other, "")]
+    assert packed == [len(zlib.compress(t.encode(), 1)) / max(1, len(t)) if t else 0.0 for t in (head, same, other, "")]
+    assert packed[1] < packed[0] / 2 < packed[2]
+
+
 # the whole pipeline
 
 

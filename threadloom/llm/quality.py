@@ -38,13 +38,19 @@ MARKS = re.compile(r"[^\w\s]")
 DIGITS = re.compile(r"\d")
 
 
+def packed_bytes(text: str) -> int:
+    """How long the whole text is when deflated, a chunk at a time."""
+    z = zlib.compressobj(1)
+    return sum(len(z.compress(text[i : i + 65_536].encode())) for i in range(0, len(text), 65_536)) + len(z.flush())
+
+
 def layout(text: str, lang: str | None, source: str | None, n_chars: float | None) -> list[float]:
     """The metadata view: numbers about the page, then one-hot buckets of language; the stated length beside the real one."""
     n = max(1, len(text))
     lines = text.split("\n")
     words = text.split()
     stated = len(text) if n_chars is None or n_chars != n_chars else n_chars
-    packed = len(zlib.compress(text[:65_536].encode(), 1)) / min(n, 65_536) if text else 0.0
+    packed = packed_bytes(text) / n if text else 0.0
     numbers = [
         np.log1p(len(text)), np.log1p(abs(stated - len(text))), np.log1p(len(lines)), len(set(lines)) / len(lines),
         np.log1p(len(words)), len(set(words)) / max(1, len(words)), sum(map(len, words)) / max(1, len(words)) / 10,

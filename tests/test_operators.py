@@ -1,5 +1,8 @@
 """Windows, trees, failures and references on small tables."""
 
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
@@ -33,6 +36,33 @@ def test_deep_chain_and_fork(spark):
     assert sizes[1] == 202 and sizes[200] == 1 and sizes[500] == 2
 
 
+def test_lineage_is_whole_and_not_quadratic(spark, monkeypatch):
+    r, n = random.Random(3), 400
+    # a chain, a tree of random parents, and two roots in one tree
+    parents = {1: {i: i - 1 if i > 1 else None for i in range(1, n + 1)}, 2: {i: r.randrange(max(1, i - 9), i) if i > 1 else None for i in range(1, n + 1)}}
+    parents[3] = {i: i - 2 if i > 2 else None for i in range(1, 42)}
+    leaf = {1: n - 20, 2: n, 3: 41}
+    nodes = spark.createDataFrame([(t, i, p) for t, own in parents.items() for i, p in own.items()], "tree long, node long, parent long")
+    leaves = spark.createDataFrame(list(leaf.items()), "tree long, node long")
+    held, cut = [], lineage.cut
+    monkeypatch.setattr(lineage, "cut", lambda df: held.append(cut(df)) or held[-1])
+    main = {(x["tree"], x["node"]) for x in lineage.main_path(nodes, leaves).collect()}
+    status = {(x["tree"], x["node"]): x["status"] for x in lineage.abandoned(nodes, leaves).collect()}
+    sizes = {(x["tree"], x["node"]): x["size"] for x in lineage.subtree_sizes(nodes).collect()}
+
+    def above(t, i):
+        while (i := parents[t][i]) is not None:
+            yield i
+
+    up = {(t, i): list(above(t, i)) for t, own in parents.items() for i in own}
+    path = {(t, i) for t in parents for i in [leaf[t], *up[t, leaf[t]]]}
+    under = Counter((t, a) for (t, _), own in up.items() for a in own)
+    assert main == path
+    assert status == {(t, i): "abandoned" if (t, i) not in path and any((t, a) in path for a in own) else "accepted" for (t, i), own in up.items()}
+    assert sizes == {k: under[k] + 1 for k in up}
+    assert max(df.count() for df in held) <= len(up)
+
+
 def test_failures_and_lessons(spark):
     rows = spark.createDataFrame([(1, 5, "user_interrupt", 0.9), (1, 5, "user_declined_tool", 1.0), (1, 2, "model_refusal", 0.7)], "tree long, node_ord long, kind string, confidence double")
     found = failures.deduplicated(failures.from_rejections(rows))

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from ..shared import cut
 
+#: Rounds of doubling, enough for any depth.
+ROUNDS = 63
+
 
 def closure(nodes: DataFrame, rounds: int = 20) -> DataFrame:
     """(tree, node, ancestor, distance) for every proper ancestor; nodes has tree, node and parent (null for roots).
 
     Each round joins what is known with itself, which doubles the distance covered. It stops when a round adds nothing.
-    Rows are as the sum of depths, so use it for branches, and main_path for long chains.
+    Rows are as the sum of depths, so use it for branches; the operators below don't need it.
     """
     known = cut(nodes.filter("parent is not null").select("tree", "node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
     reach = 1
@@ -28,22 +31,45 @@ def closure(nodes: DataFrame, rounds: int = 20) -> DataFrame:
     return known
 
 
-def main_path(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(tree, node) of every node from each tree's leaf up to its root; leaves has tree and node."""
-    return _main_path(leaves, closure(nodes))
+def _parents(nodes: DataFrame) -> DataFrame:
+    """(tree, node, up): each node's parent, the first of the tables that _doubled makes."""
+    return nodes.filter("parent is not null").select("tree", "node", F.col("parent").alias("up"))
+
 
+def _doubled(step: DataFrame) -> DataFrame:
+    """From each node's ancestor 2^k steps up to that of twice the steps, for nodes that have one."""
+    return cut(step.join(step.select("tree", F.col("node").alias("up"), F.col("up").alias("_far")), ["tree", "up"]).select("tree", "node", F.col("_far").alias("up")))
+
+
+def main_path(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(tree, node) of every node from each tree's leaf up to its root; leaves has tree and node.
 
-def _main_path(leaves: DataFrame, up: DataFrame) -> DataFrame:
-    above = leaves.join(up, ["tree", "node"]).select("tree", F.col("ancestor").alias("node"))
-    return leaves.select("tree", "node").unionByName(above).distinct()
+    Round k adds the ancestors 2^k steps above the nodes marked so far, which are those less than 2^k steps above a leaf; only
+    the marked nodes and one ancestor of each node are carried.
+    """
+    marked, step = cut(leaves.select("tree", "node").distinct()), cut(_parents(nodes))
+    for _ in range(ROUNDS):
+        if step.isEmpty():
+            break
+        above = marked.join(step, ["tree", "node"]).select("tree", F.col("up").alias("node"))
+        marked = cut(marked.unionByName(above).distinct())
+        step = _doubled(step)
+    return marked
 
 
 def abandoned(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """Every node with status: abandoned if it is off the main path but has an ancestor on it, else accepted."""
-    up = closure(nodes)
-    main = cut(_main_path(leaves, up))
-    off = nodes.join(main, ["tree", "node"], "left_anti").select("tree", "node")
-    under = off.join(up, ["tree", "node"]).join(main.withColumnRenamed("node", "ancestor"), ["tree", "ancestor"], "left_semi").select("tree", "node").distinct()
+    main = main_path(nodes, leaves).withColumn("_main", F.lit(True))
+    # whether one of the ancestors up to up is on the main path; what has none above is done
+    above = main.select("tree", F.col("node").alias("up"), F.col("_main").alias("_hit"))
+    state = cut(_parents(nodes).join(above, ["tree", "up"], "left").select("tree", "node", F.when(F.col("_hit").isNull(), F.col("up")).alias("up"), F.coalesce("_hit", F.lit(False)).alias("_hit")))
+    for _ in range(ROUNDS):
+        if state.filter("up is not null").isEmpty():
+            break
+        beyond = state.select("tree", F.col("node").alias("up"), F.col("up").alias("_far"), F.col("_hit").alias("_far_hit"))
+        hit = F.col("_hit") | F.coalesce("_far_hit", F.lit(False))
+        state = cut(state.join(beyond, ["tree", "up"], "left").select("tree", "node", F.when(~hit, F.col("_far")).alias("up"), hit.alias("_hit")))
+    under = state.filter("_hit").select("tree", "node").join(main, ["tree", "node"], "left_anti").distinct()
     return nodes.join(under.withColumn("_off", F.lit(True)), ["tree", "node"], "left").withColumn("status", F.when(F.col("_off"), "abandoned").otherwise("accepted")).drop("_off")
 
 
@@ -54,6 +80,15 @@ def abandoned_branches(statuses: DataFrame) -> DataFrame:
 
 
 def subtree_sizes(nodes: DataFrame) -> DataFrame:
-    """(tree, node, size): how many nodes a node has under it, itself included."""
-    under = closure(nodes).groupBy("tree", F.col("ancestor").alias("node")).agg(F.count("*").alias("_n"))
-    return nodes.join(under, ["tree", "node"], "left").select("tree", "node", (F.coalesce("_n", F.lit(0)) + 1).alias("size"))
+    """(tree, node, size): how many nodes a node has under it, itself included.
+
+    Round k adds to a node's count, of nodes less than 2^k steps under it, those of the nodes that are 2^k steps under it.
+    """
+    sizes, step = cut(nodes.select("tree", "node", F.lit(1).cast("long").alias("size"))), cut(_parents(nodes))
+    for _ in range(ROUNDS):
+        if step.isEmpty():
+            break
+        more = step.join(sizes, ["tree", "node"]).groupBy("tree", F.col("up").alias("node")).agg(F.sum("size").alias("_more"))
+        sizes = cut(sizes.join(more, ["tree", "node"], "left").select("tree", "node", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size")))
+        step = _doubled(step)
+    return sizes

@@ -1,8 +1,8 @@
 """Quality rules: counts from each text, and a hashed n-gram log-likelihood ratio between trusted and raw documents.
 
 Everything is DataFrame expressions. Each text becomes an array of words, and higher-order functions work on it row by row.
-Two multinomials over hashed n-grams (lower-case words, and pairs of neighbouring word shapes) are counted: one over a
-bounded sample of trusted documents, one over all documents. A document's score is the mean, over its n-grams, of the log
+Two multinomials over hashed n-grams (lower-case words, and pairs of neighbouring word shapes) are counted: one over all
+trusted documents, one over all documents. A document's score is the mean, over its n-grams, of the log
 ratio of the two. It is kept if the score isn't below the trusted documents' mean by more than a number of their standard
 deviations; sums are of decimals, so the bound doesn't depend on the order of tasks.
 
@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Hash buckets, trusted documents in the sample, and standard deviations below the trusted mean that are still kept.
+#: Hash buckets, and standard deviations below the trusted mean that are still kept.
 BUCKETS = 1 << 14
-MAX_TRUSTED = 20_000
 DEVIATIONS = 3.0
 MIN_WORDS = 50
 #: What parts words, as a Java character class and as characters.
@@ -84,15 +83,14 @@ def prepared(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("_t"), *more).withColumns({"_w": words_of(F.col("_t")), "_s": words_of(shapes(F.col("_t")))})
 
 
-def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
-    """At most limit ids of documents that all their labels call good, by the order of a hash."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("_q")).filter("_q = 1")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("_trusted"))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all documents that all their labels call good."""
+    return labels.groupBy("doc_id").agg(F.min("quality").alias("_q")).filter("_q = 1").select(F.col("doc_id").alias("_trusted"))
 
 
-def weights(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
+def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row with an array of the log ratio of each bucket."""
-    ids = F.broadcast(trusted_ids(labels, limit))
+    ids = trusted_ids(labels)
     own = docs.select("doc_id", "text").join(ids, docs["doc_id"] == ids["_trusted"], "left")
     each = prepared(own, F.col("_trusted").isNotNull().cast("int").alias("_good")).select("_good", F.explode(ngrams("_w", "_s")).alias("_b"))
     seen = each.groupBy("_b").agg(F.count("*").alias("raw"), F.sum("_good").alias("good"))
@@ -103,14 +101,14 @@ def weights(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRUSTED) -> Dat
     return rows.select(F.transform("r", ratio).alias("weights"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRUSTED, deviations: float = DEVIATIONS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
     """doc_id, the base counts, base_failed, score and kept, for every document."""
-    model = cut(weights(docs, labels, limit=limit))
+    model = cut(weights(docs, labels))
     total = F.aggregate("_ngrams", F.lit(0.0), lambda a, b: a + F.get("_m", b))
     scored = counts(docs).withColumn("_m", model.select("weights").scalar())
     scored = scored.withColumn("score", F.coalesce(total / F.nullif(F.size("_ngrams"), F.lit(0)), F.lit(0.0)).cast("decimal(18,9)")).drop("_ngrams", "_m")
     scored = cut(scored)
-    ids = F.broadcast(trusted_ids(labels, limit))
+    ids = trusted_ids(labels)
     s = F.col("score").cast("decimal(20,9)")
     sums = scored.join(ids, scored["_id"] == ids["_trusted"]).agg(F.count("*").alias("n"), F.sum(s).alias("s"), F.sum(s * s).alias("q")).first()
     least = None

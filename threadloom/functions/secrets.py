@@ -11,23 +11,35 @@ from .text import entropy
 TOKEN = r"\b[A-Za-z0-9+/_=-]{32,4096}\b"
 
 
-def found_by_rules(text: Column) -> Column:
+ALL_RULES = P.SECRETS + P.MORE_SECRETS
+
+
+def found_by_rules(text: Column, rules=ALL_RULES) -> Column:
     """An array of (rule, severity, match) for every match of every rule."""
     def named(rule: str, severity: str, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), m.alias("match")))
 
-    return F.concat(*(named(*rule) for rule in P.SECRETS))
+    return F.concat(*(named(*rule) for rule in rules))
 
 
 def high_entropy(text: Column) -> Column:
-    """Tokens of two kinds of letters at least that look random, as findings; hex and version numbers are left to the rules."""
-    tokens = F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike(r"^[0-9a-fA-F]+$") & ~t.rlike(r"^[0-9]+[.0-9-]*$") & ((t.rlike("[A-Z]").cast("int") + t.rlike("[a-z]").cast("int") + t.rlike("[0-9]").cast("int")) >= 2) & (entropy(t) >= 4.4))
-    return F.transform(tokens, lambda t: F.struct(F.lit("high-entropy-token").alias("rule"), F.lit("medium").alias("severity"), t.alias("match")))
+    """Tokens that look random, as findings: of two kinds of letters at least, or of small letters and digits with less entropy; hex and version numbers are left to the rules."""
+    scanned = F.regexp_replace(text, r"[A-Za-z0-9+/_=-]{4097,}+", "\n")
+    tokens = F.filter(F.regexp_extract_all(scanned, F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike(r"^[0-9a-fA-F]+$") & ~t.rlike(r"^[0-9]+[.0-9-]*$") & ((t.rlike("[A-Z]").cast("int") + t.rlike("[a-z]").cast("int") + t.rlike("[0-9]").cast("int")) >= 2))
+    low = lambda t: t.rlike(r"^[a-z0-9_-]+$") & t.rlike("[a-z]") & t.rlike("[0-9]") & (entropy(t) >= 3.0)
+    rule = lambda t: F.when(entropy(t) >= 4.4, "high-entropy-token").when(low(t), "lowercase-digit-token")
+    named = F.transform(tokens, lambda t: F.struct(rule(t).alias("rule"), F.lit("medium").alias("severity"), t.alias("match")))
+    return F.filter(named, lambda f: f["rule"].isNotNull())
+
+
+def scan(text: Column) -> Column:
+    """All findings in a text: what findings, redacted and leaks go by."""
+    return F.concat(found_by_rules(text), high_entropy(text))
 
 
 def findings(rows: DataFrame, key: str, text: str) -> DataFrame:
     """One row for each finding: key, rule, severity, match and match_sha256. The secret's hash is what other tables should keep."""
-    each = rows.select(key, F.explode(F.concat(found_by_rules(F.col(text)), high_entropy(F.col(text)))).alias("f"))
+    each = rows.select(key, F.explode(scan(F.col(text))).alias("f"))
     return each.select(key, "f.*", F.sha2("f.match", 256).alias("match_sha256"))
 
 
@@ -38,20 +50,30 @@ def decisions(found: DataFrame) -> DataFrame:
     return by_match.select("match_sha256", "n", "rule", F.when(F.col("_worst") < 2, "redact").otherwise("keep").alias("action"))
 
 
+def _masked(text: Column) -> Column:
+    """The text with each blocking finding's match masked wherever it stands, the longest first."""
+    found = F.filter(scan(text), lambda f: f["severity"] != "soft")
+    ordered = F.array_sort(F.transform(found, lambda f: F.struct((-F.length(f["match"])).alias("n"), f["severity"].alias("severity"), f["rule"].alias("rule"), f["match"].alias("match"))))
+    return F.aggregate(ordered, text, lambda out, f: F.replace(out, f["match"], F.concat(F.lit("[REDACTED:"), f["rule"], F.lit("]"))))
+
+
 def redacted(text: Column, rules: tuple[str, ...] | None = None) -> Column:
-    """The text with every match of the high and medium rules (or the named ones) masked by its rule's name."""
+    """The text with every finding that blocks (or every match of the named ones of P.SECRETS) masked by its rule's name."""
+    if rules is None:
+        # again, for what masks of overlapping matches have left; the array holds the first result, so that it is made once
+        return F.transform(F.array(_masked(text)), _masked)[0]
     out = text
-    for rule, severity, pattern in P.SECRETS:
-        if rule in rules if rules is not None else severity != "soft":
+    for rule, _, pattern in P.SECRETS:
+        if rule in rules:
             out = F.regexp_replace(out, pattern, f"[REDACTED:{rule}]")
     return out
 
 
-def leaks(text: Column) -> Column:
-    """Whether a rendered text still has a finding that blocks: the gate before anything is written."""
-    return F.exists(found_by_rules(text), lambda f: f["severity"] != "soft")
+def leaks(text: Column, rules=None) -> Column:
+    """Whether a text still has a finding that blocks, of the whole scan or of some rules: the gate before anything is written."""
+    return F.exists(scan(text) if rules is None else found_by_rules(text, rules), lambda f: f["severity"] != "soft")
 
 
-def assert_clean(rows: DataFrame, text: str) -> DataFrame:
+def assert_clean(rows: DataFrame, text: str, rules=None) -> DataFrame:
     """The rows as they are; the job fails at a row that would leak."""
-    return rows.withColumn(text, F.when(F.coalesce(leaks(F.col(text)), F.lit(False)), F.raise_error(F.lit("a secret would leak"))).otherwise(F.col(text)))
+    return rows.withColumn(text, F.when(F.coalesce(leaks(F.col(text), rules), F.lit(False)), F.raise_error(F.lit("a secret would leak"))).otherwise(F.col(text)))

@@ -108,6 +108,14 @@ def test_boosted_trees_learn_an_interaction():
 # media
 
 
+def test_lzw_that_never_clears_a_full_table():
+    data, bits = random.Random(5).randbytes(200_000), 8
+    codes, wide = np.array([1 << bits, *data, (1 << bits) + 1]), np.array([bits + 1, *gif._widths(len(data) + 1, bits)])
+    places = np.arange(gif.MAX_BITS)
+    stream = np.packbits(((codes[:, None] >> places) & 1).astype(bool)[places < wide[:, None]], bitorder="little").tobytes()
+    assert gif.lzw_decode(stream, bits, len(data)) == data
+
+
 @pytest.mark.parametrize("bits", [2, 3, 8])
 def test_lzw_round_trip(bits):
     r = random.Random(bits)

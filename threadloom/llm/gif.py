@@ -95,13 +95,13 @@ def lzw_encode(data: bytes, bits: int) -> bytes:
     return np.packbits(((flat[:, None] >> places) & 1).astype(bool)[places < wide[:, None]], bitorder="little").tobytes()
 
 
-def _codes(stream: np.ndarray, at: int, bits: int) -> np.ndarray:
-    """The codes from bit at on, as wide as they are until the next clear code."""
+def _codes(stream: np.ndarray, at: int, bits: int, most: int) -> np.ndarray:
+    """The codes from bit at on, as wide as they are until the next clear code; at most so many after the table is full."""
     widths, before = _schedule(bits)
     left = len(stream) * 8 - at - 24
     n = int(np.searchsorted(before[1:], left, side="right"))
     more = max(0, (left - int(before[-1])) // MAX_BITS) if n == len(widths) else 0
-    where = at + np.concatenate([before[:n], before[-1] + MAX_BITS * np.arange(min(more, 65_536))])
+    where = at + np.concatenate([before[:n], before[-1] + MAX_BITS * np.arange(min(more, most))])
     wide = np.concatenate([widths[:n], np.full(len(where) - n, MAX_BITS)])
     byte = where >> 3
     word = stream[byte].astype(np.int64) | stream[byte + 1].astype(np.int64) << 8 | stream[byte + 2].astype(np.int64) << 16
@@ -116,8 +116,14 @@ def lzw_decode(stream: bytes, bits: int, count: int) -> bytes:
     out: list[bytes] = []
     got, at, total = 0, 0, len(stream) * 8
     while got < count and at < total:
-        codes = _codes(room, at, bits)
-        stop = np.flatnonzero((codes == clear) | (codes == end))
+        most = 65_536
+        while True:
+            codes = _codes(room, at, bits, most)
+            stop = np.flatnonzero((codes == clear) | (codes == end))
+            if len(stop) or len(codes) < len(widths) + most:
+                break
+            # a table kept for longer than was read
+            most *= 4
         n = int(stop[0]) if len(stop) else len(codes)
         if n:
             out.append(_expand(codes[:n], clear))

@@ -82,8 +82,21 @@ def test_long_runs_take_linear_time():
     assert pii.base_spans("1" * 300_000) == [] and pii.base_spans("a" * 300_000 + "@") == [] and pii.base_spans("+1 " * 50_000 + "(" * 100_000) == []
 
 
+def personal(i):
+    r = random.Random(i)
+    part = "".join(r.choice("abcdefgh") for _ in range(6))
+    body = "4" + "".join(r.choice("0123456789") for _ in range(14))
+    card = next(body + c for c in "0123456789" if pii.luhn(body + c))
+    return {"email": f"{part}.{i}@site{i % 7}.example.org", "ip": ".".join(str(r.randrange(1, 255)) for _ in range(4)), "card": card, "phone": f"+1 ({i % 900 + 100}) 555-{i:04d}"}
+
+
 def test_pii_adds_spans_and_redacts(spark):
-    texts = ODD + [f"pay card 4539 1488 0343 {i:04d} now, or call +1 (555) 010-{i:04d}" for i in range(300)] + ["or call 1 (555) 010-9999 now"] * 3 + ["mail a.b@c-d.example.org at 10.0.0.1"]
+    own = [f"{w} pay {x['card']} now at home. Then call {x['phone']} or write {x['email']}, host {x['ip']} {w}" for i in range(300) for x, w in [(personal(i), "abc def"[i % 7 :])]]
+    slips = {}
+    for kind, left, slip in [("email", "see ", "joe.doe (at) site3 (dot) example (dot) org"), ("ip", "host ", "10[.]20[.]30[.]40"), ("card", "pay ", "4539.1488.0343.6467"), ("phone", "call ", "001 (555) 555-9999")]:
+        slips[f"{left}{slip} now"] = f"{kind}:{len(left)}:{len(left) + len(slip)}"
+    clean = ["pay 4539148803436460 now", "he was at the door. The end", "in 1999-2000 or 1999 - 2004 it", "host 300[.]20[.]30[.]40 is", "token = \"5d190bd7c06284de91015a36974748794293dd8a\""]
+    texts = ODD + own + [*slips] + clean + ["mail a.b@c-d.example.org at 10.0.0.1"]
     docs = documents(spark, texts)
     found = by_id(pii.judge(docs))
     for i, t in enumerate(texts):
@@ -91,12 +104,39 @@ def test_pii_adds_spans_and_redacts(spark):
         spelled = [f"{k}:{a}:{b}" for k, a, b in base]
         assert found[i]["base_sha256"] == hashlib.sha256(",".join(spelled).encode()).hexdigest()
         assert set(spelled) <= set(found[i]["spans"].split(",")) | {""}
-    assert sum(r["n_added"] for r in found.values()) > 0
+    by_text = {t: found[i]["spans"] for i, t in enumerate(texts)}
+    assert {t: by_text[t] for t in slips} == slips
+    assert {by_text[t] for t in clean} == {""}
     new = by_id(docs.withColumn("text", pii.redacted(F.col("text"), pii.fit(docs))))
     assert new[1]["text"] is None and new[0]["text"] == "" and new[len(texts) - 1]["text"] == "mail [EMAIL] at [IP]"
     assert pii.judge(empty(spark)).count() == 0
 
 
+def test_slips_are_candidates_and_look_alikes_are_not_base():
+    seen = Counter()
+    for i in range(400):
+        for kind, own in personal(i).items():
+            real, fake = pii.slipped(kind, own, random.Random(i))
+            assert pii.base_spans(own) == [(kind, 0, len(own))]
+            assert (kind, 0, len(real)) in set(pii.candidates(real)) or pii.base_spans(real), real
+            assert (kind, 0, len(fake)) not in pii.base_spans(fake) or kind == "ip", fake
+            seen[kind] += (kind, 0, len(real)) in pii.beside_base(real, pii.base_spans(real))
+    assert min(seen.values()) > 300
+
+
+def test_overlap_takes_linear_time():
+    import time
+
+    finder = pii.Finder(trees.BoostedTrees(trees=2).fit(np.random.default_rng(1).random((40, 37)), np.r_[np.zeros(20), np.ones(20)]), dict.fromkeys(pii.KINDS, 0.0))
+    took = []
+    for n in (2000, 16_000):
+        began = time.perf_counter()
+        (base, spans), = finder.find(["Call 017 555 7713 or 1.2.3.4 at x. " * n])
+        took.append(time.perf_counter() - began)
+        assert len(base) == n and len(spans) >= 2 * n
+    assert took[1] < 24 * took[0] + 1
+
+
 def test_boosted_trees_learn_an_interaction():
     r = np.random.default_rng(0)
     x = r.random((2000, 4))

@@ -91,7 +91,7 @@ def personal(i):
 
 
 def test_pii_adds_spans_and_redacts(spark):
-    own = [f"{w} pay {x['card']} now at home. Then call {x['phone']} or write {x['email']}, host {x['ip']} {w}" for i in range(300) for x, w in [(personal(i), "abc def"[i % 7 :])]]
+    own = [f"{w} pay {x['card']} now at home. Then call {x['phone']} or write {x['email']}, host {x['ip']} {w}" for i in range(700) for x, w in [(personal(i), "abc def"[i % 7 :])]]
     slips = {}
     for kind, left, slip in [("email", "see ", "joe.doe (at) site3 (dot) example (dot) org"), ("ip", "host ", "10[.]20[.]30[.]40"), ("card", "pay ", "4539.1488.0343.6467"), ("phone", "call ", "001 (555) 555-9999")]:
         slips[f"{left}{slip} now"] = f"{kind}:{len(left)}:{len(left) + len(slip)}"

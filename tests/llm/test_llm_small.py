@@ -92,11 +92,8 @@ def personal(i):
 
 def test_pii_adds_spans_and_redacts(spark):
     own = [f"{w} pay {x['card']} now at home. Then call {x['phone']} or write {x['email']}, host {x['ip']} {w}" for i in range(700) for x, w in [(personal(i), "abc def"[i % 7 :])]]
-    slips = {}
-    for kind, left, slip in [("email", "see ", "joe.doe (at) site3 (dot) example (dot) org"), ("ip", "host ", "10[.]20[.]30[.]40"), ("card", "pay ", "4539.1488.0343.6467"), ("phone", "call ", "001 (555) 555-9999")]:
-        slips[f"{left}{slip} now"] = f"{kind}:{len(left)}:{len(left) + len(slip)}"
     clean = ["pay 4539148803436460 now", "he was at the door. The end", "in 1999-2000 or 1999 - 2004 it", "host 300[.]20[.]30[.]40 is", "token = \"5d190bd7c06284de91015a36974748794293dd8a\""]
-    texts = ODD + own + [*slips] + clean + ["mail a.b@c-d.example.org at 10.0.0.1"]
+    texts = ODD + own + clean + ["mail a.b@c-d.example.org at 10.0.0.1"]
     docs = documents(spark, texts)
     found = by_id(pii.judge(docs))
     for i, t in enumerate(texts):
@@ -104,10 +101,17 @@ def test_pii_adds_spans_and_redacts(spark):
         spelled = [f"{k}:{a}:{b}" for k, a, b in base]
         assert found[i]["base_sha256"] == hashlib.sha256(",".join(spelled).encode()).hexdigest()
         assert set(spelled) <= set(found[i]["spans"].split(",")) | {""}
-    # taught by documents without such slips, of which single ones would count as look-alikes
-    finder = pii.fit(documents(spark, own + clean))
-    by_text = {t: pii.spelled(pii.Finder.find(finder, [t])[0][1]) for t in [*slips, *clean]}
-    assert {t: by_text[t] for t in slips} == slips
+    # slips that it wasn't taught are found, and look-alikes aren't
+    finder, hit, wrong = pii.fit(docs), Counter(), 0
+    for i in range(1000, 1200):
+        for kind, form in personal(i).items():
+            real, fake = pii.slipped(kind, form, random.Random(i))
+            for slip, t in ((real, f"then see {real} now"), (None, f"then see {fake} now")):
+                base, spans = finder.find([t])[0]
+                hit[kind] += slip is not None and (kind, 9, 9 + len(real)) in spans
+                wrong += slip is None and len(spans) > len(base)
+    assert min(hit[k] for k in pii.KINDS) >= 160 and wrong <= 0.1 * sum(hit.values()), (hit, wrong)
+    by_text = {t: pii.spelled(finder.find([t])[0][1]) for t in clean}
     assert {by_text[t] for t in clean} == {""}
     new = by_id(docs.withColumn("text", pii.redacted(F.col("text"), pii.fit(docs))))
     assert new[1]["text"] is None and new[0]["text"] == "" and new[len(texts) - 1]["text"] == "mail [EMAIL] at [IP]"

@@ -91,7 +91,9 @@ def personal(i):
 
 
 def test_pii_adds_spans_and_redacts(spark):
-    own = [f"{w} pay {x['card']} now at home. Then call {x['phone']} or write {x['email']}, host {x['ip']} {w}" for i in range(700) for x, w in [(personal(i), "abc def"[i % 7 :])]]
+    r = random.Random(4)
+    filler = lambda n: " ".join(r.choice("the of 12 and (see) is, house. To x 7.5 run -- green \"so\" ask call pay host | mail 2024 it".split()) for _ in range(r.randrange(n)))
+    own = [f"{filler(9)} {x} {filler(9)}".strip() for i in range(300) for x in personal(i).values()]
     clean = ["pay 4539148803436460 now", "he was at the door. The end", "in 1999-2000 or 1999 - 2004 it", "host 300[.]20[.]30[.]40 is", "token = \"5d190bd7c06284de91015a36974748794293dd8a\""]
     texts = ODD + own + clean + ["mail a.b@c-d.example.org at 10.0.0.1"]
     docs = documents(spark, texts)
@@ -106,11 +108,11 @@ def test_pii_adds_spans_and_redacts(spark):
     for i in range(1000, 1200):
         for kind, form in personal(i).items():
             real, fake = pii.slipped(kind, form, random.Random(i))
-            for slip, t in ((real, f"then see {real} now"), (None, f"then see {fake} now")):
+            for slip, t in ((real, f"then see {real} now it"), (None, f"then see {fake} now it")):
                 base, spans = finder.find([t])[0]
                 hit[kind] += slip is not None and (kind, 9, 9 + len(real)) in spans
                 wrong += slip is None and len(spans) > len(base)
-    assert min(hit[k] for k in pii.KINDS) >= 160 and wrong <= 0.1 * sum(hit.values()), (hit, wrong)
+    assert min(hit[k] for k in pii.KINDS) >= 140 and wrong <= 0.1 * sum(hit.values()), (hit, wrong)
     by_text = {t: pii.spelled(finder.find([t])[0][1]) for t in clean}
     assert {by_text[t] for t in clean} == {""}
     new = by_id(docs.withColumn("text", pii.redacted(F.col("text"), pii.fit(docs))))

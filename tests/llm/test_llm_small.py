@@ -389,7 +389,8 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_near_copies_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("large", [10_000, 5])
+def test_near_copies_against_brute_force(spark, monkeypatch, large):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -428,15 +429,53 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
                 i, j = find(a), find(b)
                 root[max(i, j)] = min(i, j)
     rows = documents(spark, texts)
-    found = by_id(jaccard.classes(rows.union(rows.filter("doc_id = 20"))))
+    found = by_id(jaccard.classes(rows.union(rows.filter("doc_id = 20")), large))
     for i, (w, _) in enumerate(sets):
         assert (found[i]["class_id"], found[i]["copy_id"], found[i]["n_links"]) == (find(i), first[w], links[first[w]]), texts[i]
-    kept = jaccard.one_of_each(rows.union(rows.filter("doc_id = 0")).union(rows.limit(1).withColumn("doc_id", F.lit(None).cast("long"))))
+    kept = jaccard.one_of_each(rows.union(rows.filter("doc_id = 0")).union(rows.limit(1).withColumn("doc_id", F.lit(None).cast("long"))), large)
     assert kept.columns == rows.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({find(i) for i in range(len(texts))})
     assert jaccard.classes(empty(spark)).count() == 0
 
 
+def test_ids_that_repeat_lose_no_text(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue grey white black")
+    rows = spark.createDataFrame([(1, a, "k"), (1, b, "k"), (2, b, "k"), (3, c, "k"), (3, c, "k"), (3, None, "k"), (4, a + " seven", "k")], "doc_id long, text string, _key string")
+    kept = jaccard.one_of_each(rows)
+    assert kept.columns == rows.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["text"]) == sorted([(1, a), (1, b), (3, c), (4, a + " seven")])
+    assert sum(r["text"] is None for r in kept.collect()) == 1
+    found = sorted(tuple(r) for r in jaccard.classes(rows).collect())
+    assert found == sorted([(1, 1, 1, 1, 0), (1, 1, 1, 2, 0), (2, 1, 1, 2, 0), (3, 3, 3, 2, 0), (3, 3, 3, 2, 0), (3, 3, 3, 1, 0), (4, 4, 4, 1, 0)])
+
+
+def test_edges_of_each_depth_connect_its_buckets(spark):
+    r = np.random.default_rng(3)
+    sigs = r.integers(0, 2, (300, jaccard.MINIMA)).astype(np.uint16)
+    reps = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "node long, sig binary").repartition(3)
+    edges = [tuple(e) for e in jaccard.forest_edges(reps, 3).collect()]
+    for depth in (3, 7, jaccard.FULL_DEPTH):
+        root = list(range(300))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        buckets = {}
+        for i, s in enumerate(sigs):
+            for tree in range(jaccard.TREES):
+                first = buckets.setdefault((tree, s[jaccard._CHOICES[tree][:depth]].tobytes()), i)
+                x, y = find(first), find(i)
+                root[max(x, y)] = min(x, y)
+        own = list(range(300))
+        for a, b, d in edges:
+            if d >= depth:
+                x, y = find(a, own), find(b, own)
+                own[max(x, y)] = min(x, y)
+        assert [find(i) for i in range(300)] == [find(i, own) for i in range(300)]
+
+
 def test_matched_depth_meets_the_target():
     depth = jaccard.matched_depth()
     assert jaccard.expected_recall(depth) >= jaccard.TARGET > jaccard.expected_recall(depth + 1)

@@ -1,19 +1,25 @@
 """N-gram Jaccard join: a MinHash LSH forest finds candidates, exact comparison of word shingles decides.
 
 1. Every text becomes words (lower case, between white space) and a MinHash signature of its shingles of five words. Texts of
-   equal words are copies; their least doc_id stands for them from here on, so copies cost no pairs.
+   equal words are copies; one text stands for them from here on, so copies cost no pairs.
 2. In each tree of the forest, signatures lie in the order of the tree's own choice of minima, which is the order of a trie of
-   prefixes. From the full depth the matched prefix is shortened until the expected share of pairs at the threshold that meet
-   in some tree reaches TARGET. Trees are sorted by range over all tasks, so that a large bucket is many tasks' work, and
-   each row gets one edge to its bucket's first row in the task; the tasks' first and last rows join buckets across tasks.
-3. The edges' connected components hold every pair of a bucket. Large components are dealt to blocks by a hash, and each pair
-   of blocks compares its texts exactly, as products of 0-1 matrices. It gives counts of links and one edge for each text, not
-   the pairs, so the rows stay in proportion to the texts.
-4. Classes are the components of exact links.
+   prefixes. The shortest prefix that counts as a match is the longest at which the expected share of pairs at the threshold
+   that meet in some tree reaches TARGET. Trees are sorted by range over all tasks, so that a large bucket is many tasks' work;
+   each row gets one edge, to the first row of the longest-matched bucket that it shares with the row before, and the length of
+   that match. The tasks' first and last rows join buckets across tasks.
+3. Matched prefixes adapt to what they meet. The components of all edges are taken at the shortest match. A component of more
+   than LARGE texts, which unlike texts can make by chains of chance matches, is parted again by longer and longer matches into
+   cores. Texts of one core are compared all with all. What cores could lose, pairs of one large component that meet in some
+   tree but lie in different cores, are compared bucket by bucket, each pair in the first tree where it meets. So the work
+   follows cores and buckets, not the square of a component, and no pair that meets at the shortest match is left out.
+4. Groups are dealt to blocks by a hash, and each pair of blocks compares its texts exactly, as products of 0-1 matrices. It
+   gives counts of links and one edge for each text, not the pairs, so the rows stay in proportion to the texts.
+5. Classes are the components of exact links.
 
 Defined results: a text of fewer than five words has all its words as one shingle; texts without words are copies of one
-another and have no links; a null text is empty; rows that repeat an id are one document; a row without an id stands alone
-(its class, copy_id and counts are null); an empty table gives no rows.
+another and have no links; a null text is empty; equal rows are one document; rows that repeat an id with other words are
+documents of their own, none of which is lost (the least id of two classes can then be the same); a row without an id stands
+alone (its class, copy_id and counts are null); an empty table gives no rows; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -34,8 +40,8 @@ SHINGLE = 5
 #: Similarity of a link, as a fraction.
 ABOVE, OF = 4, 5
 MINIMA, TREES, FULL_DEPTH, TARGET, SEED = 128, 48, 12, 0.999, 11
-#: Texts in a block, columns of a matrix at a time, and words whose hashes a worker keeps.
-BLOCK, COLUMNS, MAX_WORDS = 256, 4096, 400_000
+#: Texts of a component that isn't parted, texts in a block and words in it, columns of a matrix at a time, and words whose hashes a worker keeps.
+LARGE, BLOCK, BLOCK_WORDS, COLUMNS, MAX_WORDS = 2048, 512, 1 << 19, 4096, 400_000
 
 _rng = np.random.default_rng(SEED)
 _MASKS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -105,6 +111,20 @@ def signatures(grams: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def words_key(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
+
+
+def keyed(text: Column) -> Column:
+    """The key of the words' sequence alone."""
+
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([words_key(t.lower().split() if t else []) for t in texts])
+
+    return run(text)
+
+
 def signed(text: Column) -> Column:
     """A struct of key (of the words' sequence), n_words and the signature."""
 
@@ -116,51 +136,95 @@ def signed(text: Column) -> Column:
             for a, b in slices([len(t or "") for t in texts]):
                 words = [shingler.words(t) for t in texts[a:b]]
                 sigs = signatures([shingler.grams(w) for w in words])
-                rows += [(hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest(), len(w), s.tobytes()) for w, s in zip(words, sigs)]
+                rows += [(words_key(w), len(w), s.tobytes()) for w, s in zip(words, sigs)]
             yield pd.DataFrame(rows, columns=["key", "n_words", "sig"])
 
     return run(text)
 
 
-def forest_edges(reps: DataFrame, depth: int) -> DataFrame:
-    """Edges (a, b) that connect the texts of each bucket; reps has rep and sig."""
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), MINIMA)
+
+
+def matched(x: bytes, y: bytes) -> int:
+    """The minima that two labels of a tree have in common before the first that differs; -1 for different trees."""
+    if x[0] != y[0]:
+        return -1
+    return next((i for i in range(FULL_DEPTH) if x[1 + 2 * i : 3 + 2 * i] != y[1 + 2 * i : 3 + 2 * i]), FULL_DEPTH)
+
+
+def forest_edges(reps: DataFrame, least: int) -> DataFrame:
+    """Edges (a, b, depth): those of depth d or more connect the texts of each bucket of prefixes of d minima, for any d from least on; reps has node and sig."""
 
     def plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for begin in range(0, len(batch), 2000):
                 part = batch.iloc[begin : begin + 2000]
-                sigs = np.frombuffer(b"".join(part["sig"]), np.uint16).reshape(len(part), MINIMA).byteswap()
+                sigs = _signatures(part["sig"]).byteswap()
                 for tree in range(TREES):
                     prefix = np.ascontiguousarray(sigs[:, _CHOICES[tree]])
                     label = [bytes([tree]) + p.tobytes() for p in prefix]
-                    yield pd.DataFrame({"label": label, "rep": part["rep"].to_numpy()})
-
-    size = 1 + 2 * depth
+                    yield pd.DataFrame({"label": label, "node": part["node"].to_numpy()})
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, prefix, last, first_row = None, None, None, None
+        kinds = {"a": "Int64", "b": "Int64", "depth": "Int32"}
+        # the first row of the current bucket at each depth
+        heads, before, first_row = [0] * (FULL_DEPTH + 1), None, None
         for batch in batches:
-            a, b = [], []
-            for label, rep in zip(batch["label"], batch["rep"]):
-                own = label[:size]
-                if own == prefix:
-                    a.append(head)
-                    b.append(rep)
-                else:
-                    head, prefix = rep, own
-                last = (own, rep)
+            a, b, depth = [], [], []
+            for label, node in zip(batch["label"], batch["node"]):
+                met = -1 if before is None else matched(before, label)
+                if met >= least:
+                    a.append(heads[met])
+                    b.append(node)
+                    depth.append(met)
+                for d in range(max(met, -1) + 1, FULL_DEPTH + 1):
+                    heads[d] = node
+                before, last = label, (label, node)
                 first_row = first_row or last
-            yield pd.DataFrame({"a": a, "b": b, "prefix": None}, columns=["a", "b", "prefix"]).astype({"a": "Int64", "b": "Int64"})
-        if last is not None:
+            yield pd.DataFrame({"a": a, "b": b, "depth": depth, "label": None}, columns=["a", "b", "depth", "label"]).astype(kinds)
+        if before is not None:
             ends = [first_row, last]
-            yield pd.DataFrame({"a": [r for _, r in ends], "b": [None, None], "prefix": [p for p, _ in ends]}).astype({"a": "Int64", "b": "Int64"})
+            yield pd.DataFrame({"a": [n for _, n in ends], "b": [None, None], "depth": [None, None], "label": [x for x, _ in ends]}).astype(kinds)
+
+    labels = reps.select("node", "sig").mapInPandas(plant, "label binary, node long")
+    sorted_labels = labels.repartitionByRange("label", "node").sortWithinPartitions("label", "node")
+    found = cut(sorted_labels.mapInPandas(walk, "a long, b long, depth int, label binary"))
+    ends = found.filter("label is not null").select("a", F.explode(F.sequence(F.lit(least), F.lit(FULL_DEPTH))).alias("depth"), "label")
+    ends = ends.select("a", "depth", F.expr("substring(label, 1, 1 + 2 * depth)").alias("prefix")).distinct()
+    across = ends.join(ends.groupBy("prefix").agg(F.min("a").alias("b")), "prefix").select("a", "b", "depth")
+    return found.filter("label is null").select("a", "b", "depth").union(across)
+
+
+def cores(edges: DataFrame, least: int, large: int) -> DataFrame:
+    """node, core, parted: components at the least depth; those of more than large texts are parted by longer matches, step by step."""
+    now = cut(components(edges).select("node", F.col("root").alias("core"), F.lit(False).alias("parted")))
+    for depth in range(least + 1, FULL_DEPTH + 1):
+        over = cut(now.groupBy("core").agg(F.count("*").alias("_n")).filter(F.col("_n") > large).select("core"))
+        if over.isEmpty():
+            break
+        inside = cut(now.join(over, "core", "left_semi").select("node"))
+        kept = edges.filter(F.col("depth") >= depth).join(inside, F.col("a") == F.col("node"), "left_semi")
+        smaller = components(kept).select("node", F.col("root").alias("_core"))
+        again = inside.join(smaller, "node", "left").select("node", F.coalesce("_core", "node").alias("core"), F.lit(True).alias("parted"))
+        now = cut(now.join(over, "core", "left_anti").select("node", "core", "parted").unionByName(again))
+    return now
 
-    labels = reps.select("rep", "sig").mapInPandas(plant, "label binary, rep long")
-    sorted_labels = labels.repartitionByRange("label", "rep").sortWithinPartitions("label", "rep")
-    found = cut(sorted_labels.mapInPandas(walk, "a long, b long, prefix binary"))
-    ends = found.filter("prefix is not null").select("prefix", "a").distinct()
-    across = ends.join(ends.groupBy("prefix").agg(F.min("a").alias("b")), "prefix").select("a", "b")
-    return found.filter("prefix is null").select("a", "b").union(across)
+
+def met_across(members: DataFrame, least: int, block: int) -> DataFrame:
+    """node and its buckets (bucket, blocks) that hold texts of different cores; members has node, core and sig."""
+
+    def plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sigs = _signatures(batch["sig"])
+            for tree in range(TREES):
+                prefix = np.ascontiguousarray(sigs[:, _CHOICES[tree][:least]])
+                yield pd.DataFrame({"bucket": [bytes([tree]) + p.tobytes() for p in prefix], "node": batch["node"].to_numpy(), "core": batch["core"].to_numpy()})
+
+    labels = cut(members.select("node", "core", "sig").mapInPandas(plant, "bucket binary, node long, core long"))
+    mixed = labels.groupBy("bucket").agg(F.min("core").alias("_a"), F.max("core").alias("_b"), F.count("*").alias("_n")).filter("_a < _b")
+    mixed = mixed.select("bucket", F.ceil(F.col("_n") / block).cast("int").alias("blocks"))
+    return labels.join(mixed, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "blocks")).alias("buckets"))
 
 
 def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -187,12 +251,23 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return OF * common >= ABOVE * either
 
 
-def compared(reps: list[int], sets: list[np.ndarray], sides: list[bool] | None) -> list[tuple[int, int, int]]:
+def _first_met_here(sigs: list[bytes], tree: int, least: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether no tree before this one has a bucket with both."""
+    own = _signatures(sigs)
+    before = np.zeros((len(left), len(right)), bool)
+    for earlier in range(tree):
+        prefix = np.unique(own[:, _CHOICES[earlier][:least]], axis=0, return_inverse=True)[1].ravel()
+        before |= prefix[left][:, None] == prefix[right][None, :]
+    return ~before
+
+
+def compared(nodes: list[int], sets: list[np.ndarray], sides: list[bool] | None, cores: list[int] | None = None, sigs: list[bytes] | None = None, tree: int = 0, least: int = 0) -> list[tuple[int, int, int]]:
     """(text, number of its links, least text it is connected to) for each text with links, from one group.
 
-    sides: for a pair of different blocks, whether a text is of the second; only pairs across are compared.
+    sides: for a pair of different blocks, whether a text is of the second; only pairs across are compared. cores and sigs: for
+    a bucket, only pairs of different cores count, in the first tree where they meet.
     """
-    ids = np.array(reps)
+    ids = np.array(nodes)
     side = np.array(sides) if sides is not None else None
     left = np.arange(len(ids)) if side is None else np.flatnonzero(~side)
     right = np.arange(len(ids)) if side is None else np.flatnonzero(side)
@@ -201,6 +276,9 @@ def compared(reps: list[int], sets: list[np.ndarray], sides: list[bool] | None)
     yes = _linked(sets, left, right)
     if side is None:
         np.fill_diagonal(yes, False)
+    if cores is not None and yes.any():
+        core = np.array(cores)
+        yes &= (core[left][:, None] != core[right][None, :]) & _first_met_here(sigs, tree, least, left, right)
     links = np.zeros(len(ids), np.int64)
     links[left] += yes.sum(1)
     if side is not None:
@@ -217,18 +295,33 @@ def compared(reps: list[int], sets: list[np.ndarray], sides: list[bool] | None)
     return [(int(ids[k]), int(links[k]), int(root[k])) for k in np.flatnonzero(links)]
 
 
-def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """rep, links, root and blocks by pair of blocks; members has rep, comp and blocks, how many its component is dealt to."""
+def verified(docs: DataFrame, members: DataFrame, least: int) -> DataFrame:
+    """node, links and root by pair of blocks of each group.
+
+    members has node, copy_id and key (which text it is), core, sig and groups: (grp, blocks), a core or a bucket and how many
+    blocks it is dealt to. A core's grp is a zero and its number, a bucket's a one and its label.
+    """
+    columns = "grp binary, p int, q int, second boolean, node long, core long, grams binary, sig binary"
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
-            rows = []
-            for rep, comp, blocks, text in zip(batch["rep"], batch["comp"], batch["blocks"], batch["text"]):
-                grams = np.unique(shingler.grams(shingler.words(text))).tobytes()
-                own = xxhash.xxh3_64_intdigest(str(rep)) % blocks
-                rows += [(comp, min(own, k), max(own, k), own > k, rep, blocks, grams) for k in range(blocks)]
-            yield pd.DataFrame(rows, columns=["comp", "p", "q", "second", "rep", "blocks", "grams"])
+            rows, held = [], 0
+            for node, key, core, sig, groups, text in zip(*(batch[c] for c in ("node", "key", "core", "sig", "groups", "text"))):
+                words = shingler.words(text)
+                if words_key(words) != key:
+                    continue  # another text of the same id
+                grams = np.unique(shingler.grams(words)).tobytes()
+                for g in groups:
+                    grp, blocks = g["grp"], g["blocks"]
+                    own = xxhash.xxh3_64_intdigest(str(node)) % blocks
+                    rows += [(grp, min(own, k), max(own, k), own > k, node, core, grams, sig if grp[0] else b"") for k in range(blocks)]
+                    held += blocks * len(grams)
+                    if held > 1 << 24:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, group = None, []
@@ -237,49 +330,82 @@ def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
             rows = {r[1]: r for r in reversed(group)}
             if len(rows) < 2:
                 return []
-            _, p, q = key
+            grp, p, q = key
             sets = [np.frombuffer(r[3], np.uint64) for r in rows.values()]
-            found = compared(list(rows), sets, [r[0] for r in rows.values()] if p != q else None)
-            return [(*f, group[0][2]) for f in found]
+            sides = [r[0] for r in rows.values()] if p != q else None
+            if not grp[0]:
+                return compared(list(rows), sets, sides)
+            return compared(list(rows), sets, sides, [r[2] for r in rows.values()], [r[4] for r in rows.values()], grp[1], least)
 
         for batch in batches:
             out = []
-            for comp, p, q, second, rep, blocks, grams in batch.itertuples(index=False, name=None):
-                if (comp, p, q) != key:
+            for grp, p, q, *row in batch.itertuples(index=False, name=None):
+                if (grp, p, q) != key:
                     out += done()
-                    key, group = (comp, p, q), []
-                group.append((second, rep, blocks, grams))
-            yield pd.DataFrame(out, columns=["rep", "links", "root", "blocks"])
-        yield pd.DataFrame(done(), columns=["rep", "links", "root", "blocks"])
-
-    texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = texts.join(members, "rep").mapInPandas(deal, "comp long, p int, q int, second boolean, rep long, blocks int, grams binary")
-    return dealt.repartition("comp", "p", "q").sortWithinPartitions("comp", "p", "q").mapInPandas(compare, "rep long, links long, root long, blocks int")
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), copy_id (the least of its copies), n_copies and n_links (different texts alike enough)."""
+                    key, group = (grp, p, q), []
+                group.append(row)
+            yield pd.DataFrame(out, columns=["node", "links", "root"])
+        yield pd.DataFrame(done(), columns=["node", "links", "root"])
+
+    texts = docs.select(F.col("doc_id").alias("copy_id"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = texts.join(members, "copy_id").select("node", "key", "core", "sig", "groups", "text").mapInPandas(deal, columns)
+    return dealt.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q").mapInPandas(compare, "node long, links long, root long")
+
+
+def linked_texts(docs: DataFrame, reps: DataFrame, large: int | None = None) -> DataFrame:
+    """node, n_links and root (of its class) of every text that has links; reps has node, copy_id, key, n_words and sig."""
+    least = matched_depth()
+    edges = cut(forest_edges(reps.filter("n_words > 0"), least))
+    found = cores(edges, least, LARGE if large is None else large)
+    known = cut(found.join(reps.select("node", "copy_id", "key", "n_words", "sig"), "node"))
+    sizes = known.groupBy("core").agg(F.count("*").alias("_n"), F.sum("n_words").alias("_w")).filter("_n > 1")
+    blocks = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_w") / BLOCK_WORDS)).cast("int")
+    whole = known.join(sizes.select("core", blocks.alias("blocks")), "core", "left")
+    grp = F.concat(F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex("core"), 16, "0")))
+    # a core that is one text has nothing to be compared with
+    whole = whole.withColumn("groups", F.when(F.col("blocks").isNotNull(), F.array(F.struct(grp.alias("grp"), F.col("blocks").alias("blocks")))).otherwise(F.array()))
+    across = met_across(known.filter("parted"), least, BLOCK)
+    one = F.unhex(F.lit("01"))
+    more = F.transform("buckets", lambda b: F.struct(F.concat(one, b["bucket"]).alias("grp"), b["blocks"].alias("blocks")))
+    members = whole.join(across.select("node", more.alias("_more")), "node", "left").withColumn("groups", F.concat("groups", F.coalesce("_more", F.array()))).filter(F.size("groups") > 0)
+    pairs = cut(verified(docs, members.select("node", "copy_id", "key", "core", "sig", "groups"), least))
+    # the links of one block are a class; those of several blocks, or of cores and buckets, are joined
+    many = members.filter((F.size("groups") > 1) | (F.col("groups")[0]["blocks"] > 1) | F.col("parted")).select("node")
+    links = pairs.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
+    joined = cut(components(pairs.join(many, "node", "left_semi").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return links.join(joined.select("node", F.col("root").alias("_far")), "node", "left").select("node", "n_links", F.coalesce("_far", "root").alias("root"))
+
+
+def _texts(docs: DataFrame, large: int | None) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id and key; and for every key copy_id, n_copies, n_links, and class_id and class_key, the least id and key of the class."""
     own = cut(docs.select("doc_id", signed(F.col("text")).alias("_s")).select("doc_id", "_s.*"))
-    named = own.filter("doc_id is not null")
-    first = F.min(F.struct("doc_id", "n_words", "sig"))
-    reps = named.groupBy("key").agg(first.alias("_f"), F.count("*").alias("n_copies"))
-    reps = cut(reps.select("key", F.col("_f.doc_id").alias("rep"), "_f.n_words", "_f.sig", "n_copies"))
-    groups = cut(components(forest_edges(reps.filter("n_words > 0"), matched_depth())).select(F.col("node").alias("rep"), F.col("root").alias("comp")))
-    large = cut(groups.groupBy("comp").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK))
-    members = groups.join(large, "comp", "left").select("rep", "comp", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
-    found = cut(verified(docs, members))
-    links = found.groupBy("rep").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
-    split = cut(components(found.filter("blocks > 1").select(F.col("rep").alias("a"), F.col("root").alias("b"))))
-    links = links.join(split.select(F.col("node").alias("rep"), F.col("root").alias("far")), "rep", "left")
-    links = links.select("rep", "n_links", F.coalesce("far", "root").alias("class_id"))
-    known = reps.join(links, "rep", "left").select("key", F.col("rep").alias("copy_id"), "n_copies", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    joined = named.select("doc_id", "key").join(cut(known), "key").select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+    reps = own.filter("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n_words", "sig")).alias("_f"), F.count("*").alias("n_copies"))
+    # written out, so that the numbers stay
+    reps = cut(reps.select(F.monotonically_increasing_id().alias("node"), "key", F.col("_f.doc_id").alias("copy_id"), "_f.n_words", "_f.sig", "n_copies"))
+    links = cut(linked_texts(docs, reps, large).join(reps.select("node", "copy_id", "key"), "node"))
+    least = links.groupBy("root").agg(F.min(F.struct("copy_id", "key")).alias("_least"))
+    classed = links.join(least, "root").select("node", "n_links", "_least")
+    known = reps.join(classed, "node", "left").select(
+        "key", "copy_id", "n_copies", F.coalesce("_least.copy_id", "copy_id").alias("class_id"), F.coalesce("_least.key", "key").alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+    return own.select("doc_id", "key"), cut(known)
+
+
+def classes(docs: DataFrame, large: int | None = None) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class), copy_id (the least of its copies), n_copies and n_links (different texts alike enough)."""
+    own, known = _texts(docs, large)
+    joined = own.filter("doc_id is not null").join(known, "key").select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
     null = F.lit(None).cast("long")
     return joined.unionByName(own.filter("doc_id is null").select("doc_id", *(null.alias(c) for c in ("class_id", "copy_id", "n_copies", "n_links"))))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, one of each class: the one of the least doc_id, once. Rows without an id stay."""
-    kept = classes(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+def one_of_each(docs: DataFrame, large: int | None = None) -> DataFrame:
+    """The documents, one of each class: of its least id and key, the row that is least by its values. Rows without an id stay."""
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    _, known = _texts(docs, large)
+    kept = known.filter("key = class_key").select(F.col("copy_id").alias("_id"), F.col("key").alias("_kept"))
+    rows = docs.filter(F.col("doc_id").isNotNull()).withColumn(key, keyed(F.col("text")))
+    chosen = rows.join(kept, (rows["doc_id"] == kept["_id"]) & (rows[key] == kept["_kept"]), "left_semi").dropDuplicates(["doc_id", key]).drop(key)
     return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))

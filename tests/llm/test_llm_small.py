@@ -352,6 +352,22 @@ def test_rewriting_templates_are_detected():
     assert chat.render([("user", "a"), ("assistant", "b")], chat.template).texts is not None
 
 
+@pytest.mark.parametrize("at", [3, 150, 200])
+def test_late_rewrites_are_detected(spark, at):
+    def late(turns):
+        return chat.template(turns) if len(turns) < at else "cut\n" + chat.template(turns[-at // 2 :])
+
+    rows = [(c, i, ("user", "assistant")[i % 2], f"t{i}", 1.5) for c, n in ((1, at - 1), (2, at + 40)) for i in range(n)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns double")
+    found = {r["conv_id"]: r for r in chat.digest(turns, late).collect()}
+    whole = late([(role, text) for c, _, role, text, _ in rows if c == 2])
+    assert not found[1]["rewrites_history"] and found[1]["n_turns"] == at - 1
+    assert found[2]["rewrites_history"] and found[2]["formatted_chars"] == len(whole)
+    # undeclared, a local template gives what the declared one gives
+    plain = chat.digest(turns, lambda t: chat.template(t)).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, chat.digest(turns).collect()))
+
+
 # urls
 
 

@@ -4,12 +4,14 @@ Successive prefixes of a conversation's turns are rendered. Where each output be
 last turn's span; where it doesn't, the template rewrites history, and the conversation is reported as such without spans.
 Inside a span, two probe texts that differ in one letter show where the text begins, and an empty one how long the rest is.
 
-Turns are dealt by conversation, sorted, and streamed: a task holds one block of turns at a time, and the hashes go on from
-block to block. A long conversation is rendered in windows that begin with a turn before the block; the first block is
-rendered both ways, and where the two differ, the template isn't local and the conversation is rendered whole.
+Turns are dealt by conversation, sorted, and streamed, and the hashes go on from block to block. A template that is declared
+local (an attribute local that is true: what a turn adds depends on it and the turn before alone) is rendered in windows of
+one turn before a block, in bounded memory. Any other template is rendered whole, prefix after prefix, whatever the length of
+the conversation, so that a rewrite at any turn is found; that holds the conversation and takes time as its length squared.
 
 Defined results: a null text or role is empty; turns of equal number come in the order of role and text; null numbers first;
-repeated rows are turns of their own; a conversation whose number is null is one conversation.
+repeated rows are turns of their own; a conversation whose number is null is one conversation; an empty table gives no rows;
+other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -48,6 +50,9 @@ def template(turns: list[Turn]) -> str:
     return "".join(f"<s>[INST] {escape(role)} [/INST]\n{escape(text)}</s>\n" for role, text in turns)
 
 
+template.local = True
+
+
 def parse(formatted: str) -> list[Turn]:
     """The turns that a text of template() holds."""
     out, at = [], 0
@@ -116,19 +121,13 @@ class Conversation:
 
     def __init__(self, render_all: Template):
         self.render_all, self.reader = render_all, Reader()
+        self.local = getattr(render_all, "local", False)
         self.block: list[Turn] = []
-        self.all: list[Turn] | None = []
         self.before: list[Turn] = []
 
     def add(self, role: str, text: str) -> None:
         self.block.append((role, text))
-        if self.all is not None:
-            self.all.append((role, text))
-        if len(self.block) == BLOCK and self.all is not None and len(self.all) == 2 * BLOCK:
-            # what the second block adds, with all before it and with one turn before it
-            if self.render_all(self.all)[len(self.render_all(self.all[:BLOCK])) :] == render(self.block, self.render_all, self.before).added:
-                self.all = None
-        if len(self.block) == BLOCK and (self.all is None or len(self.all) == BLOCK):
+        if self.local and len(self.block) == BLOCK:
             self._flush()
 
     def _flush(self) -> None:
@@ -137,8 +136,6 @@ class Conversation:
             self.before, self.block = self.block[-1:], []
 
     def end(self) -> Reader:
-        if self.all is not None and len(self.all) > BLOCK:
-            self.reader, self.block, self.before = Reader(), self.all, []
         self._flush()
         return self.reader
 
@@ -182,7 +179,11 @@ def digest(turns: DataFrame, render_all: Template = template) -> DataFrame:
 
 
 def formatted(turns: DataFrame, render_all: Template = template) -> DataFrame:
-    """One row for each turn, for templates that render a turn alike after one turn and after all before it: its formatted text, and where its own text begins and ends within."""
+    """One row for each turn: its formatted text, and where its own text begins and ends within, or nulls if the template rewrites history before it or there.
+
+    A template that isn't declared local is given all turns before, so a conversation is held by its task.
+    """
+    local = getattr(render_all, "local", False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, before, n = object(), [], 0
@@ -195,7 +196,7 @@ def formatted(turns: DataFrame, render_all: Template = template) -> DataFrame:
                 r = render([(role, text)], render_all, before)
                 a, b = r.texts[0] if r.texts else (None, None)
                 rows.append((key, n, role, r.added, a, b, role == "assistant"))
-                before = [(role, text)]
+                before = [(role, text)] if local else [*before, (role, text)]
             yield pd.DataFrame(rows, columns=["conv_id", "n", "role", "formatted", "begins", "ends", "loss"]).astype({"conv_id": "Int64", "begins": "Int64", "ends": "Int64"})
 
     return in_order(turns).mapInPandas(run, "conv_id long, n long, role string, formatted string, begins long, ends long, loss boolean")

@@ -2,21 +2,22 @@
 
 Two smoothed variable-order Markov models of characters, one of accepted and one of rejected URLs, are counted by Spark over
 every URL that a rule decides. A character's probability under each order leans on the next shorter context where the longer
-one is rare. Contexts and characters are counted in hashed tables of a fixed size, so what is sent to the tasks is bounded
-whatever the number of URLs. The score is the difference of the log-likelihoods by length; its threshold is the one that
-errs least, weighing both kinds alike, on the ruled URLs of a fifth of hashes, which the models don't see.
+one is rare. The counts are exact and grow with the URLs: a table of every n-gram of ORDER characters and the next one, from
+which those of shorter contexts are summed. The log-ratio of the two models is computed once for each distinct n-gram, order
+by order, and joined to the n-grams of the distinct URLs; n-grams that make up a large share of all, of which there can be
+only few (at most SHARES), are joined by broadcast, so that no common one lands in one task. The score of a URL is its mean
+log-ratio by character; its threshold is the one that errs least, weighing both kinds alike, on the ruled URLs of a fifth of
+hashes, which the models don't see. All is DataFrame expressions.
 
 Defined results: a URL that is null or has no "://" has an empty host and path and is scored as an empty text; where no URL
-is ruled, the models are uniform, scores are 0 and the verdict is allow; repeated rows each have a verdict.
+is ruled, the models are uniform, scores are 0 and the verdict is allow; repeated rows each have a verdict, and each counts;
+a URL of any length is read whole; an empty table gives no rows; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -30,9 +31,10 @@ RULES = (
     ("block", "org", "/es/"),
 )
 ORDER = 5
-CELLS = 1 << 16
 #: Weight of the shorter context in the smoothing, in counts.
 LEAN = 4.0
+#: A character's probability without any count, what stands before a text and after it, and the n-grams' greatest number that can be joined by broadcast.
+UNIFORM, BEFORE, AFTER, SHARES = 1 / 256, "\x02", "\n", 1000
 #: Scores are binned so finely for the threshold.
 BIN = 0.01
 
@@ -56,60 +58,48 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return own.withColumns({"rule": rule, "ruled": ruled})
 
 
-def contexts(texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For a batch, characters with an end mark: the text of each, and for each order the cells of its context and of context and character."""
-    data = [t.encode() + b"\n" for t in texts]
-    which = np.repeat(np.arange(len(data)), [len(d) for d in data])
-    chars = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
-    place = np.arange(len(chars)) - np.concatenate([[0], np.cumsum([len(d) for d in data])])[which]
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    seen, out = np.zeros(len(chars), np.uint64), []
-    for order in range(ORDER + 1):
-        if order:
-            past = np.zeros(len(chars), np.uint64)
-            past[order:] = chars[:-order] + np.uint64(1)
-            # before the start there is nothing, whatever text precedes in the batch
-            past[place < order] = 0
-            seen = (seen + past) * odd
-            seen ^= seen >> np.uint64(29)
-        salt = np.uint64((order + 1) * 0xBF58476D1CE4E5B9 % 2**64)
-        cell = [((k ^ k >> np.uint64(32)) % np.uint64(CELLS)).astype(np.int64) for k in ((seen + salt) * odd, (seen + salt + chars * np.uint64(0x94D049BB133111EB) + np.uint64(7)) * odd)]
-        out.append((cell[0], cell[1]))
-    return which, out, chars
-
-
-def scores(texts: list[str], tables: np.ndarray) -> np.ndarray:
-    """Mean log-likelihood by character, accepted less rejected; tables: counts by model, order, kind (context, with character) and cell."""
-    if not texts:
-        return np.zeros(0)
-    which, cells, chars = contexts(texts)
-    total = np.zeros((2, len(texts)))
-    for model in (0, 1):
-        p = np.full(len(chars), 1 / 256)
-        for order, (context, both) in enumerate(cells):
-            p = (tables[model, order, 1][both] + LEAN * p) / (tables[model, order, 0][context] + LEAN)
-        # cells that collide can count a character more often than its context
-        total[model] = np.bincount(which, np.log(np.minimum(p, 1.0)), len(texts))
-    return (total[0] - total[1]) / np.bincount(which, minlength=len(texts))
-
-
-def train(ruled: DataFrame) -> np.ndarray:
-    """The tables, from every ruled URL but the fifth kept for calibration."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for model, verdict in enumerate(("allow", "block")):
-                texts = batch.loc[batch["ruled"] == verdict, "text"].tolist()
-                for order, pair in enumerate(contexts(texts)[1] if texts else []):
-                    for kind, cells in enumerate(pair):
-                        cell, n = np.unique(cells, return_counts=True)
-                        yield pd.DataFrame({"slot": ((model * (ORDER + 1) + order) * 2 + kind) * CELLS + cell, "n": n})
-
-    counted = ruled.filter("not held").select("text", "ruled").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = counted.toPandas()  # no more rows than cells
-    tables = np.zeros(2 * (ORDER + 1) * 2 * CELLS)
-    tables[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(float)
-    return tables.reshape(2, ORDER + 1, 2, CELLS)
+def grams(text: Column) -> Column:
+    """Each character of a text and its end, after the ORDER characters before it."""
+    padded = F.concat(F.lit(BEFORE * ORDER), text, F.lit(AFTER))
+    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
+
+
+def ratios(counted: DataFrame) -> DataFrame:
+    """gram and ratio, the log of its last character's probability after the rest, accepted less rejected; counted has gram, allow and block.
+
+    From the single characters on, an n-gram's probability under each model leans on that of the n-gram without its first
+    character. A context is followed by no more kinds of characters than there are, so its sum is a window of a few rows.
+    """
+    known = None
+    for size in range(1, ORDER + 2):
+        own = counted.groupBy(F.substring("gram", -size, size).alias("gram")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+        if size == 1:
+            # one row for all, and so many characters as there are
+            own = own.crossJoin(F.broadcast(own.agg(F.sum("allow").alias("allow_all"), F.sum("block").alias("block_all"))))
+            own = own.withColumns({f"p_{k}": F.lit(UNIFORM) for k in ("allow", "block")})
+        else:
+            w = Window.partitionBy(F.substring("gram", 1, size - 1))
+            own = own.withColumns({f"{k}_all": F.sum(k).over(w) for k in ("allow", "block")}).join(known, F.substring("gram", -(size - 1), size - 1) == known["_gram"])
+        p = {k: (F.col(k) + LEAN * F.col(f"p_{k}")) / (F.col(f"{k}_all") + LEAN) for k in ("allow", "block")}
+        known = own.select(F.col("gram").alias("_gram"), *(v.alias(f"p_{k}") for k, v in p.items()))
+    return known.select(F.col("_gram").alias("gram"), (F.log("p_allow") - F.log("p_block")).cast("decimal(20,12)").alias("ratio"))
+
+
+def scored(texts: DataFrame) -> DataFrame:
+    """text and score of each distinct text; texts has text, ruled and held, and counts towards a model where it is ruled and not held."""
+    of = lambda verdict: F.count_if((F.col("ruled") == verdict) & ~F.col("held"))
+    own = cut(texts.groupBy("text").agg(of("allow").alias("allow"), of("block").alias("block")).withColumn("id", F.monotonically_increasing_id()))
+    each = own.select("id", "allow", "block", F.explode(grams(F.col("text"))).alias("gram"))
+    counted = cut(each.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"), F.count("*").alias("n")))
+    table = cut(ratios(counted))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    # as n sums to the total, at most SHARES n-grams have more than that share of it
+    common = table.join(counted.filter(F.col("n") * SHARES > total).select("gram"), "gram", "left_semi").select("gram", F.col("ratio").alias("_common"))
+    marked = each.select("id", "gram").join(F.broadcast(common), "gram", "left")
+    often = marked.filter("_common is not null").groupBy("id").agg(F.sum("_common").alias("s"), F.count("*").alias("n"))
+    rest = marked.filter("_common is null").select("id", "gram").join(table, "gram").groupBy("id").agg(F.sum("ratio").alias("s"), F.count("*").alias("n"))
+    sums = often.unionByName(rest).groupBy("id").agg((F.sum("s").cast("double") / F.sum("n")).alias("score"))
+    return own.select("id", "text").join(sums, "id").select("text", "score")
 
 
 def threshold(bins: list[tuple[int, str, int]]) -> float:
@@ -133,17 +123,12 @@ def threshold(bins: list[tuple[int, str, int]]) -> float:
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every page."""
-    all_rows = with_rules(pages, rules).withColumn("text", F.concat("host", "path"))
-    ruled = cut(all_rows.filter("ruled is not null").select("text", "ruled", (F.pmod(F.crc32("text"), F.lit(5)) == 0).alias("held")))
-    tables = train(ruled)
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(scores(batch.tolist(), tables))
-
-    bins = ruled.filter("held").select(F.floor(score("text") / BIN).alias("b"), "ruled").groupBy("b", "ruled").agg(F.count("*").alias("n")).collect()
+    held = F.pmod(F.crc32("text"), F.lit(5)) == 0
+    all_rows = cut(with_rules(pages, rules).withColumn("text", F.concat("host", "path")).withColumn("held", held))
+    found = cut(scored(all_rows.select("text", "ruled", "held")))
+    # texts are one row each in found, and a common one is many rows' match, which Spark parts by their number
+    judged = all_rows.join(found, "text")
+    bins = judged.filter("held and ruled is not null").groupBy(F.floor(F.col("score") / BIN).alias("b"), "ruled").agg(F.count("*").alias("n")).collect()
     least = threshold([tuple(r) for r in bins])
-    judged = all_rows.withColumn("score", score("text"))
     verdict = F.coalesce("ruled", F.when(F.col("score") >= least, "allow").otherwise("block"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

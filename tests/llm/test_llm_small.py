@@ -602,11 +602,41 @@ def test_quality_cotraining(spark):
     assert quality.judge(empty(spark), marks).count() == 0
 
 
+def test_views_are_separate_and_teach_from_all_documents(spark, monkeypatch):
+    r = random.Random(6)
+    # stored fields tell the kinds apart where texts are new, and texts where fields are missing
+    rows, marks = [], []
+    for i in range(900):
+        good = i % 3 > 0
+        words = [f"{'fine' if good else 'junk'}{r.randrange(40)}" for _ in range(30)] if i < 600 else [f"{'calm' if good else 'loud'}{r.randrange(40)}" for _ in range(30)]
+        rows.append((i, " ".join(words), "en", ("a" if good else "b") if i >= 200 or i % 2 else None, 200 if good else 9000, 0.0, 0, "x"))
+        if i < 300:
+            marks.append((i, int(good), 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    assert quality.page("en", "a", 5.0) == quality.page("en", "a", 5.0) and len(quality.layout("a b")) == 13
+    model = quality.fit(docs, labels(spark, marks))
+    own = docs.select("doc_id", quality.score(docs, model).alias("s")).collect()
+    assert np.mean([(x["s"] >= 0.5) == (x["doc_id"] % 3 > 0) for x in own if x["doc_id"] >= 300]) >= 0.97
+    # without the text, the view of words is at a loss for the new words, unless the other view has taught it
+    frame = pd.DataFrame({"text": ["calm1 calm2 calm3", "loud1 loud2 loud3"], "lang": "en", "source": None, "n_chars": None})
+    taught_text = model.text.logits(*(lambda f: (f.rows, f.numbers))(quality.Features.of(frame, quality.Words())))
+    assert taught_text[0] > taught_text[1] + 1
+    repeated = docs.union(docs)
+    assert len({(x["doc_id"], x["score"]) for x in quality.judge(repeated, labels(spark, marks)).collect()}) == 900
+
+
+def test_surest_share():
+    assert quality.surest({0: 10, 500: 980, 999: 10}, 0.5) == (0.001, 0.999)
+    # nothing is taught that a view isn't sure of
+    low, high = quality.surest({400: 50, 600: 50}, 0.5)
+    assert low <= 1 - quality.SURE and high >= quality.SURE
+
+
 def test_layout_reads_whole_texts():
     r = random.Random(4)
     head = " ".join(r.choice(["river", "garden", "stone", "cloud", "winter"]) + str(r.random()) for _ in range(4000))[:65_536]
     same, other = head + "buy now! " * 20_000, head + "".join(r.choice("abcdefghij \n") for _ in range(180_000))
-    packed = [quality.layout(t, "en", None, None)[12] for t in (head, same, other, "")]
+    packed = [quality.layout(t)[12] for t in (head, same, other, "")]
     assert packed == [len(zlib.compress(t.encode(), 1)) / max(1, len(t)) if t else 0.0 for t in (head, same, other, "")]
     assert packed[1] < packed[0] / 2 < packed[2]
 

@@ -307,7 +307,7 @@ def test_all_trusted_documents_count(spark):
     # where every document is trusted, both models are the same
     docs = spark.range(20_050).select(F.col("id").alias("doc_id"), F.lit("clear water").alias("text"))
     marks = spark.range(20_050).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
-    assert set(rules.weights(docs, marks).first()["weights"]) == {0.0}
+    assert set(rules.weights(rules.counts(docs), marks).first()["weights"]) == {0.0}
     # and a document that one label calls poor isn't trusted
     assert rules.trusted_ids(marks.union(marks).union(spark.createDataFrame([(7, 0, 0)], marks.schema))).count() == 20_049
 

@@ -4,10 +4,12 @@ Everything is DataFrame expressions. Each text becomes an array of words, and hi
 Two multinomials over hashed n-grams (lower-case words, and pairs of neighbouring word shapes) are counted: one over all
 trusted documents, one over all documents. A document's score is the mean, over its n-grams, of the log
 ratio of the two. It is kept if the score isn't below the trusted documents' mean by more than a number of their standard
-deviations; sums are of decimals, so the bound doesn't depend on the order of tasks.
+deviations; sums are of decimals, so the bound doesn't depend on the order of tasks. The buckets of all n-grams are computed once
+and written out as two bytes each, for the counts and for the scores.
 
 Defined results: a null or empty text has no words, counts of 0, and fails; without trusted documents all scores are 0 or
-depend on smoothing alone, and the rules decide; repeated rows each count; an empty table gives no rows.
+depend on smoothing alone, and the rules decide; repeated rows each count; an empty table gives no rows; a text of any length
+is one row's work, in time in proportion to it but for the sort of its windows. Windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ def repeated_words(ordered: str) -> Column:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """_id, _ngrams (their buckets) and the base counts of every document."""
+    """_id, _ngrams (their buckets, less BUCKETS / 2) and the base counts of every document."""
     base = prepared(docs, F.col("doc_id").alias("_id"))
     windows = F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
@@ -62,7 +64,7 @@ def counts(docs: DataFrame) -> DataFrame:
     base = base.withColumn("_o", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed))
     return base.select(
         "_id",
-        ngrams("_w", "_s").alias("_ngrams"),
+        F.transform(ngrams("_w", "_s"), lambda b: (b - BUCKETS // 2).cast("smallint")).alias("_ngrams"),
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "_w")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -88,13 +90,13 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min("quality").alias("_q")).filter("_q = 1").select(F.col("doc_id").alias("_trusted"))
 
 
-def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row with an array of the log ratio of each bucket."""
+def weights(base: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row with an array of the log ratio of each bucket; base has _id and _ngrams."""
     ids = trusted_ids(labels)
-    own = docs.select("doc_id", "text").join(ids, docs["doc_id"] == ids["_trusted"], "left")
-    each = prepared(own, F.col("_trusted").isNotNull().cast("int").alias("_good")).select("_good", F.explode(ngrams("_w", "_s")).alias("_b"))
-    seen = each.groupBy("_b").agg(F.count("*").alias("raw"), F.sum("_good").alias("good"))
-    full = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("_b")).join(seen, "_b", "left")
+    own = base.select("_id", "_ngrams").join(ids, base["_id"] == ids["_trusted"], "left")
+    each = own.select(F.col("_trusted").isNotNull().cast("int").alias("_good"), F.explode("_ngrams").alias("_n"))
+    seen = each.groupBy("_n").agg(F.count("*").alias("raw"), F.sum("_good").alias("good")).withColumn("_b", F.col("_n").cast("int") + BUCKETS // 2)
+    full = base.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("_b")).join(seen, "_b", "left")
     full = full.select("_b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     rows = full.agg(F.sort_array(F.collect_list(F.struct("_b", "raw", "good"))).alias("r"), F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     ratio = lambda x: F.log((x["good"] + 1) / (F.col("good") + BUCKETS)) - F.log((x["raw"] + 1) / (F.col("raw") + BUCKETS))
@@ -103,9 +105,10 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
     """doc_id, the base counts, base_failed, score and kept, for every document."""
-    model = cut(weights(docs, labels))
-    total = F.aggregate("_ngrams", F.lit(0.0), lambda a, b: a + F.get("_m", b))
-    scored = counts(docs).withColumn("_m", model.select("weights").scalar())
+    base = cut(counts(docs))
+    model = cut(weights(base, labels))
+    total = F.aggregate("_ngrams", F.lit(0.0), lambda a, b: a + F.get("_m", b.cast("int") + BUCKETS // 2))
+    scored = base.withColumn("_m", model.select("weights").scalar())
     scored = scored.withColumn("score", F.coalesce(total / F.nullif(F.size("_ngrams"), F.lit(0)), F.lit(0.0)).cast("decimal(18,9)")).drop("_ngrams", "_m")
     scored = cut(scored)
     ids = trusted_ids(labels)

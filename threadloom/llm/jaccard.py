@@ -41,7 +41,9 @@ SHINGLE = 5
 ABOVE, OF = 4, 5
 MINIMA, TREES, FULL_DEPTH, TARGET, SEED = 128, 48, 12, 0.999, 11
 #: Texts of a component that isn't parted, texts in a block and words in it, columns of a matrix at a time, and words whose hashes a worker keeps.
-LARGE, BLOCK, BLOCK_WORDS, COLUMNS, MAX_WORDS = 2048, 512, 1 << 19, 4096, 400_000
+LARGE, BLOCK, BLOCK_WORDS, COLUMNS, MAX_WORDS = 8192, 512, 1 << 19, 4096, 400_000
+#: Minima in which a pair of different cores must agree to be compared; at similarity 0.8 fewer come once in some million pairs.
+NEARLY = 78
 
 _rng = np.random.default_rng(SEED)
 _MASKS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -196,35 +198,75 @@ def forest_edges(reps: DataFrame, least: int) -> DataFrame:
     return found.filter("label is null").select("a", "b", "depth").union(across)
 
 
-def cores(edges: DataFrame, least: int, large: int) -> DataFrame:
-    """node, core, parted: components at the least depth; those of more than large texts are parted by longer matches, step by step."""
-    now = cut(components(edges).select("node", F.col("root").alias("core"), F.lit(False).alias("parted")))
-    for depth in range(least + 1, FULL_DEPTH + 1):
-        over = cut(now.groupBy("core").agg(F.count("*").alias("_n")).filter(F.col("_n") > large).select("core"))
-        if over.isEmpty():
-            break
-        inside = cut(now.join(over, "core", "left_semi").select("node"))
-        kept = edges.filter(F.col("depth") >= depth).join(inside, F.col("a") == F.col("node"), "left_semi")
-        smaller = components(kept).select("node", F.col("root").alias("_core"))
-        again = inside.join(smaller, "node", "left").select("node", F.coalesce("_core", "node").alias("core"), F.lit(True).alias("parted"))
-        now = cut(now.join(over, "core", "left_anti").select("node", "core", "parted").unionByName(again))
-    return now
+def cores(edges: DataFrame, large: int) -> DataFrame:
+    """node, core, comp: components at the shortest match, and cores, which are those components, or for one of more than large texts those of the longest match within."""
+    now = cut(components(edges).select("node", F.col("root").alias("comp")))
+    over = cut(now.groupBy("comp").agg(F.count("*").alias("_n")).filter(F.col("_n") > large).select("comp"))
+    if over.isEmpty():
+        return now.withColumn("core", F.col("comp"))
+    inside = cut(now.join(over, "comp", "left_semi"))
+    kept = edges.filter(F.col("depth") == FULL_DEPTH).join(inside, F.col("a") == F.col("node"), "left_semi")
+    smaller = components(kept).select("node", F.col("root").alias("_core"))
+    again = inside.join(smaller, "node", "left").select("node", "comp", F.coalesce("_core", "node").alias("core"))
+    return cut(now.join(over, "comp", "left_anti").withColumn("core", F.col("comp")).unionByName(again))
+
 
+def met_across(members: DataFrame, least: int) -> DataFrame:
+    """(a, b), texts of different cores that meet in a bucket and agree in NEARLY minima; members has node, core and sig.
 
-def met_across(members: DataFrame, least: int, block: int) -> DataFrame:
-    """node and its buckets (bucket, blocks) that hold texts of different cores; members has node, core and sig."""
+    Most texts of a bucket are of one core, so a bucket is dealt to blocks of these, and the others go to every block, and
+    among them each to a block of its own. Only signatures are sent.
+    """
 
     def plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sigs = _signatures(batch["sig"])
             for tree in range(TREES):
                 prefix = np.ascontiguousarray(sigs[:, _CHOICES[tree][:least]])
-                yield pd.DataFrame({"bucket": [bytes([tree]) + p.tobytes() for p in prefix], "node": batch["node"].to_numpy(), "core": batch["core"].to_numpy()})
+                yield pd.DataFrame({"bucket": [bytes([tree]) + p.tobytes() for p in prefix], "node": batch["node"].to_numpy(), "core": batch["core"].to_numpy(), "sig": batch["sig"].to_numpy()})
+
+    labels = members.select("node", "core", "sig").mapInPandas(plant, "bucket binary, node long, core long, sig binary")
+    by_core = labels.groupBy("bucket", "core").agg(F.count("*").alias("_n"))
+    mixed = by_core.groupBy("bucket").agg(F.max(F.struct("_n", "core")).alias("_most"), F.count("*").alias("_cores")).filter("_cores > 1")
+    mixed = mixed.select("bucket", F.col("_most.core").alias("main"), F.ceil(F.col("_most._n") / BLOCK).cast("int").alias("blocks"))
+    rows = labels.join(mixed, "bucket")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    # a text of the main core is in one block; the others are in all, and meet one another in that of the lesser
+    dealt = rows.withColumn("p", F.explode(F.when(F.col("core") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))).withColumn("home", own)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, group = None, []
+
+        def done():
+            main = [r for r in group if r[1] == r[3]]
+            rest = [r for r in group if r[1] != r[3]]
+            if not rest:
+                return []
+            right = [*main, *rest]
+            sigs, cores, nodes = _signatures([r[2] for r in right]), np.array([r[1] for r in right]), np.array([r[0] for r in right])
+            out = []
+            for k, (node, core, _, _, home) in enumerate(rest):
+                at = len(main) + k
+                # pairs of others are looked at once, in the block of the first
+                found = (np.arange(len(right)) < len(main)) | ((np.arange(len(right)) > at) & (home == key[1]))
+                found &= (cores != core) & ((sigs == sigs[at]).sum(1) >= NEARLY)
+                out += [(min(node, n), max(node, n)) for n in nodes[found].tolist()]
+            return out
+
+        for batch in batches:
+            out = []
+            for bucket, p, *row in batch.itertuples(index=False, name=None):
+                if (bucket, p) != key:
+                    if group:
+                        out += done()
+                    key, group = (bucket, p), []
+                group.append(row)
+            yield pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
+        if group:
+            yield pd.DataFrame(done(), columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
-    labels = cut(members.select("node", "core", "sig").mapInPandas(plant, "bucket binary, node long, core long"))
-    mixed = labels.groupBy("bucket").agg(F.min("core").alias("_a"), F.max("core").alias("_b"), F.count("*").alias("_n")).filter("_a < _b")
-    mixed = mixed.select("bucket", F.ceil(F.col("_n") / block).cast("int").alias("blocks"))
-    return labels.join(mixed, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "blocks")).alias("buckets"))
+    dealt = dealt.select("bucket", "p", "node", "core", "sig", "main", "home").repartition("bucket", "p").sortWithinPartitions("bucket", "p", "node")
+    return dealt.mapInPandas(compare, "a long, b long").distinct()
 
 
 def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -251,21 +293,10 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return OF * common >= ABOVE * either
 
 
-def _first_met_here(sigs: list[bytes], tree: int, least: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Whether no tree before this one has a bucket with both."""
-    own = _signatures(sigs)
-    before = np.zeros((len(left), len(right)), bool)
-    for earlier in range(tree):
-        prefix = np.unique(own[:, _CHOICES[earlier][:least]], axis=0, return_inverse=True)[1].ravel()
-        before |= prefix[left][:, None] == prefix[right][None, :]
-    return ~before
-
-
-def compared(nodes: list[int], sets: list[np.ndarray], sides: list[bool] | None, cores: list[int] | None = None, sigs: list[bytes] | None = None, tree: int = 0, least: int = 0) -> list[tuple[int, int, int]]:
+def compared(nodes: list[int], sets: list[np.ndarray], sides: list[bool] | None) -> list[tuple[int, int, int]]:
     """(text, number of its links, least text it is connected to) for each text with links, from one group.
 
-    sides: for a pair of different blocks, whether a text is of the second; only pairs across are compared. cores and sigs: for
-    a bucket, only pairs of different cores count, in the first tree where they meet.
+    sides: for a pair of different blocks, whether a text is of the second; only pairs across are compared.
     """
     ids = np.array(nodes)
     side = np.array(sides) if sides is not None else None
@@ -276,9 +307,6 @@ def compared(nodes: list[int], sets: list[np.ndarray], sides: list[bool] | None,
     yes = _linked(sets, left, right)
     if side is None:
         np.fill_diagonal(yes, False)
-    if cores is not None and yes.any():
-        core = np.array(cores)
-        yes &= (core[left][:, None] != core[right][None, :]) & _first_met_here(sigs, tree, least, left, right)
     links = np.zeros(len(ids), np.int64)
     links[left] += yes.sum(1)
     if side is not None:
@@ -295,34 +323,35 @@ def compared(nodes: list[int], sets: list[np.ndarray], sides: list[bool] | None,
     return [(int(ids[k]), int(links[k]), int(root[k])) for k in np.flatnonzero(links)]
 
 
-def verified(docs: DataFrame, members: DataFrame, least: int) -> DataFrame:
-    """node, links and root by pair of blocks of each group.
-
-    members has node, copy_id and key (which text it is), core, sig and groups: (grp, blocks), a core or a bucket and how many
-    blocks it is dealt to. A core's grp is a zero and its number, a bucket's a one and its label.
-    """
-    columns = "grp binary, p int, q int, second boolean, node long, core long, grams binary, sig binary"
+def with_grams(docs: DataFrame, members: DataFrame, repeat: bool) -> DataFrame:
+    """For each of members (node, copy_id, key and core, blocks) its shingles: once, or with the pairs of blocks (core, p, q, second) that it is dealt to."""
+    columns = "core long, p int, q int, second boolean, node long, grams binary"
     names = [c.split()[0] for c in columns.split(", ")]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
             rows, held = [], 0
-            for node, key, core, sig, groups, text in zip(*(batch[c] for c in ("node", "key", "core", "sig", "groups", "text"))):
+            for node, key, core, blocks, text in zip(*(batch[c] for c in ("node", "key", "core", "blocks", "text"))):
                 words = shingler.words(text)
                 if words_key(words) != key:
                     continue  # another text of the same id
                 grams = np.unique(shingler.grams(words)).tobytes()
-                for g in groups:
-                    grp, blocks = g["grp"], g["blocks"]
-                    own = xxhash.xxh3_64_intdigest(str(node)) % blocks
-                    rows += [(grp, min(own, k), max(own, k), own > k, node, core, grams, sig if grp[0] else b"") for k in range(blocks)]
-                    held += blocks * len(grams)
-                    if held > 1 << 24:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows, held = [], 0
+                own = xxhash.xxh3_64_intdigest(str(node)) % blocks
+                rows += [(core, min(own, k), max(own, k), own > k, node, grams) for k in (range(blocks) if repeat else [own])]
+                held += blocks * len(grams)
+                if held > 1 << 24:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=names)
 
+    texts = docs.select(F.col("doc_id").alias("copy_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(members, "copy_id").select("node", "key", "core", "blocks", "text").mapInPandas(deal, columns)
+
+
+def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """node, links and root by pair of blocks of each core; members has node, copy_id and key (which text it is), core and blocks."""
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, group = None, []
 
@@ -330,49 +359,64 @@ def verified(docs: DataFrame, members: DataFrame, least: int) -> DataFrame:
             rows = {r[1]: r for r in reversed(group)}
             if len(rows) < 2:
                 return []
-            grp, p, q = key
-            sets = [np.frombuffer(r[3], np.uint64) for r in rows.values()]
-            sides = [r[0] for r in rows.values()] if p != q else None
-            if not grp[0]:
-                return compared(list(rows), sets, sides)
-            return compared(list(rows), sets, sides, [r[2] for r in rows.values()], [r[4] for r in rows.values()], grp[1], least)
+            sets = [np.frombuffer(r[2], np.uint64) for r in rows.values()]
+            return compared(list(rows), sets, [r[0] for r in rows.values()] if key[1] != key[2] else None)
 
         for batch in batches:
             out = []
-            for grp, p, q, *row in batch.itertuples(index=False, name=None):
-                if (grp, p, q) != key:
+            for core, p, q, *row in batch.itertuples(index=False, name=None):
+                if (core, p, q) != key:
                     out += done()
-                    key, group = (grp, p, q), []
+                    key, group = (core, p, q), []
                 group.append(row)
             yield pd.DataFrame(out, columns=["node", "links", "root"])
         yield pd.DataFrame(done(), columns=["node", "links", "root"])
 
-    texts = docs.select(F.col("doc_id").alias("copy_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = texts.join(members, "copy_id").select("node", "key", "core", "sig", "groups", "text").mapInPandas(deal, columns)
-    return dealt.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q").mapInPandas(compare, "node long, links long, root long")
+    dealt = with_grams(docs, members, True)
+    return dealt.repartition("core", "p", "q").sortWithinPartitions("core", "p", "q").mapInPandas(compare, "node long, links long, root long")
+
+
+def verified_pairs(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, links and root of pairs (a, b) that are alike enough, both ways round."""
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node").withColumn("blocks", F.lit(1))
+    grams = cut(with_grams(docs, met, False).select("node", "grams").dropDuplicates(["node"]))
+    both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y):
+            common = len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
+            out.append(OF * common >= ABOVE * (len(p) // 8 + len(q) // 8 - common))
+        return pd.Series(out, dtype=bool)
+
+    ways = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).cast("long").alias("links"), F.col("a").alias("root")), F.struct(F.col("b").alias("node"), F.lit(1).cast("long").alias("links"), F.col("a").alias("root"))))
+    return both.filter(alike("x", "y")).select(ways.alias("w")).select("w.*")
 
 
 def linked_texts(docs: DataFrame, reps: DataFrame, large: int | None = None) -> DataFrame:
     """node, n_links and root (of its class) of every text that has links; reps has node, copy_id, key, n_words and sig."""
     least = matched_depth()
-    edges = cut(forest_edges(reps.filter("n_words > 0"), least))
-    found = cores(edges, least, LARGE if large is None else large)
-    known = cut(found.join(reps.select("node", "copy_id", "key", "n_words", "sig"), "node"))
+    edges = forest_edges(reps.filter("n_words > 0"), least)
+    known = cut(cores(edges, LARGE if large is None else large).join(reps.select("node", "copy_id", "key", "n_words", "sig"), "node"))
     sizes = known.groupBy("core").agg(F.count("*").alias("_n"), F.sum("n_words").alias("_w")).filter("_n > 1")
     blocks = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_w") / BLOCK_WORDS)).cast("int")
-    whole = known.join(sizes.select("core", blocks.alias("blocks")), "core", "left")
-    grp = F.concat(F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex("core"), 16, "0")))
-    # a core that is one text has nothing to be compared with
-    whole = whole.withColumn("groups", F.when(F.col("blocks").isNotNull(), F.array(F.struct(grp.alias("grp"), F.col("blocks").alias("blocks")))).otherwise(F.array()))
-    across = met_across(known.filter("parted"), least, BLOCK)
-    one = F.unhex(F.lit("01"))
-    more = F.transform("buckets", lambda b: F.struct(F.concat(one, b["bucket"]).alias("grp"), b["blocks"].alias("blocks")))
-    members = whole.join(across.select("node", more.alias("_more")), "node", "left").withColumn("groups", F.concat("groups", F.coalesce("_more", F.array()))).filter(F.size("groups") > 0)
-    pairs = cut(verified(docs, members.select("node", "copy_id", "key", "core", "sig", "groups"), least))
-    # the links of one block are a class; those of several blocks, or of cores and buckets, are joined
-    many = members.filter((F.size("groups") > 1) | (F.col("groups")[0]["blocks"] > 1) | F.col("parted")).select("node")
-    links = pairs.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
-    joined = cut(components(pairs.join(many, "node", "left_semi").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    members = known.join(sizes.select("core", blocks.alias("blocks")), "core").select("node", "copy_id", "key", "core", "blocks")
+    found = verified(docs, members)
+    # components that were parted
+    apart = cut(known.groupBy("comp").agg(F.min("core").alias("_a"), F.max("core").alias("_b")).filter("_a < _b").select("comp"))
+    whole = apart.isEmpty()
+    if not whole:
+        parted = known.join(apart, "comp", "left_semi")
+        met = cut(met_across(parted, least))
+        found = found.unionByName(verified_pairs(docs, parted.select("node", "copy_id", "key", "core"), met))
+    found = cut(found)
+    # the links of one block are a class; those of several blocks or cores are joined
+    many = members.filter("blocks > 1").select("node")
+    if not whole:
+        many = many.union(parted.select("node")).distinct()
+    links = found.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
+    joined = cut(components(found.join(many, "node", "left_semi").select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return links.join(joined.select("node", F.col("root").alias("_far")), "node", "left").select("node", "n_links", F.coalesce("_far", "root").alias("root"))
 
 

@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from . import patterns as P
 
 
+#: A word's edge between ASCII letters, digits and _ alone; Java's own takes accented letters in.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    return pattern.replace(r"\b", EDGE)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Whether the pattern is found, in either case; false for null."""
-    return F.coalesce(text.rlike(f"(?i){pattern}"), F.lit(False))
+    return F.coalesce(text.rlike(f"(?i){ascii_edges(pattern)}"), F.lit(False))
 
 
 def first_match(text: Column, named: tuple[tuple[str, str], ...]) -> Column:
@@ -47,14 +55,14 @@ def is_refusal(text: Column) -> Column:
 
 def is_decline(text: Column) -> Column:
     """A user's short text that starts by turning down what was done, interjections aside."""
-    core = F.regexp_replace(text, f"(?i){P.INTERJECTION}", "")
+    core = F.regexp_replace(text, f"(?i){ascii_edges(P.INTERJECTION)}", "")
     return (F.length(text) <= 240) & ~matches(core, P.BENIGN_DECLINE) & matches(core, P.DECLINE)
 
 
 def tool_rejection(result: Column) -> Column:
     """A struct of kind and confidence for the text of a failed tool's result."""
-    kind = F.when(F.coalesce(F.trim(result), F.lit("")) == "", "tool_execution_error").when(matches(result, P.USER_DECLINED_TOOL), "user_declined_tool").when(matches(result, P.PERMISSION_DENIED), "permission_denied").otherwise("tool_execution_error")
-    confidence = F.when(F.coalesce(F.trim(result), F.lit("")) == "", 0.85).when(kind == "user_declined_tool", 1.0).when(kind == "permission_denied", 0.85).otherwise(0.9)
+    kind = F.when(F.coalesce(result, F.lit("")) == "", "tool_execution_error").when(matches(result, P.USER_DECLINED_TOOL), "user_declined_tool").when(matches(result, P.PERMISSION_DENIED), "permission_denied").otherwise("tool_execution_error")
+    confidence = F.when(F.coalesce(result, F.lit("")) == "", 0.85).when(kind == "user_declined_tool", 1.0).when(kind == "permission_denied", 0.85).otherwise(0.9)
     return F.struct(kind.alias("kind"), confidence.alias("confidence"))
 
 
@@ -87,10 +95,12 @@ def title(text: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy in bits a character."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.length(text)
-    return F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda a, c: a - (F.size(F.filter(letters, lambda x: x == c)) / n) * F.log2(F.size(F.filter(letters, lambda x: x == c)) / n))
+    """Shannon entropy in bits a character: letters sorted, each run's length counted in one pass."""
+    start = F.struct(F.lit("").alias("c"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"))
+    weight = lambda n: F.when(n > 0, n * F.log2(n)).otherwise(0.0)
+    step = lambda a, c: F.when(a["c"] == c, F.struct(a["c"].alias("c"), (a["n"] + 1).alias("n"), a["s"].alias("s"))).otherwise(F.struct(c.alias("c"), F.lit(1).cast("long").alias("n"), (a["s"] + weight(a["n"])).alias("s")))
+    letters = F.sort_array(F.filter(F.split(text, ""), lambda c: c != ""))
+    return F.aggregate(letters, start, step, lambda a: F.log2(F.length(text)) - (a["s"] + weight(a["n"])) / F.length(text))
 
 
 def risky_command(command: Column) -> Column:
@@ -119,3 +129,105 @@ def shell_paths(command: Column) -> Column:
 
 def escape_markdown(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def process_signals(text: Column, kind: Column, prior_tokens: Column | None = None, most: int = 2) -> Column:
+    """What went wrong by a turn's text: an array of (type, confidence, lesson), the first of them by priority.
+
+    Long texts count only in corrections. Parts that are to be removed as surplus, and that are among the words of the turn
+    before (prior_tokens), are a drift of scope without a lesson; a misunderstood goal counts where nothing else is found.
+    """
+    prior = F.array().cast("array<string>") if prior_tokens is None else F.coalesce(prior_tokens, F.array().cast("array<string>"))
+    removed = F.lower(F.regexp_extract(text, f"(?i){ascii_edges(P.REMOVED)}", 1))
+    surplus = matches(text, P.SURPLUS) & (removed != "") & F.array_contains(prior, removed)
+
+    def found(name: str, pattern: str, confidence: float) -> Column:
+        yes, sure, lesson = matches(text, pattern), F.lit(confidence), F.lit(True)
+        if name == "scope_drift":
+            yes, sure, lesson = yes | surplus, F.when(matches(text, pattern), 0.82).otherwise(0.8), ~surplus
+        if name == "overbuilt_solution":
+            yes = yes & ~surplus
+        return F.when(yes, F.struct(F.lit(name).alias("type"), sure.alias("confidence"), lesson.alias("lesson")))
+
+    listed = F.array_compact(F.array(*(found(*rule) for rule in P.PROCESS)))
+    goal = (kind == "correction") & matches(text, P.MISUNDERSTOOD) & ~matches(text, P.REVERSAL)
+    one = F.array(F.struct(F.lit("misunderstood_goal").alias("type"), F.lit(0.62).alias("confidence"), F.lit(True).alias("lesson")))
+    none = F.filter(one, lambda x: F.lit(False))
+    every = F.when(F.size(listed) > 0, F.slice(listed, 1, most)).when(goal, one).otherwise(none)
+    return F.when((kind != "correction") & (F.length(text) > 1200), none).otherwise(F.coalesce(every, none))
+
+
+def security_intent(text: Column) -> Column:
+    """The first wording of a security task in a text of at most 1,200 letters, else null."""
+    return F.when(F.length(text) <= 1200, first_match(text, P.SECURITY_INTENT))
+
+
+def is_analyzed(text: Column, kind: Column) -> Column:
+    """Whether a turn is looked at for failures: a correction, or a text that corrects, complains or speaks of privacy."""
+    frustration = next(p for n, p, _ in P.PROCESS if n == "user_frustration")
+    return (kind == "correction") | matches(text, P.CORRECTING) | matches(text, frustration) | matches(text, P.PRIVACY)
+
+
+def quote(text: Column) -> Column:
+    """Truncated to 240, with quotation marks escaped."""
+    return F.replace(truncate(text, 240), F.lit('"'), F.lit('\\"'))
+
+
+def _by_type(kind: Column, values: dict[str, str], otherwise: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[kind], otherwise)
+
+
+def failure_summary(kind: Column, title: Column, corrected_title: Column, corrected_text: Column) -> Column:
+    """One sentence on a failure at the turn of that title, and on the turn that corrected it, if any (a null title for none)."""
+    at = F.concat(F.lit('"'), truncate(F.coalesce(title, F.lit("a previous direction")), 90), F.lit('"'))
+    by = F.concat(F.lit('; corrected by "'), truncate(corrected_title, 90), F.lit('".'))
+    whole = F.concat(F.lit('; corrected by: "'), quote(corrected_text), F.lit('".'))
+    name = F.replace(kind, F.lit("_"), F.lit(" "))
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    open_ended = F.when(kind == "security_or_privacy_risk", say("A privacy or security boundary was stated as a requirement at ", at, ".")).when(kind == "scope_drift", say("A scope boundary was stated at ", at, ".")).when(kind == "format_violation", say("A required output format was stated at ", at, ".")).otherwise(say("A ", name, " concern was raised at ", at, "."))
+    corrected = (
+        F.when(kind == "ignored_constraint", say("A prior direction appears to have ignored a user constraint near ", at, by))
+        .when(kind == "scope_drift", say("The session drifted from the intended scope near ", at, whole))
+        .when(kind == "misunderstood_goal", say("The agent appears to have misunderstood the goal near ", at, whole))
+        .when(kind == "overbuilt_solution", say("The work appears to have overbuilt the requested shape near ", at, by))
+        .when(kind == "underbuilt_solution", say("The work appears to have underbuilt or skipped expected scope near ", at, by))
+        .when(kind == "security_or_privacy_risk", say("A privacy or security boundary became important near ", at, F.replace(by, F.lit("corrected"), F.lit("reinforced"))))
+        .when(kind == "user_frustration", say("User frustration signaled that the prior path near ", at, " was not meeting expectations."))
+        .when(kind == "repeated_failed_fix", say("A fix loop appears to have repeated near ", at, by))
+        .otherwise(say("A possible ", name, " occurred near ", at, by))
+    )
+    return F.when(corrected_title.isNull(), open_ended).otherwise(corrected)
+
+
+def lesson_title(kind: Column) -> Column:
+    return _by_type(kind, {k: v[0] for k, v in P.LESSONS.items()}, F.lit("Preserve the correction"))
+
+
+def lesson_text(kind: Column, evidence: Column, correction: Column) -> Column:
+    """The guidance of a failure's type, with the correction's words, or else the evidence, up to 220 letters."""
+    base = _by_type(kind, {k: v[1] for k, v in P.LESSONS.items()}, F.lit("Future agents should preserve this correction."))
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    fix, shown = plain(correction), F.when(plain(correction) != "", plain(correction)).otherwise(plain(evidence))
+    lead = F.when(fix != "", "Specifically, the user directed").otherwise("Specifically")
+    return F.when(shown != "", F.concat(base, F.lit(" "), lead, F.lit(": "), truncate(shown, 220))).otherwise(base)
+
+
+def eval_type(kind: Column) -> Column:
+    return _by_type(kind, P.EVAL_OF, F.lit("instruction_following_regression"))
+
+
+def eval_task(kind: Column) -> Column:
+    return _by_type(kind, P.TASK_OF, F.lit(P.COMMON_TASK))
+
+
+def expected_behavior(kind: Column) -> Column:
+    """An array of sentences."""
+    common = F.array(*map(F.lit, P.COMMON_BEHAVIOR))
+    out = common
+    for name, own in P.BEHAVIOR_OF.items():
+        out = F.when(kind == name, F.concat(F.array(*map(F.lit, own)), common)).otherwise(out)
+    return out
+
+
+def failure_mode(kind: Column) -> Column:
+    return F.concat(F.lit("Agent repeats "), F.replace(kind, F.lit("_"), F.lit(" ")), F.lit(" despite prior correction."))

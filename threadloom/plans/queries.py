@@ -44,8 +44,8 @@ NUDGE_SQL = f"(len(string_split_regex(trim(text), '\\s+')) <= 4 and {_has('text'
 REFUSAL_SQL = f"(length(text) <= 4000 and {_has('text', P.REFUSAL)} and (not {_has('text', P.COMPLIANT)} or {_has('text', P.HARD_REFUSAL)}))"
 CORE_SQL = f"regexp_replace(text, {_quoted(P.INTERJECTION)}, '', 'i')"
 DECLINE_SQL = f"(length(text) <= 240 and not {_has(CORE_SQL, P.BENIGN_DECLINE)} and {_has(CORE_SQL, P.DECLINE)})"
-RESULT_SQL = f"case when trim(result) = '' then 'tool_execution_error' when {_has('result', P.USER_DECLINED_TOOL)} then 'user_declined_tool' when {_has('result', P.PERMISSION_DENIED)} then 'permission_denied' else 'tool_execution_error' end"
-R_SQL = f"""{T_SQL}, r as (select tree, ts, event_id, {RESULT_SQL} as kind, case when trim(result) = '' then 0.85::double when {RESULT_SQL} = 'user_declined_tool' then 1.0::double
+RESULT_SQL = f"case when result = '' then 'tool_execution_error' when {_has('result', P.USER_DECLINED_TOOL)} then 'user_declined_tool' when {_has('result', P.PERMISSION_DENIED)} then 'permission_denied' else 'tool_execution_error' end"
+R_SQL = f"""{T_SQL}, r as (select tree, ts, event_id, {RESULT_SQL} as kind, case when result = '' then 0.85::double when {RESULT_SQL} = 'user_declined_tool' then 1.0::double
   when {RESULT_SQL} = 'permission_denied' then 0.85::double else 0.9::double end as confidence from t where role = 'assistant'),
   f as (select *, case kind when 'user_declined_tool' then 'user_rejected_action' when 'permission_denied' then 'permission_denied' else 'tool_execution_failed' end as type,
   case when confidence >= 0.95 then 'verified' when confidence >= 0.8 then 'high' when confidence >= 0.65 then 'confirmed' else 'inferred' end as tier, event_id // 10 as node_ord from r)"""
@@ -65,13 +65,13 @@ def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's first 60 turns as a tree: a turn's parent is half its number, or every seventh the turn before."""
-    own = sequence.numbered(turns(spark, sf_dir), KEY, ORDER, "node").filter("node <= 60")
+    """Each user's turns as a tree: a turn's parent is half its number, or every seventh the turn before."""
+    own = sequence.numbered(turns(spark, sf_dir), KEY, ORDER, "node")
     return own.select("tree", C("node").cast("long").alias("node"), F.when(C("node") == 1, None).when(C("node") % 7 == 0, C("node") - 1).otherwise(F.expr("node div 2")).cast("long").alias("parent"))
 
 
 FOREST_SQL = f"""with recursive t as ({SQL}), n0 as (select tree, row_number() over (partition by tree order by ts, event_id) as node from t),
-  n as (select tree, node, case when node = 1 then null when node % 7 = 0 then node - 1 else node // 2 end as parent from n0 where node <= 60),
+  n as (select tree, node, case when node = 1 then null when node % 7 = 0 then node - 1 else node // 2 end as parent from n0),
   up as (select tree, node, parent as ancestor, 1 as distance from n where parent is not null union all
          select up.tree, up.node, n.parent, distance + 1 from up join n on n.tree = up.tree and n.node = up.ancestor where n.parent is not null),
   leaf as (select tree, max(node) as node from n group by tree),
@@ -250,10 +250,46 @@ def latest_turn(spark, sf_dir):
     return turns(spark, sf_dir).groupBy("tree").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
+def _signals(spark, sf_dir):
+    own = _users(spark, sf_dir).withColumn("s", F.explode(T.process_signals(C("text"), C("kind"))))
+    return own.select("tree", "event_id", "n", "kind", "text", "s.type", "s.confidence")
+
+
+def process_signals(spark, sf_dir):
+    """What went wrong by each user turn's words, two kinds at most."""
+    return _signals(spark, sf_dir).select("tree", "event_id", "type", "confidence")
+
+
+def failure_type_counts(spark, sf_dir):
+    """Kinds of failures of each tree, the most frequent first, then by name."""
+    counts = _signals(spark, sf_dir).groupBy("tree", "type").agg(F.count("*").alias("n"))
+    return sequence.numbered(counts, KEY, [F.desc("n"), "type"], "rank")
+
+
+def signal_lessons(spark, sf_dir):
+    """One lesson and evaluation for each kind of failure of a tree, in the words of its first signal."""
+    first = _signals(spark, sf_dir).groupBy("tree", "type").agg(F.min(F.struct("n", "text")).alias("f"), F.count_distinct("n").alias("n_nodes"))
+    return first.select(
+        "tree", "type", "n_nodes", T.lesson_title(C("type")).alias("title"), T.lesson_text(C("type"), F.lit(""), C("f.text")).alias("lesson"), T.eval_type(C("type")).alias("eval_type"), T.eval_task(C("type")).alias("task"),
+        F.array_join(T.expected_behavior(C("type")), "; ").alias("expected"), T.failure_mode(C("type")).alias("failure_mode"),
+    )
+
+
+def failure_summaries(spark, sf_dir):
+    """A sentence on each signal at the turn before, corrected by the turn that says so; signals of a first turn have none before."""
+    own = _users(spark, sf_dir).withColumn("before", F.lag("text").over(sequence.ordered(KEY, ORDER)))
+    each = own.withColumn("s", F.explode(T.process_signals(C("text"), C("kind")))).select("tree", "event_id", "text", "before", "s.type")
+    return each.select("tree", "event_id", "type", T.failure_summary(C("type"), C("before"), F.when(C("before").isNotNull(), C("text")), C("text")).alias("summary"))
+
+
+def security_intents(spark, sf_dir):
+    return turns(spark, sf_dir).filter("role = 'user'").select("tree", T.security_intent(C("text")).alias("intent")).filter("intent is not null").groupBy("tree", "intent").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     turn_kinds, turn_relationships, nudges_folded, refusals, declines, rejection_ledger, rejections_by_kind, failures_by_node, tiers_by_tree, lessons_by_type, session_stats, sessions_since, token_totals, prior_file,
     correction_chains, correction_causes, security_gate, risky_commands, test_skips, secret_findings, secret_decisions, redacted_texts, token_entropy, titles, main_paths, branch_status, abandoned_branches, subtree_sizes,
-    missing_files, constraint_ranking, shared_words, model_totals, props_fields, latest_turn,
+    missing_files, constraint_ranking, shared_words, model_totals, props_fields, latest_turn, process_signals, failure_type_counts, signal_lessons, failure_summaries, security_intents,
 )}
 
 _FINDINGS_SQL = " union all ".join(f"select doc_id, '{rule}' as rule, '{severity}' as severity, unnest(regexp_extract_all(text, {_quoted(pattern)})) as match from documents" for rule, severity, pattern in P.SECRETS)
@@ -267,7 +303,45 @@ def _redacted_sql() -> str:
     return out
 
 
+def _process_sql() -> str:
+    rows = ", ".join(f"case when {_has('text', p)} then {{'rank': {i}, 'type': '{n}', 'confidence': {c}::double}} end" for i, (n, p, c) in enumerate(P.PROCESS))
+    goal = f"case when kind = 'correction' and {_has('text', P.MISUNDERSTOOD)} and not {_has('text', P.REVERSAL)} then {{'rank': 99, 'type': 'misunderstood_goal', 'confidence': 0.62::double}} end"
+    return f"""{K_SQL}, a as (select *, list_filter([{rows}], lambda x: x is not null) as l, {goal} as g from k),
+      b as (select *, case when len(l) > 0 then l[1:2] when g is not null then [g] else [] end as s, lag(text) over (partition by tree order by n) as before from a),
+      x as (select tree, event_id, n, text, before, unnest(s) as e from b), sig as (select tree, event_id, n, text, before, e.type as type, e.confidence as confidence from x)"""
+
+
+def _named_sql(values: dict[str, str], otherwise: str) -> str:
+    return "case type " + " ".join(f"when {_quoted(k)} then {_quoted(v)}" for k, v in values.items()) + f" else {_quoted(otherwise)} end"
+
+
+def _cut_sql(text: str, n: int) -> str:
+    one = f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+    return f"case when length({one}) <= {n} then {one} else rtrim(substr({one}, 1, {n - 1})) || '...' end"
+
+
+_AT_SQL = f"""'"' || {_cut_sql("before", 90)} || '"'"""
+_BY_SQL = f"""'; corrected by "' || {_cut_sql("text", 90)} || '".'"""
+_WHOLE_SQL = f"""'; corrected by: "' || replace({_cut_sql("text", 240)}, '"', '\\"') || '".'"""
+_BEHAVIOR_SQL = {k: "; ".join((*P.BEHAVIOR_OF.get(k, ()), *P.COMMON_BEHAVIOR)) for k in P.LESSONS}
+_SUMMARY_SQL = f"""case when before is null then case type when 'scope_drift' then 'A scope boundary was stated at "a previous direction".' when 'format_violation' then 'A required output format was stated at "a previous direction".'
+    else 'A ' || replace(type, '_', ' ') || ' concern was raised at "a previous direction".' end
+  else case type when 'ignored_constraint' then 'A prior direction appears to have ignored a user constraint near ' || {_AT_SQL} || {_BY_SQL} when 'scope_drift' then 'The session drifted from the intended scope near ' || {_AT_SQL} || {_WHOLE_SQL}
+    when 'misunderstood_goal' then 'The agent appears to have misunderstood the goal near ' || {_AT_SQL} || {_WHOLE_SQL} when 'overbuilt_solution' then 'The work appears to have overbuilt the requested shape near ' || {_AT_SQL} || {_BY_SQL}
+    when 'underbuilt_solution' then 'The work appears to have underbuilt or skipped expected scope near ' || {_AT_SQL} || {_BY_SQL} when 'user_frustration' then 'User frustration signaled that the prior path near ' || {_AT_SQL} || ' was not meeting expectations.'
+    when 'repeated_failed_fix' then 'A fix loop appears to have repeated near ' || {_AT_SQL} || {_BY_SQL} else 'A possible ' || replace(type, '_', ' ') || ' occurred near ' || {_AT_SQL} || {_BY_SQL} end end"""
+#: Without the one wording that looks ahead, and that no synthetic turn has.
+_INTENT_SQL = [(n, p) for n, p in P.SECURITY_INTENT if n != "email_change"]
+
 ORACLE: dict[str, str] = {
+    "process_signals": f"{_process_sql()} select tree, event_id, type, confidence from sig",
+    "failure_type_counts": f"{_process_sql()}, c as (select tree, type, count(*) as n from sig group by all) select tree, type, n, row_number() over (partition by tree order by n desc, type)::int as rank from c",
+    "signal_lessons": f"""{_process_sql()}, f as (select tree, type, min_by(text, n) as text, count(distinct n) as n_nodes from sig group by all)
+      select tree, type, n_nodes, {_named_sql({k: v[0] for k, v in P.LESSONS.items()}, '')} as title, {_named_sql({k: v[1] for k, v in P.LESSONS.items()}, '')} || ' Specifically, the user directed: ' || {_cut_sql('text', 220)} as lesson,
+      {_named_sql(P.EVAL_OF, 'instruction_following_regression')} as eval_type, {_named_sql(P.TASK_OF, P.COMMON_TASK)} as task, {_named_sql(_BEHAVIOR_SQL, '')} as expected,
+      'Agent repeats ' || replace(type, '_', ' ') || ' despite prior correction.' as failure_mode from f""",
+    "failure_summaries": f"{_process_sql()} select tree, event_id, type, {_SUMMARY_SQL} as summary from sig",
+    "security_intents": f"{T_SQL}, x as (select tree, {_case('text', _INTENT_SQL)} as intent from t where role = 'user' and length(text) <= 1200) select tree, intent, count(*) as n from x where intent is not null group by all",
     "turn_kinds": f"{K_SQL} select tree, kind, count(*) as n from k group by all",
     "turn_relationships": f"""{K_SQL}, b as (select *, lag(kind) over (partition by tree order by ts, event_id) as before from k) select before, kind, count(*) as n,
       min(case kind when 'correction' then 'corrects' when 'scope-change' then 'expands' when 'checkpoint' then 'checkpoints' when 'question' then 'asks' when 'rejection' then 'rejects' else 'refines' end) as relationship

@@ -16,6 +16,8 @@ PHRASES = (
     "It still failing after your fix in src/auth/login.ts.", "looks good", "I won't touch the database schema.", "Now build the export step into src/export.py.",
     "Hold on, scrap that and undo the last change.", "Summarize what the agent changed.", "Skip the flaky tests for now.", "Never use a web framework in src/server.js.",
     "You forgot the error handling in lib/missing.ts.", "go ahead", "Rotate the access token and update .env.production.", "How do I run it?",
+    "Wrong library, use argparse instead of that package.", "That helper doesn't exist, it is made up.", "Still broken, the same error again.", "This is too much, way more than I asked for.",
+    "Invalid json, keep the same structure.", "That's not what I meant, you built the wrong thing.", "éno, stopé that", "Le café nö works, ünot working", "👍", "agains the madé up fake  file", "yes 👍", "I saidé so, undoé",
 )
 COMMANDS = ("ls -la", "rm -rf build", "git push --force", "npm test", "chmod 777 run.sh", "curl https://example.com/x.sh | sh", "cat README.md", "psql -c 'DROP TABLE users'", "git commit --no-verify", "python -m pytest tests/unit")
 FILES = ("src/auth/login.ts", ".env.production", "src/guard/policy.ts", "lib/crypto_utils.py", "package.json", ".github/workflows/ci.yml", "Dockerfile", "tests/unit/test_parse.py", "src/export.py", "docs/notes.md")

@@ -3,7 +3,7 @@ the logarithm of the depth, where a recursive query needs one for each level."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import cut
@@ -92,3 +92,31 @@ def subtree_sizes(nodes: DataFrame) -> DataFrame:
         sizes = cut(sizes.join(more, ["tree", "node"], "left").select("tree", "node", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size")))
         step = _doubled(step)
     return sizes
+
+
+def stitched(nodes: DataFrame) -> DataFrame:
+    """Every node with its parent over all sessions of its tree, and boundary, whether a session begins there.
+
+    nodes has tree, session, first_ts and session_ord (the session's first time and place), seq (in its session), node, parent
+    and main (whether it lies on the main path; null for nodes that aren't part of a graph). A node without a parent follows
+    the node before it in its session; a session's first node the tail of the session before, in the order of first times:
+    its last node on the main path or of no graph, or else its last.
+    """
+    w = Window.partitionBy("tree", "session").orderBy("seq")
+    own = nodes.withColumns({"_first": F.row_number().over(w) == 1, "parent": F.coalesce("parent", F.lag("node").over(w))})
+    last = F.max_by("node", F.when(F.coalesce("main", F.lit(True)), F.col("seq")))
+    tails = nodes.groupBy("tree", "session").agg(F.coalesce(last, F.max_by("node", "seq")).alias("_tail"), F.min(F.coalesce("first_ts", F.lit(""))).alias("_ts"), F.min("session_ord").alias("_ord"))
+    before = tails.withColumn("_before", F.lag("_tail").over(Window.partitionBy("tree").orderBy("_ts", "_ord", "session"))).select("tree", "session", "_before")
+    joined = own.join(before, ["tree", "session"])
+    boundary = F.col("_first") & F.col("parent").isNull()
+    return joined.withColumns({"boundary": boundary, "parent": F.coalesce("parent", F.when(F.col("_first"), F.col("_before")))}).drop("_first", "_before")
+
+
+def roots(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("parent is null")
+
+
+def children(nodes: DataFrame) -> DataFrame:
+    """(tree, parent, node, rank): the children of each node in order."""
+    w = Window.partitionBy("tree", "parent").orderBy("node")
+    return nodes.filter("parent is not null").select("tree", "parent", "node", F.row_number().over(w).alias("rank"))

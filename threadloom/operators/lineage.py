@@ -38,22 +38,23 @@ def _parents(nodes: DataFrame) -> DataFrame:
 
 def _doubled(step: DataFrame) -> DataFrame:
     """From each node's ancestor 2^k steps up to that of twice the steps, for nodes that have one."""
-    return cut(step.join(step.select("tree", F.col("node").alias("up"), F.col("up").alias("_far")), ["tree", "up"]).select("tree", "node", F.col("_far").alias("up")))
+    return step.join(step.select("tree", F.col("node").alias("up"), F.col("up").alias("_far")), ["tree", "up"]).select("tree", "node", F.col("_far").alias("up"))
 
 
 def main_path(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """(tree, node) of every node from each tree's leaf up to its root; leaves has tree and node.
 
-    Round k adds the ancestors 2^k steps above the nodes marked so far, which are those less than 2^k steps above a leaf; only
-    the marked nodes and one ancestor of each node are carried.
+    Step k adds the ancestors 2^k steps above the nodes marked so far, which are those less than 2^k steps above a leaf; only
+    the marked nodes and one ancestor of each node are carried. A round takes two steps and writes once.
     """
     marked, step = cut(leaves.select("tree", "node").distinct()), cut(_parents(nodes))
+    above = lambda known, by: known.unionByName(known.join(by, ["tree", "node"]).select("tree", F.col("up").alias("node"))).distinct()
     for _ in range(ROUNDS):
         if step.isEmpty():
             break
-        above = marked.join(step, ["tree", "node"]).select("tree", F.col("up").alias("node"))
-        marked = cut(marked.unionByName(above).distinct())
-        step = _doubled(step)
+        twice = _doubled(step)
+        marked = cut(above(above(marked, step), twice))
+        step = cut(_doubled(twice))
     return marked
 
 
@@ -66,9 +67,11 @@ def abandoned(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         if state.filter("up is not null").isEmpty():
             break
-        beyond = state.select("tree", F.col("node").alias("up"), F.col("up").alias("_far"), F.col("_hit").alias("_far_hit"))
-        hit = F.col("_hit") | F.coalesce("_far_hit", F.lit(False))
-        state = cut(state.join(beyond, ["tree", "up"], "left").select("tree", "node", F.when(~hit, F.col("_far")).alias("up"), hit.alias("_hit")))
+        for _ in range(2):
+            beyond = state.select("tree", F.col("node").alias("up"), F.col("up").alias("_far"), F.col("_hit").alias("_far_hit"))
+            hit = F.col("_hit") | F.coalesce("_far_hit", F.lit(False))
+            state = state.join(beyond, ["tree", "up"], "left").select("tree", "node", F.when(~hit, F.col("_far")).alias("up"), hit.alias("_hit"))
+        state = cut(state)
     under = state.filter("_hit").select("tree", "node").join(main, ["tree", "node"], "left_anti").distinct()
     return nodes.join(under.withColumn("_off", F.lit(True)), ["tree", "node"], "left").withColumn("status", F.when(F.col("_off"), "abandoned").otherwise("accepted")).drop("_off")
 
@@ -90,7 +93,7 @@ def subtree_sizes(nodes: DataFrame) -> DataFrame:
             break
         more = step.join(sizes, ["tree", "node"]).groupBy("tree", F.col("up").alias("node")).agg(F.sum("size").alias("_more"))
         sizes = cut(sizes.join(more, ["tree", "node"], "left").select("tree", "node", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size")))
-        step = _doubled(step)
+        step = cut(_doubled(step))
     return sizes
 
 

@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: the session's spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary one is set."""
+    """The folder that all machines share: the session's spark.checkpoint.dir. Only where that is unset in a local session, as in tests, a temporary one is set; on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if spark.conf.get("spark.checkpoint.dir", None) is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 

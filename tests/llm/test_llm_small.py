@@ -190,6 +190,24 @@ def test_gif_composes_frames():
         gif.stored_frames(data[:60])
 
 
+def test_image_from_another_encoder():
+    # ten by ten, four colours, written by hand as a well-known sample of the format
+    data = bytes.fromhex("47494638396 10A000A00910000FFFFFFFF00000000FF00000021F90400000000002C000000000A000A0000 0216 8C2D99872A1CDC33A00275EC95FAA8DE608C04914C0100 3B".replace(" ", ""))
+    rows = ["1111122222"] * 3 + ["1110000222"] * 2 + ["2220000111"] * 2 + ["2222211111"] * 3
+    width, height, _, found = gif.stored_frames(data)
+    assert (width, height, len(found)) == (10, 10, 1)
+    assert ["".join(map(str, r)) for r in found[0].indices.reshape(10, 10).tolist()] == rows
+    (_, _, _, canvas), = gif.shown_frames(data)
+    colours = [[255, 255, 255], [255, 0, 0], [0, 0, 255]]
+    assert canvas[:, :, :3].tolist() == [[colours[int(c)] for c in r] for r in rows]
+
+
+def test_odd_tables(spark):
+    none = labels(spark, [])
+    for frame in (gif.store_documents(empty(spark)), toxicity.judge(empty(spark), none), packing.pack(empty(spark)), rules.judge(empty(spark), none)):
+        assert frame.count() == 0
+
+
 def test_interlaced_rows():
     image = np.arange(13 * 5).reshape(13, 5) % 256
     stored = gif.stored_frames(gif.encode_gif([gif.Frame(image, interlaced=True)], 5, 13))[3][0]
@@ -570,6 +588,34 @@ def test_windows_cover_every_word():
         assert {i for a, b in spans for i in range(a, b)} == set(range(n)) and all(b - a <= toxicity.WINDOW for a, b in spans)
 
 
+def test_logits_word_by_word():
+    network = toxicity.Network(3)
+    p = {k: v.astype(float) for k, v in network.p.items()}
+    h = toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def window(words):
+        x = [np.concatenate([p["words"][toxicity.word_row(w)], np.mean([p["letters"][i] for i in toxicity.letter_rows(w)], axis=0)]) @ p["into"] + p["bias"] for w in words]
+        states = np.zeros((len(words), 2 * h))
+        for way in (0, 1):
+            state = np.zeros(h)
+            for t in range(len(words)) if way == 0 else reversed(range(len(words))):
+                own, hu = x[t][way * 3 * h : (way + 1) * 3 * h], state @ p["back"][way]
+                z, r = sig(own[:h] + hu[:h]), sig(own[h : 2 * h] + hu[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(own[2 * h :] + r * hu[2 * h :])
+                states[t, way * h : (way + 1) * h] = state
+        weight = np.exp(np.tanh(states @ p["look"]) @ p["key"]) if len(words) else np.zeros(0)
+        return float((weight / max(weight.sum(), 1e-9)) @ states @ p["out"] + p["level"][0])
+
+    r = random.Random(2)
+    texts = ["", "one", "one two, one", " ".join(r.choice("abc é dé xyz word".split()) for _ in range(150))]
+    plain = []
+    for t in texts:
+        words = toxicity.WORD.findall(t.lower())
+        plain.append(max(window(words[a:b]) for a, b in toxicity.windows_of(len(words))))
+    assert toxicity.Scorer(network).logits(texts) == pytest.approx(plain, abs=1e-3)
+
+
 def test_network_gradients():
     network = toxicity.Network(1)
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}

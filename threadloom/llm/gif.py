@@ -43,7 +43,8 @@ class Frame:
 
 def _widths(n: int, bits: int) -> np.ndarray:
     """Bits of each of the n codes that follow a clear code: one more when the table that a decoder has then fills the width."""
-    size = np.minimum((1 << bits) + 2 + np.arange(n), (1 << MAX_BITS) - 1)
+    # a decoder ends an entry only when it has read the next code, so it has one less than codes
+    size = np.minimum((1 << bits) + 1 + np.arange(n), (1 << MAX_BITS) - 1)
     return np.maximum(np.ceil(np.log2(size + 1)).astype(np.int64), bits + 1)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import redirects as R
 from ..functions import secrets
 from ..functions import text as T
 from ..operators import failures, sequence, stats
@@ -14,10 +15,11 @@ from ..sources import transcripts
 
 def nodes(spark: SparkSession, path: str) -> DataFrame:
     """Surviving prompts of native transcripts, as nodes: tree (the file), node_ord, kind, title, text (secrets masked), parent and nudges."""
-    prompts = transcripts.prompts(transcripts.records(spark, path)).withColumnRenamed("file", "tree")
+    prompts = transcripts.with_context(transcripts.records(spark, path)).withColumnRenamed("file", "tree")
+    prompts = prompts.withColumn("redirects", R.routed(F.col("text"), F.col("prior_tokens"), F.col("goal_tokens"))["redirects"]).drop("prior_tokens", "goal_tokens")
     kept = sequence.folded(prompts, ["tree"], ["ord"], T.is_nudge(F.col("text"))).filter(~(T.matches(F.col("text"), r"\bignore this\b") & (F.size(F.split(F.trim("text"), r"\s+")) <= 6)))
     own = sequence.numbered(kept, ["tree"], ["ord"]).withColumn("text", secrets.redacted(F.col("text")))
-    own = own.withColumns({"kind": T.turn_kind(F.col("text"), F.col("node_ord") == 1), "title": secrets.redacted(T.title(F.col("text"))), "parent": F.lag("node_ord").over(sequence.ordered(["tree"], ["node_ord"]))})
+    own = own.withColumns({"kind": T.turn_kind(F.col("text"), F.col("node_ord") == 1, F.col("redirects")), "title": secrets.redacted(T.title(F.col("text"))), "parent": F.lag("node_ord").over(sequence.ordered(["tree"], ["node_ord"]))})
     return own.withColumn("relationship", F.when(F.col("parent").isNotNull(), T.relationship(F.col("kind")))).select("tree", "node_ord", "ord", "kind", "title", "text", "parent", "relationship", "nudges", "repeats", "ts")
 
 

@@ -231,3 +231,23 @@ def expected_behavior(kind: Column) -> Column:
 
 def failure_mode(kind: Column) -> Column:
     return F.concat(F.lit("Agent repeats "), F.replace(kind, F.lit("_"), F.lit(" ")), F.lit(" despite prior correction."))
+
+
+def rejection_summary(kind: Column, title: Column) -> Column:
+    """One sentence on a rejection at the turn of that title."""
+    lead = _by_type(kind, P.REJECTION_SUMMARY, F.concat(F.lit("A "), F.coalesce(F.when(kind != "", kind), F.lit("rejection")), F.lit(" was captured near")))
+    return F.concat(lead, F.lit(' "'), truncate(F.coalesce(F.when(title != "", title), F.lit("a previous turn")), 90), F.lit('".'))
+
+
+def rejection_title(kinds: Column) -> Column:
+    """The title of a turn that has rejections but no text, from the kinds of them."""
+    distinct = F.array_distinct(F.coalesce(kinds, F.array().cast("array<string>")))
+    one = F.concat(F.lit("Agent action rejected ("), F.replace(F.try_element_at(distinct, F.lit(1)), F.lit("_"), F.lit(" ")), F.lit(")"))
+    many = F.concat(F.lit("Agent action rejected ("), F.size(distinct).cast("string"), F.lit(" kinds)"))
+    return F.when(F.size(distinct) == 0, "[agent action rejected]").when(F.size(distinct) == 1, one).otherwise(many)
+
+
+def remedies(text: Column) -> Column:
+    """The remedies that a text names, joined to one sentence; empty if it names none."""
+    named = F.array_compact(F.array(*(F.when(matches(text, p), phrase) for p, phrase in P.REMEDIES)))
+    return F.when(F.size(named) > 0, F.concat(F.array_join(named, "; "), F.lit("."))).otherwise("")

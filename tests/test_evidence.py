@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.functions import security as S
 from threadloom.operators import evidence
 
 WORDS = "build parser auth token yes retry client cache index query login.ts perfect the and that works session main.py".split()
@@ -100,6 +101,44 @@ def test_forward_chains(trees):
     assert {tuple(r) for r in evidence.forward_chains(nodes).collect()} == expected
 
 
+def test_backward_chains(spark):
+    parts = "no, undo login.ts|you dropped the tables|restore the seed data|main.py|mask it|perfect|broke my brain|broken, bring it back|added the migration|the table|make it additive|wiped rows|preserve records|go on".split("|")
+    r = random.Random(11)
+    rows = []
+    for t in range(1, 5):
+        for i in range(1, 61):
+            files = r.choice([None, [], ["src/login.ts"], ["lib/main.py"], ["a.c"]])
+            text = r.choice([None, " ".join(r.choice(parts) for _ in range(r.randrange(4))), *(["x" * 1201 + " undo login.ts"] if i % 20 == 0 else [])])
+            rows.append((t, i, text, files, r.choice(["correction", "direction", "direction"]), r.choice(["accepted"] * 5 + ["abandoned"]), r.random() < 0.2, r.choice([None, "dropped the tables", "seeds and rows"])))
+    nodes = spark.createDataFrame(rows, "tree long, ord long, text string, files array<string>, kind string, status string, declined boolean, narration string")
+    has = lambda text, pattern: re.search(pattern, text or "", re.I | re.A) is not None
+    bases = lambda row: {b for f in row[3] or [] if len(b := f.split("/")[-1].lower()) >= 4}
+
+    def data(text):
+        found = (m.lower() for m in re.findall(evidence.DATA, text or "", re.I | re.A))
+        return {"seed" if d.startswith("seed") else "migration" if d.startswith("migration") else re.sub("s$", "", d) for d in found}
+
+    expected = set()
+    for t in range(1, 5):
+        live = [x for x in rows if x[0] == t and x[5] != "abandoned"]
+        for i, b in enumerate(live):
+            text = b[2] or ""
+            meant = not has(text, S.FIGURATIVE) and not has(text, S.NOT_THE_AGENT)
+            wants_data = meant and data(text) and has(text, evidence.DATA_LOST) and has(text, evidence.DATA_BACK)
+            redirect = (b[4] == "correction" or b[6]) and not (b[4] != "correction" and has(text, evidence.ACCEPTANCE))
+            if len(text) > 1200 or not (redirect or b[6] or (meant and has(text, S.DESTRUCTIVE) and has(text, S.RECOVERY)) or wants_data):
+                continue
+            for a in reversed(live[max(0, i - 10) : i]):
+                acted = bool(a[3])
+                tie = bool(set(a[3] or []) & set(b[3] or [])) or any(x in text.lower() for x in bases(a)) or any(x in (a[2] or "").lower() for x in bases(b))
+                if (tie and (has(text, evidence.REMEDY) or acted)) or (acted and wants_data and data(text) & data(f"{a[2] or ''} {a[7] or ''}")):
+                    expected.add((t, a[1], b[1]))
+                    break
+    assert len(expected) > 30
+    assert {tuple(x) for x in evidence.backward_chains(nodes).collect()} == expected
+    assert evidence.backward_chains(nodes.limit(0)).count() == 0
+
+
 def test_chains_are_unique(spark):
     rows = [(1, 1, 2, 0, 5, "a"), (1, 1, 2, 1, 1, "b"), (1, 1, 3, 1, 2, "c"), (2, 1, 2, 1, 1, "d")]
     out = evidence.unique_chains(spark.createDataFrame(rows, "tree long, failure long, correction long, pass int, seq int, what string"))

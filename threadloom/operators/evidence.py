@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import security as S
 from ..functions import text as T
 
 SURFACE_WORDS = (
@@ -29,6 +30,10 @@ STOP_WORDS = (
     "when", "where", "which", "will", "about", "agent", "make", "made", "show", "look",
 )
 ACCEPTANCE = r"\b(?:that(?:'?s| is| works| fixed)|works now|looks? good|lgtm|perfect|great|nice|fixed|resolved|that did it|that worked|much better|exactly|correct now)\b"
+REMEDY = r"\b(?:redact(?:s|ed|ing)?|mask(?:s|ed|ing)?|additive|non[\s-]?destructive|restor(?:e|es|ed|ing)|re[\s-]?seed|recover(?:s|ed|ing)?|lock(?:s|ed|ing)?\s*(?:it|this|that|things?|the\s+bucket)?\s*down|lockdown|allow[\s-]?list|fingerprint|rotat(?:e|es|ed|ing)|revok(?:e|es|ed|ing)|workload\s+identity|env\s+var|leave\s+it\s+alone|only\s+(?:a|the)\b)\b"
+DATA = r"\b(?:seed(?:s|\s*data|\s*rows?)?|migrations?|tables?|schemas?|databases?|db|rows?|records?|indexe?s?|columns?|fixtures?|dumps?|backups?|datasets?|collections?)\b"
+DATA_LOST = r"\b(?:blew\s+away|blow\s+away|dropped?|drop[\s-]?and[\s-]?recreate[d]?|truncate[d]?|wiped?|nuked?|deleted?|destroyed?|clobber(?:ed)?|overwr(?:ote|itten))\b"
+DATA_BACK = r"\b(?:restore|re[\s-]?seed|recover|recreate|bring (?:it|them) back|non[\s-]?destructive|additive|preserve|put (?:it|them) back|undo|revert)\b"
 LEAST_WORDS = 3
 
 
@@ -140,6 +145,42 @@ def forward_chains(nodes: DataFrame, reach: int = 6) -> DataFrame:
     return near.filter(F.col("_b") - F.col("_a") <= reach).select("tree", F.col("id").alias("failure"), F.col("found").alias("correction"))
 
 
+def data_entities(text: Column) -> Column:
+    """The distinct kinds of stored data that a text names, in the singular."""
+    named = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(T.ascii_edges(DATA)), F.lit(0))
+    one = lambda d: F.when(d.startswith("seed"), "seed").when(d.startswith("migration"), "migration").otherwise(F.regexp_replace(d, r"s\z", ""))
+    return F.array_distinct(F.transform(named, one))
+
+
+def backward_chains(nodes: DataFrame, reach: int = 10) -> DataFrame:
+    """(tree, failure, correction): for each live turn that turns down or repairs something, the nearest of the live turns before it, up to reach, whose action it is about.
+
+    It is about an action if both touch the same file or one names the other's; or if it wants data back, of a kind that the
+    action's text or narration speaks of. A turn without files counts only if the later one has a word of a remedy. nodes has
+    kind, status and declined; turns of more than 1,200 letters start no chain. Each of them meets reach turns at most.
+    """
+    text = F.coalesce("text", F.lit(""))
+    w = Window.partitionBy("tree").orderBy("ord")
+    live = with_words(nodes.withColumn("text", text)).filter("status <> 'abandoned'").withColumn("_rank", F.row_number().over(w))
+    meant = ~T.matches(F.col("text"), S.FIGURATIVE) & ~T.matches(F.col("text"), S.NOT_THE_AGENT)
+    redirects = ((F.col("kind") == "correction") | F.col("declined")) & ~((F.col("kind") != "correction") & accepts(F.col("text")))
+    wants_back = meant & T.matches(F.col("text"), S.DESTRUCTIVE) & T.matches(F.col("text"), S.RECOVERY)
+    entities = data_entities(F.col("text"))
+    wants_data = meant & (F.size(entities) > 0) & T.matches(F.col("text"), DATA_LOST) & T.matches(F.col("text"), DATA_BACK)
+    later = live.filter(F.length("text") <= 1200).withColumn("_data", F.when(wants_data, entities)).filter(redirects | F.col("declined") | wants_back | F.col("_data").isNotNull())
+    later = later.filter("_rank > 1").select(
+        "tree", F.col("ord").alias("correction"), F.lower("text").alias("_text"), F.col("files").alias("_files"), F.col("bases").alias("_bases"), "_data", T.matches(F.col("text"), REMEDY).alias("_remedy"),
+        F.explode(F.sequence(F.greatest(F.lit(1), F.col("_rank") - reach), F.col("_rank") - 1)).alias("_rank"),
+    )
+    said = F.concat_ws(" ", "text", "narration") if "narration" in nodes.columns else F.col("text")
+    prior = live.select("tree", "_rank", F.col("ord").alias("failure"), F.lower("text").alias("_said"), "files", "bases", data_entities(said).alias("_held"))
+    acted = F.size("files") > 0
+    tie = F.arrays_overlap("files", "_files") | F.exists("bases", lambda b: F.contains(F.col("_text"), b)) | F.exists("_bases", lambda b: F.contains(F.col("_said"), b))
+    about = (tie & (F.col("_remedy") | acted)) | (acted & F.coalesce(F.arrays_overlap("_data", "_held"), F.lit(False)))
+    met = later.join(prior, ["tree", "_rank"]).filter(about)
+    return met.groupBy("tree", "correction").agg(F.max("failure").alias("failure")).select("tree", "failure", "correction")
+
+
 def unique_chains(chains: DataFrame) -> DataFrame:
     """Chains numbered in the order of pass and place, one for each failure and correction, the first; chains has tree, failure, correction, pass and seq."""
     w = Window.partitionBy("tree", "failure", "correction").orderBy("pass", "seq")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker handles at a time; a longer single text is a slice of its own.
@@ -33,6 +34,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder, and read again from there, so that later steps read only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def placed(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """df, written out, with _row, its rows' places from 0 in the given order, and for each name the sum of a column over all rows before.
+
+    Rows are dealt by ranges of the order. Each range numbers its own; one row for each range says what precedes it, so that no
+    range holds more than its share as long as the order tells rows apart.
+    """
+    parted = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    whole = {"_row": F.lit(1).cast("long"), **sums}
+    ranges = parted.groupBy("_part").agg(*(F.sum(c).alias(f"_all_{name}") for name, c in whole.items()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    ranges = ranges.select("_part", *(F.coalesce(F.sum(f"_all_{name}").over(earlier), F.lit(0)).alias(f"_all_{name}") for name in whole))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = {name: F.coalesce(F.sum(c).over(own), F.lit(0)) + F.col(f"_all_{name}") for name, c in whole.items()}
+    found = parted.join(F.broadcast(ranges), "_part")
+    return found.select(*(c for c in df.columns), *(c.alias(name) for name, c in before.items()))
+
+
 def slices(lengths, limit: int = SLICE_CHARS):
     """Consecutive (begin, end) ranges whose lengths sum to at most limit, or that hold one item."""
     begin, held = 0, 0

@@ -31,4 +31,37 @@ o as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text ||
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars, false as rewrites_history from o
 """
 
-ORACLE: dict[str, str] = {"op5_ngram_jaccard": NGRAM_JACCARD, "op10_chat_format": CHAT_FORMAT}
+#: Every item against every document that shares a term.
+LEXICAL_SEARCH = r"""
+with d as (select row_number() over () as d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+q as (select row_number() over () as q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from benchmark),
+c as (select count(*) as n, sum(len(w))::bigint as l from d where len(w) > 0),
+m as (select d, doc_id, 75 + (25 * len(w) * c.n) // c.l as m from d, c where len(w) > 0),
+p as (select d, term, count(*) as tf from (select d, unnest(w) as term from d) group by all),
+t as (select term, floor(1000 * ln((2 * c.n + 2)::double / (2 * count(*) + 1)::double))::bigint as w from p, c group by term, c.n),
+a as (select q, item_id, term, count(*) as r from (select q, item_id, unnest(w) as term from q) group by all),
+s as (select q, item_id, d, sum(r * t.w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score, any_value(doc_id) as doc_id from a join t using (term) join p using (term) join m using (d) group by all)
+select item_id, rank, doc_id, score from (select *, row_number() over (partition by q order by score desc, doc_id) as rank from s where score > 0) where rank <= 20
+"""
+
+#: The checksum's table by its rule, folded over the bytes of each distinct feature.
+RESAMPLING = r"""
+with recursive e as (select range as i, range as v, 0 as k from range(256) union all select i, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from e where k < 8),
+z as (select list(v order by i) as z from e where k = 8),
+w as (select 0 as kind, row_number() over () as d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all select 1, row_number() over (), null, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+f as (select kind, d, unnest(w) as g from w),
+h as (select g, list_transform(range(1, octet_length(encode(g)) + 1), lambda i: ('0x' || substr(hex(encode(g)), 2 * i - 1, 2))::bigint) as b from (select distinct g from f)),
+b as (select g, xor(list_reduce(b, lambda a, x: xor(a >> 8, z[(xor(a, x) & 255) + 1]), 4294967295::bigint), 4294967295) % 10000 as b from h, z),
+n as (select kind, b, count(*) as n from f join b using (g) group by all),
+k as (select sum(n) filter (kind = 0) as s, coalesce(sum(n) filter (kind = 1), 0) as t from n),
+v as (select r.range as b, floor(1000 * ln(((coalesce(y.n, 0) + 1) * (k.s + 10000))::double / ((coalesce(x.n, 0) + 1) * (k.t + 10000))::double))::bigint as v
+  from range(10000) r cross join k left join n x on x.kind = 0 and x.b = r.range left join n y on y.kind = 1 and y.b = r.range),
+s as (select d, sum(v)::bigint as weight from f join b using (g) join v using (b) where kind = 0 group by d),
+o as (select doc_id, len(w)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+  coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[:8])::bigint + 0.5::double) / 4294967296)))::bigint as score from w left join s using (d) where kind = 0),
+r as (select *, n_features >= 20 as able, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as rank, count(*) filter (n_features >= 20) over () as able_all from o)
+select doc_id, n_features, weight, score, case when able and rank <= able_all * 10 // 100 then rank end as rank from r
+"""
+
+ORACLE: dict[str, str] = {"op5_ngram_jaccard": NGRAM_JACCARD, "op10_chat_format": CHAT_FORMAT, "op12_lexical_search": LEXICAL_SEARCH, "op13_importance_resampling": RESAMPLING}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, gif, jaccard, packing, pii, quality, rules, toxicity, urls
+from . import bpe, chat, gif, jaccard, lexical, mixing, packing, pii, quality, resample, rules, toxicity, urls
 from .common import table
 from .oracles import ORACLE
 
@@ -67,6 +67,21 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes, beside its source's target."""
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, towards the benchmark's texts."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii_boosting": op1_pii_boosting,
     "op2_bpe_trie": op2_bpe_trie,
@@ -78,4 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
+    "op11_mixing_tree": op11_mixing_tree,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_importance_resampling": op13_importance_resampling,
 }

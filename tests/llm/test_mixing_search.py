@@ -67,7 +67,7 @@ def test_mix_meets_targets_and_shards_hold_their_share(spark):
     rows = [(i, prose(r, r.choice([0, 1, 3, 40, 300])), r.choice(["a", "b", "é", "Z", "big", "big", "big", None])) for i in range(300)]
     rows += [(1000, prose(r, 4000), "a"), (1001, prose(r, 3), "tiny"), (1002, "", "nothing"), (5, "again", "a"), (5, "again", "a"), (None, "one two", None), (None, "one two", None)]
     docs = documents(spark, rows)
-    small = {"block": 16, "shard": 8}
+    small = {"block": 16, "shard": 64}
     found = mixing.taken(docs, **small).collect()
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes = defaultdict(int)
@@ -85,10 +85,10 @@ def test_mix_meets_targets_and_shards_hold_their_share(spark):
     assert {s: math.floor(v + 0.5) for s, v in targets.items() if v} == dict(by_source)
     # blocks: none twice in a round, shards as large as each other, texts as cut
     own = mixing.quotas(mixing.sources(docs.select("source", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long").alias("size"))), 16)
-    draws = mixing.drawn(own, 16, 8).collect()
+    draws = mixing.drawn(own, 16, 64).collect()
     assert len({(d["no"], d["round"], d["block"]) for d in draws}) == len(draws) == len({(d["no"], d["place"]) for d in draws})
     held = Counter(d["shard"] for d in draws)
-    assert set(held) == set(range(-(-len(draws) // 8))) and max(held.values()) - min(held.values()) <= 1
+    assert set(held) == set(range(-(-len(draws) // 64))) and max(held.values()) - min(held.values()) <= 1
     texts = {}
     for i, t, _ in rows:
         texts.setdefault(i, set()).add(tuple((t or "").split()))
@@ -116,10 +116,10 @@ def test_mix_of_odd_documents(spark):
 
 def test_a_large_source_is_parted_by_levels(spark):
     """Enough shards that the tree's nodes are dealt anew on the way."""
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 20).alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
-    assert mixing.taken(docs, block=16, shard=32).agg(F.sum("taken")).first()[0] == 90_000
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 20).alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    assert mixing.taken(docs, block=16, shard=32).agg(F.sum("taken")).first()[0] == 36_000
     held = mixing.pieces(docs, block=16, shard=32).filter("n_words > 0").select("shard", "no", "place").distinct().groupBy("shard").count().collect()
-    assert len(held) > 128 and max(h["count"] for h in held) - min(h["count"] for h in held) <= 1
+    assert len(held) > 64 and max(h["count"] for h in held) - min(h["count"] for h in held) <= 1
 
 
 # lexical search

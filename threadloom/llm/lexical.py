@@ -99,11 +99,12 @@ def build(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, i
 
 def weighed(index: DataFrame, documents: int, pairs: DataFrame) -> DataFrame:
     """pairs (query, term, repeats) with weight: how rare the term is, in thousandths, times its repeats. Terms in no document are left out."""
-    wanted = pairs.select("term").distinct()
+    wanted = cut(pairs.select("term").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BLOCK_TERMS else wanted.hint("shuffle_merge")
     each = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("_x")).select(F.col("_x.terms").alias("term"), F.col("_x.counts").alias("n"))
     df = each.join(wanted, "term", "leftsemi").groupBy("term").agg(F.sum("n").alias("df"))
     rarity = F.floor(F.lit(1000) * F.log(F.lit(2 * documents + 2).cast("double") / (2 * F.col("df") + 1).cast("double")))
-    return pairs.join(df, "term").select("query", "term", (rarity * F.col("repeats")).alias("weight"))
+    return pairs.join(df.hint("shuffle_merge"), "term").select("query", "term", (rarity * F.col("repeats")).alias("weight"))
 
 
 def best(scores: np.ndarray, ids: np.ndarray, nulls: np.ndarray, top: int) -> np.ndarray:

@@ -38,7 +38,7 @@ def uniform(*key: Column) -> Column:
 
 
 def permuted(place: Column, n: Column, *key: Column, back: bool = False, rounds: int = ROUNDS) -> Column:
-    """place's image in a pseudo-random permutation of 0 to n - 1, or what has place as its image.
+    """place's image in a pseudo-random permutation of 0 to n - 1, or what has place as its image; never null, so that no filter for nulls works it out twice.
 
     In each round a place and its partner, its mirror image about a hashed centre, are swapped or not by a hashed bit.
     """
@@ -47,7 +47,7 @@ def permuted(place: Column, n: Column, *key: Column, back: bool = False, rounds:
         return F.when(F.pmod(F.xxhash64(*key, i, F.greatest(x, partner)), F.lit(2)) == 1, partner).otherwise(x)
 
     order = F.sequence(F.lit(rounds), F.lit(1), F.lit(-1)) if back else F.sequence(F.lit(1), F.lit(rounds))
-    return F.aggregate(order, place.cast("long"), step)
+    return F.coalesce(F.aggregate(order, place.cast("long"), step), F.lit(0))
 
 
 def hypergeometric(total: Column, marked: Column, drawn: Column, share: Column) -> Column:
@@ -138,7 +138,8 @@ def split(nodes: DataFrame, draws: int, shards: int, seed: int = SEED) -> DataFr
         )
     ]
     whole = F.struct("low", "high", "parts")
-    return own.select(F.explode(F.when(F.col("high") - F.col("low") > 1, F.array(*halves)).otherwise(F.array(whole))).alias("_n")).select("_n.*")
+    # an inner generator would infer a filter, for which all draws were made once more
+    return own.select(F.explode_outer(F.when(F.col("high") - F.col("low") > 1, F.array(*halves)).otherwise(F.array(whole))).alias("_n")).select("_n.*")
 
 
 def drawn(own: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
@@ -148,9 +149,12 @@ def drawn(own: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SE
     draws = root.first()["all"] or 0
     shards = max(1, -(-draws // shard))
     nodes = root.filter("all > 0").select(F.lit(0).cast("long").alias("low"), F.lit(shards).cast("long").alias("high"), "parts")
+    most = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for level in range((shards - 1).bit_length()):
+        if level:
+            nodes = nodes.repartition(min(1 << level, most))
         if level and level % 5 == 0:
-            nodes = cut(nodes.repartition(1 << level))
+            nodes = cut(nodes)
         nodes = split(nodes, draws, shards, seed)
     leaves = cut(nodes).select(F.col("low").alias("shard"), F.explode("parts").alias("_p"))
     each = leaves.select("shard", "_p.*").select("*", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("quota") - 1)).alias("place"))
@@ -178,7 +182,8 @@ def pieces(docs: DataFrame, columns: tuple[str, ...] = (), block: int = BLOCK, s
     begin = F.col("_begin") - F.col("first")
     spans = F.when(F.col("size") > 0, F.sequence(F.floor(begin / block), F.floor((begin + F.col("size") - 1) / block)))
     parts = streams.select("_row", "doc_id", "size", "source_size", "target", "kept", "no", begin.alias("_at"), F.explode_outer(spans).alias("block"))
-    found = parts.join(drawn(own, block, shard, seed), ["no", "block"], "left")
+    # Spark takes what comes from one row for small; draws grow with the documents
+    found = parts.join(drawn(own, block, shard, seed).hint("shuffle_merge"), ["no", "block"], "left")
     from_ = F.greatest(F.col("_at"), F.col("block") * block)
     to = F.least(F.col("_at") + F.col("size"), F.col("block") * block + F.coalesce("words", F.lit(0)))
     return found.select("_row", "doc_id", "size", "source_size", "target", "kept", "shard", "no", "place", "round", (from_ - F.col("_at")).alias("first"), F.when(F.col("shard").isNull(), 0).otherwise(F.greatest(to - from_, F.lit(0))).alias("n_words"))

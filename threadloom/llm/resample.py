@@ -39,10 +39,11 @@ def _crc(column: pa.ChunkedArray) -> pa.Array:
 
 def counting_sql(longest: int, buckets: int) -> str:
     """SQL over a table texts (row, text): each row's number of words and of features, and its buckets with their counts."""
-    runs = [f"select row, {' || chr(32) || '.join(['word', *(f'lead(word, {i}) over w' for i in range(1, n))])} as gram from words" + (" window w as (partition by row order by at)" if n > 1 else "") for n in range(1, longest + 1)]
+    after = lambda i: f"lead(word, {i}) over (partition by row order by place)"
+    runs = [f"select row, {' || chr(32) || '.join(['word', *map(after, range(1, n))])} as gram from words" for n in range(1, longest + 1)]
     return rf"""
 with found as (select row, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') as list from texts),
-words as (select row, unnest(list) as word, generate_subscripts(list, 1) as at from found),
+words as (select row, unnest(list) as word, generate_subscripts(list, 1) as place from found),
 grams as (select row, gram from ({' union all '.join(runs)}) where gram is not null),
 hashed as (select gram, (crc32(gram) % {buckets})::integer as bucket from (select distinct gram from grams)),
 counted as (select row, bucket, count(*)::integer as n from grams join hashed using (gram) group by row, bucket),

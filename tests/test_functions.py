@@ -74,7 +74,7 @@ def test_secrets_are_found_masked_and_gated(spark):
     assert found == {(1, "aws-access-key"), (1, "ipv4")}
     chosen = {r["rule"]: r["action"] for r in secrets.decisions(secrets.findings(rows, "id", "text")).collect()}
     assert chosen == {"aws-access-key": "redact", "ipv4": "keep"}
-    masked = rows.withColumn("text", secrets.redacted(F.col("text")))
+    masked = secrets.redacted(rows, "text")
     assert masked.filter("id = 1").first()["text"] == f"key [REDACTED:aws-access-key] at {host}"
     assert secrets.assert_clean(masked, "text").count() == 3
     with pytest.raises(Exception, match="a secret would leak"):
@@ -91,7 +91,7 @@ def test_every_kind_of_secret_is_masked_and_gated(spark):
     }
     texts |= {"escaped": 'pwd: "\\n"', "clean": "password: ${SECRET} and token = example, your key", "email": "write me@site.org"}
     rows = spark.createDataFrame(list(texts.items()), "id string, text string")
-    out = {r["id"]: r for r in rows.select("id", secrets.redacted(F.col("text")).alias("t"), secrets.leaks(F.col("text")).alias("before")).withColumn("after", secrets.leaks(F.col("t"))).collect()}
+    out = {r["id"]: r for r in secrets.leaks(secrets.redacted(secrets.leaks(rows.withColumn("t", F.col("text")), "text", "before"), "t"), "t", "after").collect()}
     for rule, text in texts.items():
         if rule in ("clean", "email"):
             assert (out[rule]["t"], out[rule]["before"]) == (text, False)

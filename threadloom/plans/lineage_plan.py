@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
 from ..functions import redirects as R
 from ..functions import secrets
 from ..functions import text as T
@@ -18,8 +17,9 @@ def nodes(spark: SparkSession, path: str) -> DataFrame:
     prompts = transcripts.with_context(transcripts.records(spark, path)).withColumnRenamed("file", "tree")
     prompts = prompts.withColumn("redirects", R.routed(F.col("text"), F.col("prior_tokens"), F.col("goal_tokens"))["redirects"]).drop("prior_tokens", "goal_tokens")
     kept = sequence.folded(prompts, ["tree"], ["ord"], T.is_nudge(F.col("text"))).filter(~(T.matches(F.col("text"), r"\bignore this\b") & (F.size(F.split(F.trim("text"), r"\s+")) <= 6)))
-    own = sequence.numbered(kept, ["tree"], ["ord"]).withColumn("text", secrets.redacted(F.col("text")))
-    own = own.withColumns({"kind": T.turn_kind(F.col("text"), F.col("node_ord") == 1, F.col("redirects")), "title": secrets.redacted(T.title(F.col("text"))), "parent": F.lag("node_ord").over(sequence.ordered(["tree"], ["node_ord"]))})
+    own = secrets.redacted(sequence.numbered(kept, ["tree"], ["ord"]), "text", soft=True)
+    own = own.withColumns({"kind": T.turn_kind(F.col("text"), F.col("node_ord") == 1, F.col("redirects")), "title": T.title(F.col("text")), "parent": F.lag("node_ord").over(sequence.ordered(["tree"], ["node_ord"]))})
+    own = secrets.redacted(own, "title")
     return own.withColumn("relationship", F.when(F.col("parent").isNotNull(), T.relationship(F.col("kind")))).select("tree", "node_ord", "ord", "kind", "title", "text", "parent", "relationship", "nudges", "repeats", "ts")
 
 
@@ -48,9 +48,8 @@ def tree_stats(spark: SparkSession, path: str) -> DataFrame:
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document for each tree, its nodes and failures in order; the job fails rather than let a secret through."""
-    # the whole scan reads texts as they are; escapes would part or join tokens, so the JSON is gated by the plain rules
-    clean = secrets.assert_clean(secrets.assert_clean(nodes(spark, path), "text"), "title")
+    clean = secrets.assert_clean(nodes(spark, path), "text", "title")
     found = clean.select("tree", F.struct("node_ord", "kind", "title", "text", "parent", "relationship", "nudges").alias("n"))
     bad = tree_failures(spark, path).select("tree", F.struct("failure_id", "type", "node_ord", "confidence", "tier").alias("f"))
     both = found.groupBy("tree").agg(F.sort_array(F.collect_list("n")).alias("nodes")).join(bad.groupBy("tree").agg(F.sort_array(F.collect_list("f")).alias("failures")), "tree", "left")
-    return secrets.assert_clean(both.select("tree", F.to_json(F.struct("nodes", F.coalesce("failures", F.array()).alias("failures"))).alias("json")), "json", P.SECRETS)
+    return secrets.assert_clean(both.select("tree", F.to_json(F.struct("nodes", F.coalesce("failures", F.array()).alias("failures"))).alias("json")), "json")

@@ -10,18 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import secrets, text as T
 from ..operators import failures, lineage, references, sequence, stats
-from .synthetic import FILES, SQL, turns
+from . import secret_sql
+from .synthetic import FILES, PLANTED_SQL, SQL, planted, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY, ORDER = ["tree"], ["ts", "event_id"]
 C = F.col
 
 
-#: The rules that SQL can follow, and those of them that mask.
-_SQL_RULES = [rule for rule, _, _ in P.SECRETS]
-_SQL_MASKED = tuple(rule for rule, severity, _ in P.SECRETS if severity != "soft")
-
-
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -172,18 +168,22 @@ def test_skips(spark, sf_dir):
 
 
 def secret_findings(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return secrets.findings(docs, "doc_id", "text").filter(C("rule").isin(_SQL_RULES) & ~C("match").rlike(r"^(?![Bb]earer)(?i:bearer)")).groupBy("doc_id", "rule", "severity", "match_sha256").agg(F.count("*").alias("n"))
+    """What each document and its sample have by each rule."""
+    return secrets.findings(planted(spark, sf_dir), "doc_id", "text").groupBy("doc_id", "rule", "severity", "match_sha256").agg(F.count("*").alias("n"))
+
+
+def secret_spans(spark, sf_dir):
+    """Where each finding lies."""
+    return secrets.findings(planted(spark, sf_dir), "doc_id", "text").select("doc_id", "rule", C("start").cast("long").alias("start_at"), C("end").cast("long").alias("end_at"), "commit", "match_sha256")
 
 
 def secret_decisions(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return secrets.decisions(secrets.findings(docs, "doc_id", "text").filter("rule in ('hex-token', 'ipv4')"))
+    """What becomes of each distinct match in an unattended run that keeps commits' hashes."""
+    return secrets.decisions(secrets.findings(planted(spark, sf_dir), "doc_id", "text"), soft=True, keep_commits=True)
 
 
 def redacted_texts(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.sha2(secrets.redacted(C("text"), _SQL_MASKED), 256).alias("sha256"))
+    return secrets.redacted(planted(spark, sf_dir), "text", soft=True).select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
 def token_entropy(spark, sf_dir):
@@ -288,19 +288,12 @@ def security_intents(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     turn_kinds, turn_relationships, nudges_folded, refusals, declines, rejection_ledger, rejections_by_kind, failures_by_node, tiers_by_tree, lessons_by_type, session_stats, sessions_since, token_totals, prior_file,
-    correction_chains, correction_causes, security_gate, risky_commands, test_skips, secret_findings, secret_decisions, redacted_texts, token_entropy, titles, main_paths, branch_status, abandoned_branches, subtree_sizes,
+    correction_chains, correction_causes, security_gate, risky_commands, test_skips, secret_findings, secret_spans, secret_decisions, redacted_texts, token_entropy, titles, main_paths, branch_status, abandoned_branches, subtree_sizes,
     missing_files, constraint_ranking, shared_words, model_totals, props_fields, latest_turn, process_signals, failure_type_counts, signal_lessons, failure_summaries, security_intents,
 )}
 
-_FINDINGS_SQL = " union all ".join(f"select doc_id, '{rule}' as rule, '{severity}' as severity, unnest(regexp_extract_all(text, {_quoted(pattern)})) as match from documents" for rule, severity, pattern in P.SECRETS)
-
-
-def _redacted_sql() -> str:
-    out = "text"
-    for rule, severity, pattern in P.SECRETS:
-        if severity != "soft":
-            out = f"regexp_replace({out}, {_quoted(pattern)}, '[REDACTED:{rule}]', 'g')"
-    return out
+_PLANTED = f"with p as ({PLANTED_SQL}), {secret_sql.scan('p', 'x')}"
+_RANK = "case severity when 'high' then 0 when 'medium' then 1 else 2 end"
 
 
 def _process_sql() -> str:
@@ -375,9 +368,11 @@ ORACLE: dict[str, str] = {
       select tree, surface, count(*) as touches, count(*) filter (after) as after_risk from g where surface is not null group by all""",
     "risky_commands": f"{T_SQL}, x as (select tree, {_case('command', P.RISKY_COMMAND)} as risk from t) select tree, risk, count(*) as n from x where risk is not null group by all",
     "test_skips": f"{T_SQL} select tree, count(*) as n from t where length(text) <= 4000 and {_has('text', P.TEST_SKIP)} group by tree",
-    "secret_findings": f"with f as ({_FINDINGS_SQL}) select doc_id, rule, severity, sha256(match) as match_sha256, count(*) as n from f group by all",
-    "secret_decisions": f"with f as ({_FINDINGS_SQL}), g as (select * from f where rule in ('hex-token', 'ipv4')) select sha256(match) as match_sha256, count(*) as n, min(rule) as rule, case when min(rule) = 'hex-token' then 'redact' else 'keep' end as action from g group by 1",
-    "redacted_texts": f"select doc_id, sha256({_redacted_sql()}) as sha256 from documents",
+    "secret_findings": f"{_PLANTED} select doc_id, rule, severity, sha256(match) as match_sha256, count(*) as n from x_found group by all",
+    "secret_spans": f"{_PLANTED} select doc_id, rule, s::bigint as start_at, e::bigint as end_at, git as commit, sha256(match) as match_sha256 from x_found",
+    "secret_decisions": f"""{_PLANTED}, d as (select match, count(*) as n, min({_RANK}) as worst, arg_min(rule, ({_RANK}, rule)) as rule, bool_or(git) as git from x_found group by match)
+      select sha256(match) as match_sha256, n, case when git and worst > 0 then 'git-commit-sha' else rule end as rule, case when git and worst > 0 then 'keep' else 'redact' end as action from d""",
+    "redacted_texts": f"with p as ({PLANTED_SQL}), {secret_sql.masked('p', 'a', True)}, {secret_sql.masked('a', 'b', False)} select doc_id, sha256(text) as sha256 from b",
     "token_entropy": """with k as (select distinct doc_id, unnest(regexp_extract_all(text, '[0-9a-z]{24,64}')) as token from documents), c as (select doc_id, token, unnest(string_split(token, '')) as ch from k),
       n as (select doc_id, token, ch, count(*) as m from c group by all) select doc_id, token, round(-sum(m / length(token) * log2(m / length(token))), 6) as entropy from n group by all""",
     "titles": """with o as (select conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) as s from conversations) select conv_id, turn, case when length(s) <= 96 then s else rtrim(substr(s, 1, 95)) || '...' end as title from o""",

@@ -6,11 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-
-
-#: A word's edge between ASCII letters, digits and _ alone; Java's own takes accented letters in.
-EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-
+from .spans import BLANKS, EDGE
 
 def ascii_edges(pattern: str) -> str:
     return pattern.replace(r"\b", EDGE)
@@ -48,6 +44,16 @@ def is_nudge(text: Column) -> Column:
     return (F.size(F.split(F.trim(text), r"\s+")) <= 4) & matches(text, P.CONTINUATION)
 
 
+def is_ignored(text: Column) -> Column:
+    """At most six words that ask to ignore them."""
+    return (F.size(F.split(F.trim(text), r"\s+")) <= 6) & matches(text, P.IGNORE)
+
+
+def chosen_option(text: Column) -> Column:
+    """The option, in capitals, that a turn of nothing else chooses from a menu, else null."""
+    return F.when(matches(text, P.SELECTION), F.upper(F.regexp_extract(text, f"(?i){P.SELECTION}", 1)))
+
+
 def is_refusal(text: Column) -> Column:
     """A model's refusal; a promise not to touch something is none, unless it also says that it can't."""
     return (F.length(text) <= 4000) & matches(text, P.REFUSAL) & (~matches(text, P.COMPLIANT) | matches(text, P.HARD_REFUSAL))
@@ -84,7 +90,7 @@ def relationship(kind: Column) -> Column:
 
 def truncate(text: Column, n: int = 80) -> Column:
     """White space collapsed; a longer text is cut to n - 1 characters, right-trimmed, and gets three dots."""
-    one = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    one = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{BLANKS}]+", " "))
     return F.when(F.length(one) <= n, one).otherwise(F.concat(F.rtrim(F.substring(one, 1, n - 1)), F.lit("...")))
 
 

@@ -16,11 +16,13 @@ def nodes(spark: SparkSession, path: str) -> DataFrame:
     """Surviving prompts of native transcripts, as nodes: tree (the file), node_ord, kind, title, text (secrets masked), parent and nudges."""
     prompts = transcripts.with_context(transcripts.records(spark, path)).withColumnRenamed("file", "tree")
     prompts = prompts.withColumn("redirects", R.routed(F.col("text"), F.col("prior_tokens"), F.col("goal_tokens"))["redirects"]).drop("prior_tokens", "goal_tokens")
-    kept = sequence.folded(prompts, ["tree"], ["ord"], T.is_nudge(F.col("text"))).filter(~(T.matches(F.col("text"), r"\bignore this\b") & (F.size(F.split(F.trim("text"), r"\s+")) <= 6)))
+    prompts = prompts.withColumn("said", T.turn_kind(F.col("text"), F.lit(False), F.col("redirects")))
+    kept = sequence.streamed_fold(prompts, ["tree"], ["ord"], T.is_nudge(F.col("text")), T.is_ignored(F.col("text")), told=("said",))
     own = secrets.redacted(sequence.numbered(kept, ["tree"], ["ord"]), "text", soft=True)
-    own = own.withColumns({"kind": T.turn_kind(F.col("text"), F.col("node_ord") == 1, F.col("redirects")), "title": T.title(F.col("text")), "parent": F.lag("node_ord").over(sequence.ordered(["tree"], ["node_ord"]))})
+    option = F.when(F.col("node_ord") > 1, T.chosen_option(F.col("text")))
+    own = own.withColumns({"kind": F.when(F.col("node_ord") == 1, "root").when(option.isNotNull(), "direction").otherwise(F.col("said")), "title": F.when(option.isNotNull(), F.concat(F.lit("Chose option "), option, F.lit(" from the proposed menu"))).otherwise(T.title(F.col("text"))), "parent": F.lag("node_ord").over(sequence.ordered(["tree"], ["node_ord"]))})
     own = secrets.redacted(own, "title")
-    return own.withColumn("relationship", F.when(F.col("parent").isNotNull(), T.relationship(F.col("kind")))).select("tree", "node_ord", "ord", "kind", "title", "text", "parent", "relationship", "nudges", "repeats", "ts")
+    return own.withColumn("relationship", F.when(F.col("parent").isNotNull(), T.relationship(F.col("kind")))).select("tree", "node_ord", "ord", "kind", "title", "text", "parent", "relationship", "nudges", "repeats", "reruns", "ts")
 
 
 def tree_failures(spark: SparkSession, path: str) -> DataFrame:

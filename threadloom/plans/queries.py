@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import secrets, text as T
-from ..operators import failures, lineage, references, sequence, stats
+from ..operators import failures, lineage, redaction, references, sequence, stats
 from . import secret_sql
-from .synthetic import FILES, PLANTED_SQL, SQL, planted, turns
+from .synthetic import FIELDS_SQL, FILES, PLANTED_SQL, REPEATED_SQL, SQL, fields, planted, repeated_turns, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY, ORDER = ["tree"], ["ts", "event_id"]
@@ -186,6 +186,17 @@ def redacted_texts(spark, sf_dir):
     return secrets.redacted(planted(spark, sf_dir), "text", soft=True).select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+def masked_fields(spark, sf_dir):
+    """Prompts, commands and results of each tree, with what any of them shows to be secret masked in all."""
+    return redaction.everywhere(fields(spark, sf_dir), "tree", ["event_id", "seq"]).select("event_id", C("seq").cast("long").alias("seq"), F.sha2("text", 256).alias("sha256"))
+
+
+def turns_refolded(spark, sf_dir):
+    """Surviving turns where each is held against the last one's text as it is by then."""
+    own = sequence.streamed_fold(repeated_turns(spark, sf_dir).select("tree", "ts", "event_id", "text"), KEY, ORDER, T.is_nudge(C("text")), T.is_ignored(C("text")))
+    return own.select("tree", "event_id", F.sha2("text", 256).alias("sha256"), "nudges", "repeats", "reruns")
+
+
 def token_entropy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     tokens = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9a-z]{24,64}"), F.lit(0)))).alias("token"))
@@ -288,7 +299,7 @@ def security_intents(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     turn_kinds, turn_relationships, nudges_folded, refusals, declines, rejection_ledger, rejections_by_kind, failures_by_node, tiers_by_tree, lessons_by_type, session_stats, sessions_since, token_totals, prior_file,
-    correction_chains, correction_causes, security_gate, risky_commands, test_skips, secret_findings, secret_spans, secret_decisions, redacted_texts, token_entropy, titles, main_paths, branch_status, abandoned_branches, subtree_sizes,
+    correction_chains, correction_causes, security_gate, risky_commands, test_skips, secret_findings, secret_spans, secret_decisions, redacted_texts, masked_fields, turns_refolded, token_entropy, titles, main_paths, branch_status, abandoned_branches, subtree_sizes,
     missing_files, constraint_ranking, shared_words, model_totals, props_fields, latest_turn, process_signals, failure_type_counts, signal_lessons, failure_summaries, security_intents,
 )}
 
@@ -373,6 +384,18 @@ ORACLE: dict[str, str] = {
     "secret_decisions": f"""{_PLANTED}, d as (select match, count(*) as n, min({_RANK}) as worst, arg_min(rule, ({_RANK}, rule)) as rule, bool_or(git) as git from x_found group by match)
       select sha256(match) as match_sha256, n, case when git and worst > 0 then 'git-commit-sha' else rule end as rule, case when git and worst > 0 then 'keep' else 'redact' end as action from d""",
     "redacted_texts": f"with p as ({PLANTED_SQL}), {secret_sql.masked('p', 'a', True)}, {secret_sql.masked('a', 'b', False)} select doc_id, sha256(text) as sha256 from b",
+    "masked_fields": f"with f as ({FIELDS_SQL}), {secret_sql.masked_everywhere('f', 'a')}, {secret_sql.masked('a', 'b', False)} select doc_id // 3 as event_id, doc_id % 3 as seq, sha256(text) as sha256 from b",
+    "turns_refolded": f"""with recursive u as (select tree, event_id, row_number() over (partition by tree order by ts, event_id) as n, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) as plain, {NUDGE_SQL} as nudge,
+        (len(string_split_regex(trim(text), '\\s+')) <= 6 and {_has('text', P.IGNORE)}) as ign from ({REPEATED_SQL})),
+      w as (select tree, 0::bigint as n, null::bigint as node, '' as node_text, '' as before, '' as what from (select distinct tree from u) union all
+        select tree, n, case when what = 'node' then event_id else node end, case when what in ('node', 'rerun', 'longer') then text else node_text end, case when what in ('node', 'rerun', 'longer') then plain else before end, what from (
+          select u.tree, u.n, u.event_id, u.text, u.plain, w.node, w.node_text, w.before, case when node is not null and (before = plain or (least(length(before), length(plain)) >= 24 and
+            starts_with(case when length(before) <= length(plain) then plain else before end, case when length(before) <= length(plain) then left(before, length(before) - 4) else left(plain, length(plain) - 4) end)))
+              then case when length(u.text) > length(node_text) then 'longer' else 'repeat' end
+            when node is not null and least(length(before), length(plain)) >= 40 and before[:24] = plain[:24] and ((starts_with(before, '/') and before[:32] = plain[:32]) or
+              len(list_filter(range(1, least(length(before), length(plain)) + 1), lambda k: before[:k] = plain[:k])) / least(length(before), length(plain)) >= 0.5) then 'rerun'
+            when node is not null and nudge then 'nudge' when ign then 'ignored' else 'node' end as what from w join u on u.tree = w.tree and u.n = w.n + 1))
+      select tree, node as event_id, sha256(arg_max(node_text, n)) as sha256, count(*) filter (what = 'nudge') as nudges, count(*) filter (what in ('repeat', 'longer')) as repeats, count(*) filter (what = 'rerun') as reruns from w where node is not null group by tree, node""",
     "token_entropy": """with k as (select distinct doc_id, unnest(regexp_extract_all(text, '[0-9a-z]{24,64}')) as token from documents), c as (select doc_id, token, unnest(string_split(token, '')) as ch from k),
       n as (select doc_id, token, ch, count(*) as m from c group by all) select doc_id, token, round(-sum(m / length(token) * log2(m / length(token))), 6) as entropy from n group by all""",
     "titles": """with o as (select conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) as s from conversations) select conv_id, turn, case when length(s) <= 96 then s else rtrim(substr(s, 1, 95)) || '...' end as title from o""",

@@ -47,7 +47,7 @@ _RULES = (
     ("secret-assignment", "medium", _ASSIGNED + r"""(?:"[^"\\]*(?:\\.[^"\\]*)+"|'[^'\\]*(?:\\.[^'\\]*)+'|`[^`\\]*(?:\\.[^`\\]*)+`)""", None, _NO_VALUE),
     ("email", "soft", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", None, r"@(?:users\.noreply\.github\.com|example\.(?:com|org))"),
     # the last four of a row of numbers that no further number follows
-    ("ipv4", "soft", rf"\b(?:{_O}\.){{3,}}{_O}\b(?:\.[0-9]+)?", None, rf"\.{_O}\.{_O}\.{_O}\.(?:0[0-9]+|[0-9]{{4,}}|25[6-9]|2[6-9][0-9]|[3-9][0-9][0-9])$"),
+    ("ipv4", "soft", rf"\b(?:{_O}\.){{3,}}{_O}\b(?:\.[0-9]+[A-Za-z_]?)?", None, rf"[A-Za-z_]$|\.{_O}\.{_O}\.{_O}\.(?:0[0-9]+|[0-9]{{4,}}|25[6-9]|2[6-9][0-9]|[3-9][0-9][0-9])$"),
     ("home-dir-username", "soft", r"(?:/(?:home|Users)/|C:\\Users\\)[A-Za-z][A-Za-z0-9._-]{2,30}\b", None, None),
 )
 
@@ -103,3 +103,11 @@ def masked(source: str, name: str, soft: bool) -> str:
 {name}_d as (select doc_id, match, min(pos) as lead_pos, arg_max(rule, pos) as rule from {name}_s_found where {kept} group by all),
 {name}_o as (select doc_id, list(match || chr(1) || rule order by length(match) desc, lead_pos) as l from {name}_d group by doc_id),
 {name} as (select doc_id, case when l is null then text else list_reduce(list_prepend(text, l), lambda t, x: replace(t, string_split(x, chr(1))[1], '[REDACTED:' || string_split(x, chr(1))[2] || ']')) end as text from {source} left join {name}_o using (doc_id))"""
+
+
+def masked_everywhere(source: str, name: str) -> str:
+    """Common table expressions ending in {name} (doc_id, text): what scan() finds in one text of a tree masked in all of them; the source has doc_id, in the order of a tree's texts, tree and text."""
+    return f"""{scan(source, name + '_s')},
+{name}_d as (select tree, match, min((doc_id, pos)) as lead_pos, arg_max(rule, (doc_id, pos)) as rule from {name}_s_found join {source} using (doc_id) where not starts_with(match, '[REDACTED:') group by all),
+{name}_o as (select tree, list(match || chr(1) || rule order by length(match) desc, lead_pos) as l from {name}_d group by tree),
+{name} as (select doc_id, case when l is null then text else list_reduce(list_prepend(text, l), lambda t, x: replace(t, string_split(x, chr(1))[1], '[REDACTED:' || string_split(x, chr(1))[2] || ']')) end as text from {source} left join {name}_o using (tree))"""

@@ -59,6 +59,31 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.concat(F.substring(text, 1, 100), border, pick(SAMPLES, F.col("doc_id")), border, F.substring(text, F.lit(101), F.length(text))).alias("text"))
 
 
+#: Prompts that are asked again, cut, lengthened or turned another way.
+LONG = (
+    "Build the parser for the log files, line by line, and keep it small.", "/review src/export.py for errors in the way rows are written out", "Write a test of each reader with an empty file and a very long one.",
+    "Move the settings into one file that all of the tools read at their start.", "Explain how the cache is kept and when its oldest entries are dropped.",
+)
+
+
+def repeated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' turns, most of which say a user's long prompt once more: as it is, cut, lengthened or with another end."""
+    own = turns(spark, sf_dir).filter("role = 'user'")
+    base = F.element_at(F.array(*map(F.lit, LONG)), (F.pmod("tree", F.lit(len(LONG))) + 1).cast("int"))
+    kind = F.col("event_id") % 8
+    text = F.when(kind < 2, base).when(kind == 2, F.expr("left(base, length(base) - 3)")).when(kind == 3, F.concat(base, F.lit(" and  keep it short"))).when(kind == 4, F.concat(F.substring(base, 1, 45), F.lit(" then something else entirely"))).when(kind == 5, "ignore this one")
+    return own.withColumn("base", base).withColumn("text", F.coalesce(text, "text")).drop("base")
+
+
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three texts of each turn: what is said, a command and its result; a secret that one says is part of another's words elsewhere in the tree."""
+    sample = lambda key: F.element_at(F.array(*map(F.lit, SAMPLES)), (F.pmod(key, F.lit(len(SAMPLES))) + 1).cast("int"))
+    said = F.when(F.expr("event_id % 40 = 0"), F.concat(F.lit("key "), sample(F.expr("event_id div 40")))).otherwise(F.col("text"))
+    command = F.when(F.expr("event_id % 5 = 1"), F.concat(F.lit("run_"), sample(F.expr("event_id div 5")), F.lit("_x"))).otherwise(F.col("command"))
+    each = F.posexplode(F.array(said, command, F.col("result"))).alias("seq", "text")
+    return turns(spark, sf_dir).select("tree", "event_id", each)
+
+
 def _list(values: tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -73,3 +98,10 @@ SQL = f"""select user_id as tree, ts, event_id, case when event_id % 3 = 1 then
 _BORDER = f"list_extract({_list(BORDERS)}, (doc_id // 3 % {len(BORDERS)} + 1)::int)"
 #: The documents with their samples.
 PLANTED_SQL = f"select doc_id, substr(coalesce(text, ''), 1, 100) || {_BORDER} || list_extract({_list(SAMPLES)}, (doc_id % {len(SAMPLES)} + 1)::int) || {_BORDER} || substr(coalesce(text, ''), 101) as text from documents"
+
+_BASE = f"list_extract({_list(LONG)}, (tree % {len(LONG)} + 1)::int)"
+REPEATED_SQL = f"""select tree, ts, event_id, case when event_id % 8 < 2 then {_BASE} when event_id % 8 = 2 then left({_BASE}, length({_BASE}) - 3) when event_id % 8 = 3 then {_BASE} || ' and  keep it short'
+  when event_id % 8 = 4 then substr({_BASE}, 1, 45) || ' then something else entirely' when event_id % 8 = 5 then 'ignore this one' else text end as text from ({SQL}) where role = 'user'"""
+_SAMPLE = lambda key: f"list_extract({_list(SAMPLES)}, ({key} % {len(SAMPLES)} + 1)::int)"
+FIELDS_SQL = f"""select event_id * 3 + seq as doc_id, tree, event_id, seq, case seq when 0 then case when event_id % 40 = 0 then 'key ' || {_SAMPLE('(event_id // 40)')} else text end
+  when 1 then case when event_id % 5 = 1 then 'run_' || {_SAMPLE('(event_id // 5)')} || '_x' else command end else result end as text from ({SQL}), (select unnest([0, 1, 2]) as seq)"""

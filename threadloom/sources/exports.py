@@ -112,8 +112,7 @@ def read_documents(spark: SparkSession, path: str, forced: str | None = None) ->
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, ord, line and format of every JSON line."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), F.trim("value").alias("line"))
-    own = numbered(raw.filter(F.col("line").startswith("{") & F.expr("try_parse_json(line)").isNotNull()), ["file"], ["_block", "_row"], "ord")
+    own = numbered_lines(spark, path, lambda line: F.trim(line).startswith("{") & F.expr("try_parse_json(line)").isNotNull()).withColumn("line", F.trim("line"))
     first = own.filter("ord = 1").select("file", line_format(F.col("line")).alias("format"))
     return own.select("file", "ord", "line").join(first, "file")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import redirects as R
 from ..functions import text as T
+from ..shared import cut
 
 # How user texts begin that no person wrote as they stand, and what stands for a prompt of images alone.
 CONTINUATION = r"^this session is being continued from a previous conversation"
@@ -39,13 +40,26 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
 
+def numbered_lines(spark: SparkSession, path: str, wanted=None) -> DataFrame:
+    """file, ord (from 1, of the wanted lines of a file) and line.
+
+    A split numbers its own lines as it reads them; one row for each split says what precedes it in its file, so a large file is
+    many tasks' work, and no window holds a file. The lines are written out first: the splits may be others when they are read again.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("line"))
+    own = cut((raw if wanted is None else raw.filter(wanted(F.col("line")))).withColumn("_row", F.monotonically_increasing_id()))
+    splits = own.groupBy("file", "_block").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(F.col("file").alias("_f"), F.col("_block").alias("_b"), "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = own.join(splits, (F.col("file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    return placed.select("file", (F.col("_row") - F.col("_first") + F.col("_before") + 1).alias("ord"), "line")
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """One row for each JSON line: file, ord (of the line in its file), type and the fields that later steps use, and the line."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
-    lines = lines.filter(F.col("line").startswith("{") & F.expr("try_parse_json(line)").isNotNull())
-    w = Window.partitionBy("file").orderBy("_block", "_row")
+    lines = numbered_lines(spark, path, lambda line: line.startswith("{") & F.expr("try_parse_json(line)").isNotNull())
     return lines.select(
-        "file", F.row_number().over(w).alias("ord"), _at("type").alias("type"), _at("uuid").alias("uuid"), F.when(_at("subtype") == "compact_boundary", _at("logicalParentUuid")).otherwise(_at("parentUuid")).alias("parent_uuid"),
+        "file", "ord", _at("type").alias("type"), _at("uuid").alias("uuid"), F.when(_at("subtype") == "compact_boundary", _at("logicalParentUuid")).otherwise(_at("parentUuid")).alias("parent_uuid"),
         _at("sessionId").alias("session_id"), _at("timestamp").alias("ts"), _at("cwd").alias("cwd"), _flag("isSidechain").alias("sidechain"), _flag("isMeta").alias("meta"),
         _at("message.id").alias("message_id"), _at("message.model").alias("model"), _at("message.stop_reason").alias("stop_reason"), _at("message.usage.input_tokens").cast("long").alias("input_tokens"),
         _at("message.usage.output_tokens").cast("long").alias("output_tokens"), _at("message.content").alias("content"), (_at("toolUseResult").isNotNull() | _at("sourceToolAssistantUUID").isNotNull()).alias("is_tool_result"),

@@ -143,3 +143,18 @@ def test_chains_are_unique(spark):
     rows = [(1, 1, 2, 0, 5, "a"), (1, 1, 2, 1, 1, "b"), (1, 1, 3, 1, 2, "c"), (2, 1, 2, 1, 1, "d")]
     out = evidence.unique_chains(spark.createDataFrame(rows, "tree long, failure long, correction long, pass int, seq int, what string"))
     assert {(r["tree"], r["chain_id"], r["what"]) for r in out.collect()} == {(1, "chain_001", "a"), (1, "chain_002", "c"), (2, "chain_001", "d")}
+
+
+def test_common_words_of_a_long_tree_are_found_next_door(spark):
+    """One vocabulary in 4,000 turns: each finds the next; one whose words come back only at the end finds that."""
+    rows = [(1, i, "alpha beta gamma delta" if i not in (5, 3990) else "omega sigma kappa", [], "correction", "accepted") for i in range(4000)]
+    nodes = spark.createDataFrame(rows, "tree int, ord long, text string, files array<string>, kind string, status string")
+    found = {r["ord"]: r["corrector"] for r in evidence.correction_after(nodes).collect()}
+    assert found[5] == 3990 and found[4] == 6 and found[10] == 11 and found[3990] is None and found[3999] is None
+    assert all(found[i] == i + 1 for i in range(6, 3989))
+
+
+def test_names_anywhere_in_a_text(spark):
+    rows = [(1, 1, "see src/Login.ts!", ["a/b.ts"]), (1, 2, "nothing", ["src/login.ts", "x/makefile"]), (1, 3, "themakefileisbroken", []), (2, 1, "login.ts", []), (1, 4, None, None)]
+    own = evidence.with_words(spark.createDataFrame(rows, "tree int, ord int, text string, files array<string>"))
+    assert {tuple(r) for r in evidence.naming(own).collect()} == {(1, 1, "login.ts"), (1, 3, "makefile")}

@@ -2,8 +2,9 @@
 
 Two turns of a tree share evidence if their tool calls touch the same file, if one names a file that the other touches, if
 both have a word of a security surface, or if they have three words or more in common. All but the last are equal keys: what
-each key was last or next seen with comes from one pass over the key's turns in order, so no pairs are made. The last joins
-words of a tree, and costs as the square of a word's turns; words can't be left out, as all count.
+each key was last or next seen with comes from one pass over the key's turns in order, so no pairs are made. Common words are
+looked for from the nearest turn outwards, in rounds that reach further, and only where nothing nearer is known; turns that
+share words with none of a long tree are held against all turns that have one of their words.
 
 nodes has tree, ord (unique in a tree), text, files (an array) and, where known, narration. Nulls are empty.
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import security as S
 from ..functions import text as T
+from ..shared import cut
 
 SURFACE_WORDS = (
     "auth", "session", "login", "signin", "signup", "oauth", "jwt", "sso", "saml",
@@ -35,6 +37,8 @@ DATA = r"\b(?:seed(?:s|\s*data|\s*rows?)?|migrations?|tables?|schemas?|databases
 DATA_LOST = r"\b(?:blew\s+away|blow\s+away|dropped?|drop[\s-]?and[\s-]?recreate[d]?|truncate[d]?|wiped?|nuked?|deleted?|destroyed?|clobber(?:ed)?|overwr(?:ote|itten))\b"
 DATA_BACK = r"\b(?:restore|re[\s-]?seed|recover|recreate|bring (?:it|them) back|non[\s-]?destructive|additive|preserve|put (?:it|them) back|undo|revert)\b"
 LEAST_WORDS = 3
+#: Letters by which file names are looked up; names have as many at least. Turns that the first round of common words looks through, and how many times as far each next one reaches.
+GRAM, NEAR, FURTHER = 4, 16, 4
 
 
 def accepts(text: Column) -> Column:
@@ -51,11 +55,24 @@ def with_words(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns({"words": F.array_except(found, F.array(*map(F.lit, STOP_WORDS))), "files": F.array_distinct(files), "bases": F.array_distinct(bases)})
 
 
+def naming(own: DataFrame) -> DataFrame:
+    """(tree, ord, _b): the turns whose text has a tree's file name anywhere in it; own has bases.
+
+    Names and texts meet by a name's first letters, which are among the runs of as many letters in the text, so that no turn
+    is held against all names of its tree.
+    """
+    names = own.select("tree", F.explode("bases").alias("_b")).distinct().withColumn("_g", F.substring("_b", 1, GRAM))
+    said = own.select("tree", "ord", F.lower(F.coalesce("text", F.lit(""))).alias("_t"))
+    letters = said.withColumn("_l", F.split("_t", ""))
+    runs = F.transform("_l", lambda c, i: F.concat(c, *(F.coalesce(F.get("_l", i + k), F.lit("")) for k in range(1, GRAM))))
+    met = letters.select("tree", "ord", F.explode(F.array_distinct(runs)).alias("_g")).join(names, ["tree", "_g"]).select("tree", "ord", "_b")
+    return met.join(said, ["tree", "ord"]).filter(F.contains("_t", F.col("_b"))).select("tree", "ord", "_b")
+
+
 def keys(nodes: DataFrame) -> DataFrame:
     """(tree, ord, key, role): the keys of each turn; rows of roles 1 and 2 meet one another, rows of role 0 meet rows of role 0."""
     own = with_words(nodes)
-    named = own.select("tree", F.explode("bases").alias("_b")).groupBy("tree").agg(F.collect_set("_b").alias("_all"))
-    texts = own.join(named, "tree").select("tree", "ord", F.explode(F.filter("_all", lambda b: F.contains(F.lower(F.coalesce("text", F.lit(""))), b))).alias("_b"))
+    texts = naming(own)
     surface = F.array_intersect("words", F.array(*map(F.lit, SURFACE_WORDS)))
     row = lambda df, mark, name, role: df.select("tree", "ord", F.concat(F.lit(mark), F.col(name)).alias("key"), F.lit(role).alias("role"))
     return (
@@ -66,6 +83,44 @@ def keys(nodes: DataFrame) -> DataFrame:
     )
 
 
+def by_words(nodes: DataFrame, askers: DataFrame, fit: DataFrame, met: DataFrame, after: bool) -> DataFrame:
+    """(tree, id, found): the nearest fit turn that has LEAST_WORDS words in common, for askers that find one nearer than what they have met.
+
+    Fit turns have places in their tree. Each round looks FURTHER times as far as the last, only for those who have found
+    nothing yet and have nothing as near; a word's turns meet within cells as wide as the round's reach, so that common words,
+    which find soon, cost their turns and not the square of them.
+    """
+    words = with_words(nodes).select("tree", "ord", F.explode("words").alias("_w"))
+    spots = fit.withColumn("_c", F.row_number().over(Window.partitionBy("tree").orderBy("ord")))
+    held = cut(words.join(spots, ["tree", "ord"]).select("tree", "_w", "_c", F.col("ord").alias("found")))
+    mark = spots.select("tree", F.col("ord").alias("at"), F.col("_c"), F.lit(None).cast("long").alias("id"))
+    asked = mark.unionByName(askers.select("tree", "at", F.lit(None).cast("int").alias("_c"), F.col("id").cast("long").alias("id")))
+    upto = Window.partitionBy("tree").orderBy("at").rangeBetween(Window.unboundedPreceding, 0 if after else -1)
+    start = asked.withColumn("_p", F.coalesce(F.max("_c").over(upto), F.lit(0)) + (0 if after else 1)).filter("id is not null").select("tree", "id", "_p")
+    known = met.join(spots.select("tree", F.col("ord").alias("found"), F.col("_c").alias("_k")), ["tree", "found"]).select("tree", "id", F.abs("_k").alias("_k"))
+    most = spots.groupBy("tree").agg(F.max("_c").alias("_m"))
+    own = askers.select("tree", "id", "ord").join(start, ["tree", "id"]).join(most, "tree").join(known, ["tree", "id"], "left")
+    sign = 1 if after else -1
+    far = F.when(F.col("_k").isNotNull(), F.abs(F.col("_k") - F.col("_p")) - 1).when(F.lit(after), F.col("_m") - F.col("_p")).otherwise(F.col("_p") - 1)
+    own = cut(own.withColumn("_far", far).drop("_k", "_m"))
+    out, low, high = None, 0, NEAR
+    while True:
+        # distances from low + 1 to high, in cells of high places: two at most
+        reach = F.least(F.lit(high), F.col("_far"))
+        ends = [F.col("_p") + sign * (low + 1), F.col("_p") + sign * reach]
+        cells = F.array_distinct(F.transform(F.array(*ends), lambda c: F.floor(c / high)))
+        left = own.filter(F.col("_far") > low).join(words, ["tree", "ord"]).withColumn("_cell", F.explode(cells))
+        near = left.join(held.withColumn("_cell", F.floor(F.col("_c") / high)), ["tree", "_w", "_cell"])
+        distance = sign * (F.col("_c") - F.col("_p"))
+        common = near.filter((distance > low) & (distance <= reach) & (F.col("found") != F.col("ord"))).groupBy("tree", "id", "found").agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_WORDS)
+        common = cut(common.groupBy("tree", "id").agg((F.min if after else F.max)("found").alias("found")))
+        out = common if out is None else out.unionByName(common)
+        own = cut(own.filter(F.col("_far") > high).join(common, ["tree", "id"], "leftanti"))
+        if own.isEmpty():
+            return out
+        low, high = high, high * FURTHER
+
+
 def nearest(nodes: DataFrame, askers: DataFrame, wanted: Column, after: bool = True, concrete_only: bool = False) -> DataFrame:
     """(tree, id, found): for each asker the nearest wanted turn strictly after (or before) it that shares evidence with a turn, null if none does.
 
@@ -85,12 +140,7 @@ def nearest(nodes: DataFrame, askers: DataFrame, wanted: Column, after: bool = T
     met = can.unionByName(ask).withColumn("_n", first).filter("id is not null and _n is not null and _n <> _own").select("tree", "id", F.col("_n").alias("found"))
     out = met
     if not concrete_only:
-        words = with_words(nodes).select("tree", "ord", F.explode("words").alias("_w"))
-        left = askers.join(words, ["tree", "ord"]).select("tree", "id", "at", "ord", "_w")
-        right = words.join(fit, ["tree", "ord"]).select("tree", "_w", F.col("ord").alias("found"))
-        side = F.col("found") > F.col("at") if after else F.col("found") < F.col("at")
-        common = left.join(right, ["tree", "_w"]).filter(side & (F.col("found") != F.col("ord"))).groupBy("tree", "id", "found").agg(F.count("*").alias("_c")).filter(F.col("_c") >= LEAST_WORDS)
-        out = out.unionByName(common.select("tree", "id", "found"))
+        out = out.unionByName(by_words(nodes, askers, fit, met.groupBy("tree", "id").agg(best("found").alias("found")), after))
     nearest_found = out.groupBy("tree", "id").agg(best("found").alias("found"))
     return askers.select("tree", "id").join(nearest_found, ["tree", "id"], "left")
 

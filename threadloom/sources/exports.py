@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .transcripts import numbered_lines
+
 from ..operators.sequence import latest_before, numbered
 
 #: Formats of whole documents in the order in which they are tried, and of lines.

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators import redaction, sequence
+from threadloom.operators import lineage, redaction, sequence
 from threadloom.plans import lineage_plan
 from threadloom.sources import transcripts
 
@@ -101,3 +101,23 @@ def test_plan_folds_reruns_and_names_options(spark, tmp_path):
     own = sorted(lineage_plan.nodes(spark, str(tmp_path)).collect(), key=lambda r: r["node_ord"])
     assert [(r["kind"], r["text"], r["reruns"], r["nudges"]) for r in own] == [("root", texts[1], 1, 0), ("direction", "2", 0, 1), ("correction", texts[5], 0, 0)]
     assert own[1]["title"] == "Chose option 2 from the proposed menu"
+
+
+def test_outline_is_the_depth_first_walk(spark):
+    r = random.Random(7)
+    rows = [(t, i, None if i == 0 or r.random() < 0.05 else r.randrange(max(0, i - r.choice([1, 4, i])), i)) for t in range(12) for i in range(r.randrange(1, 60))]
+    rows += [(99, i, i - 1 if i else None) for i in range(200)]
+    wanted = {}
+    for tree in {t for t, _, _ in rows}:
+        kids = {}
+        for _, n, p in (x for x in rows if x[0] == tree):
+            kids.setdefault(p, []).append(n)
+        stack, place = [(n, 0) for n in sorted(kids[None], reverse=True)], 0
+        while stack:
+            node, depth = stack.pop()
+            wanted[tree, node] = (place, depth)
+            place += 1
+            own = sorted(kids.get(node, []), reverse=True)
+            stack += [(n, depth + (len(own) > 1)) for n in own]
+    found = lineage.outline(spark.createDataFrame(rows, "tree int, node int, parent int")).collect()
+    assert {(x["tree"], x["node"]): (x["place"], x["depth"]) for x in found} == wanted

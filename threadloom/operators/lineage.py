@@ -12,25 +12,6 @@ from ..shared import cut
 ROUNDS = 63
 
 
-def closure(nodes: DataFrame, rounds: int = 20) -> DataFrame:
-    """(tree, node, ancestor, distance) for every proper ancestor; nodes has tree, node and parent (null for roots).
-
-    Each round joins what is known with itself, which doubles the distance covered. It stops when a round adds nothing.
-    Rows are as the sum of depths, so use it for branches; the operators below don't need it.
-    """
-    known = cut(nodes.filter("parent is not null").select("tree", "node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
-    reach = 1
-    for _ in range(rounds):
-        far = known.filter(F.col("distance") == reach).select("tree", F.col("node").alias("_to"), F.col("ancestor").alias("_via"))
-        near = known.select("tree", F.col("node").alias("_via"), "ancestor", "distance")
-        more = cut(far.join(near, ["tree", "_via"]).select("tree", F.col("_to").alias("node"), "ancestor", (F.col("distance") + reach).cast("int").alias("distance")))
-        if more.isEmpty():
-            break
-        known = cut(known.unionByName(more))
-        reach *= 2
-    return known
-
-
 def _parents(nodes: DataFrame) -> DataFrame:
     """(tree, node, up): each node's parent, the first of the tables that _doubled makes."""
     return nodes.filter("parent is not null").select("tree", "node", F.col("parent").alias("up"))
@@ -97,6 +78,29 @@ def subtree_sizes(nodes: DataFrame) -> DataFrame:
     return sizes
 
 
+def outline(nodes: DataFrame) -> DataFrame:
+    """(tree, node, place, depth): each node's place, from 0, in a depth-first walk of its tree with children in order, and its indent.
+
+    A node comes as many places after its parent as the parent itself and the subtrees of its earlier siblings take; places are
+    the sums of these along the way up, by doubling. Only a node with several children indents what is under it, so that a
+    chain stays on one level. The roots of a tree are siblings, in order, and indent nothing. A node's children are ordered in
+    one window, so a node with a great many is one task's sort.
+    """
+    sized = nodes.select("tree", "node", "parent").join(subtree_sizes(nodes), ["tree", "node"])
+    siblings = Window.partitionBy("tree", "parent")
+    earlier = siblings.orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("parent").isNotNull()
+    step = (F.coalesce(F.sum("size").over(earlier), F.lit(0)) + below.cast("long")).alias("place")
+    state = cut(sized.select("tree", "node", F.col("parent").alias("up"), step, (below & (F.count("*").over(siblings) > 1)).cast("long").alias("depth")))
+    for _ in range(ROUNDS):
+        if state.filter("up is not null").isEmpty():
+            break
+        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("_far"), F.col("place").alias("_place"), F.col("depth").alias("_depth"))
+        more = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
+        state = cut(state.join(above, ["tree", "up"], "left").select("tree", "node", F.col("_far").alias("up"), more("place"), more("depth")))
+    return state.select("tree", "node", "place", "depth")
+
+
 def stitched(nodes: DataFrame) -> DataFrame:
     """Every node with its parent over all sessions of its tree, and boundary, whether a session begins there.
 

@@ -227,6 +227,11 @@ def subtree_sizes(spark, sf_dir):
     return lineage.subtree_sizes(_forest(spark, sf_dir))
 
 
+def tree_outlines(spark, sf_dir):
+    """Every node's place and indent in its tree's outline."""
+    return lineage.outline(_forest(spark, sf_dir))
+
+
 def missing_files(spark, sf_dir):
     own = turns(spark, sf_dir)
     refs = references.file_references(own.select("tree", C("event_id").alias("ord"), "text"))
@@ -299,7 +304,7 @@ def security_intents(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     turn_kinds, turn_relationships, nudges_folded, refusals, declines, rejection_ledger, rejections_by_kind, failures_by_node, tiers_by_tree, lessons_by_type, session_stats, sessions_since, token_totals, prior_file,
-    correction_chains, correction_causes, security_gate, risky_commands, test_skips, secret_findings, secret_spans, secret_decisions, redacted_texts, masked_fields, turns_refolded, token_entropy, titles, main_paths, branch_status, abandoned_branches, subtree_sizes,
+    correction_chains, correction_causes, security_gate, risky_commands, test_skips, secret_findings, secret_spans, secret_decisions, redacted_texts, masked_fields, turns_refolded, token_entropy, titles, main_paths, branch_status, abandoned_branches, subtree_sizes, tree_outlines,
     missing_files, constraint_ranking, shared_words, model_totals, props_fields, latest_turn, process_signals, failure_type_counts, signal_lessons, failure_summaries, security_intents,
 )}
 
@@ -403,6 +408,11 @@ ORACLE: dict[str, str] = {
     "branch_status": f"{FOREST_SQL} select tree, node, status from s",
     "abandoned_branches": f"{FOREST_SQL} select a.tree, count(*) as n from s a left join s b on b.tree = a.tree and b.node = a.parent where a.status = 'abandoned' and (b.status is null or b.status <> 'abandoned') group by a.tree",
     "subtree_sizes": f"{FOREST_SQL} select n.tree, n.node, (select count(*) from up where up.tree = n.tree and up.ancestor = n.node) + 1 as size from n",
+    "tree_outlines": f"""{FOREST_SQL}, z as (select n.*, (select count(*) from up where up.tree = n.tree and up.ancestor = n.node) + 1 as size from n),
+      o as (select tree, node, coalesce(sum(size) over (partition by tree, parent order by node rows between unbounded preceding and 1 preceding), 0) + (parent is not null)::int as step,
+        (parent is not null and count(*) over (partition by tree, parent) > 1)::int as deeper from z),
+      a as (select tree, node, ancestor from up union all select tree, node, node from n)
+      select a.tree, a.node, sum(o.step)::bigint as place, sum(o.deeper)::bigint as depth from a join o on o.tree = a.tree and o.node = a.ancestor group by all""",
     "missing_files": f"""{T_SQL}, r as (select tree, event_id, unnest(regexp_extract_all(substr(text, 1, 20000), '(?:^|[^A-Za-z0-9_./-])((?:\\.{{0,2}}/)?[A-Za-z0-9_-][A-Za-z0-9_./-]*\\.(?:{'|'.join(references.EXTENSIONS)}))\\b', 1)) as ref from t),
       f as (select tree, regexp_replace(lower(ref), '^\\./', '') as ref, min(event_id) as first_ord from r group by all), e as (select unnest([{', '.join(_quoted(f.lower()) for f in FILES)}]) as p),
       c as (select tree, lower(file) as p from t where event_id % 40 = 7)

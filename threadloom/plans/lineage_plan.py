@@ -9,6 +9,7 @@ from ..functions import redirects as R
 from ..functions import secrets
 from ..functions import text as T
 from ..operators import failures, sequence, stats
+from ..shared import cut
 from ..sources import transcripts
 
 
@@ -25,11 +26,11 @@ def nodes(spark: SparkSession, path: str) -> DataFrame:
     return own.withColumn("relationship", F.when(F.col("parent").isNotNull(), T.relationship(F.col("kind")))).select("tree", "node_ord", "ord", "kind", "title", "text", "parent", "relationship", "nudges", "repeats", "reruns", "ts")
 
 
-def tree_failures(spark: SparkSession, path: str) -> DataFrame:
-    """Failures that rejections are, each at the last node at or before it."""
+def tree_failures(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """Failures that rejections are, each at the last node at or before it; known are the nodes, if they are there already."""
     found = transcripts.records(spark, path)
     own = transcripts.rejections(found).withColumnRenamed("file", "tree").select("tree", "ord", "kind", "confidence", F.lit(None).cast("int").alias("node_ord"))
-    marks = nodes(spark, path).select("tree", "ord", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("confidence"), "node_ord")
+    marks = (nodes(spark, path) if known is None else known).select("tree", "ord", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("confidence"), "node_ord")
     w = sequence.ordered(["tree"], ["ord", "_late"]).rowsBetween(Window.unboundedPreceding, 0)
     both = own.unionByName(marks).withColumn("_late", F.col("node_ord").isNull())
     placed = both.withColumn("node_ord", F.last("node_ord", ignorenulls=True).over(w)).filter("kind is not null and node_ord is not null")
@@ -50,8 +51,9 @@ def tree_stats(spark: SparkSession, path: str) -> DataFrame:
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document for each tree, its nodes and failures in order; the job fails rather than let a secret through."""
-    clean = secrets.assert_clean(nodes(spark, path), "text", "title")
+    own = cut(nodes(spark, path))
+    clean = secrets.assert_clean(own, "text", "title")
     found = clean.select("tree", F.struct("node_ord", "kind", "title", "text", "parent", "relationship", "nudges").alias("n"))
-    bad = tree_failures(spark, path).select("tree", F.struct("failure_id", "type", "node_ord", "confidence", "tier").alias("f"))
+    bad = tree_failures(spark, path, own).select("tree", F.struct("failure_id", "type", "node_ord", "confidence", "tier").alias("f"))
     both = found.groupBy("tree").agg(F.sort_array(F.collect_list("n")).alias("nodes")).join(bad.groupBy("tree").agg(F.sort_array(F.collect_list("f")).alias("failures")), "tree", "left")
     return secrets.assert_clean(both.select("tree", F.to_json(F.struct("nodes", F.coalesce("failures", F.array()).alias("failures"))).alias("json")), "json")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import secrets, text as T
-from ..operators import failures, lineage, redaction, references, sequence, stats
-from . import secret_sql
+from ..operators import concerns, failures, lineage, redaction, references, sequence, stats
+from . import concern_sql, secret_sql
 from .synthetic import FIELDS_SQL, FILES, PLANTED_SQL, REPEATED_SQL, SQL, fields, planted, repeated_turns, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -302,10 +302,22 @@ def security_intents(spark, sf_dir):
     return turns(spark, sf_dir).filter("role = 'user'").select("tree", T.security_intent(C("text")).alias("intent")).filter("intent is not null").groupBy("tree", "intent").agg(F.count("*").alias("n"))
 
 
+def security_concerns(spark, sf_dir):
+    """Security concerns of each tree, with their scores, correctors and later remedies."""
+    nodes = concern_sql.secured_nodes(spark, sf_dir)
+    return concerns.concerns(nodes.drop("event_id"), concern_sql.secured_actions(nodes)).drop("summary")
+
+
+def touched_surfaces(spark, sf_dir):
+    """What each turn's actions touch, with the key or stem by which it is told from others."""
+    own = concerns.touching(concern_sql.secured_actions(concern_sql.secured_nodes(spark, sf_dir)))
+    return own.select("tree", "ord", F.array_join(F.transform("acts", lambda a: a["kind"]), ",").alias("kinds"), F.array_join(F.transform("acts", lambda a: a["evidence"]), "|").alias("evidence"), "surface", "key", "stem")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     turn_kinds, turn_relationships, nudges_folded, refusals, declines, rejection_ledger, rejections_by_kind, failures_by_node, tiers_by_tree, lessons_by_type, session_stats, sessions_since, token_totals, prior_file,
     correction_chains, correction_causes, security_gate, risky_commands, test_skips, secret_findings, secret_spans, secret_decisions, redacted_texts, masked_fields, turns_refolded, token_entropy, titles, main_paths, branch_status, abandoned_branches, subtree_sizes, tree_outlines,
-    missing_files, constraint_ranking, shared_words, model_totals, props_fields, latest_turn, process_signals, failure_type_counts, signal_lessons, failure_summaries, security_intents,
+    missing_files, constraint_ranking, shared_words, model_totals, props_fields, latest_turn, process_signals, failure_type_counts, signal_lessons, failure_summaries, security_intents, security_concerns, touched_surfaces,
 )}
 
 _PLANTED = f"with p as ({PLANTED_SQL}), {secret_sql.scan('p', 'x')}"
@@ -342,7 +354,12 @@ _SUMMARY_SQL = f"""case when before is null then case type when 'scope_drift' th
 #: Without the one wording that looks ahead, and that no synthetic turn has.
 _INTENT_SQL = [(n, p) for n, p in P.SECURITY_INTENT if n != "email_change"]
 
+_SECURED = f"""{T_SQL}, u as (select tree, ts, event_id, {concern_sql._at(concern_sql.SAID, 'event_id')} as text, row_number() over (partition by tree order by ts, event_id) as n from t where role = 'user'),
+  k as (select *, {KIND_SQL} as kind from u), {concern_sql.ROWS}"""
+
 ORACLE: dict[str, str] = {
+    "security_concerns": f"{_SECURED}, {concern_sql.QUERY}",
+    "touched_surfaces": f"{_SECURED}, {concern_sql.TOUCHING} select tree, ord, array_to_string(list_transform(acts, lambda a: a.kind), ',') as kinds, array_to_string(list_transform(acts, lambda a: a.evidence), '|') as evidence, surface, key, stem from tu",
     "process_signals": f"{_process_sql()} select tree, event_id, type, confidence from sig",
     "failure_type_counts": f"{_process_sql()}, c as (select tree, type, count(*) as n from sig group by all) select tree, type, n, row_number() over (partition by tree order by n desc, type)::int as rank from c",
     "signal_lessons": f"""{_process_sql()}, f as (select tree, type, min_by(text, n) as text, count(distinct n) as n_nodes from sig group by all)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import security as S
 from ..functions import text as T
+from ..shared import cut
 from .evidence import accepted_after, correction_after, nearest
 from .failures import tier_rank
 
@@ -140,8 +141,7 @@ def concerns(nodes: DataFrame, actions: DataFrame) -> DataFrame:
     says, and what corrects it, is its first turn's.
     """
     said = nodes.select("tree", "ord", "text", "kind")
-    turns = said.join(touching(actions), ["tree", "ord"], "left")
-    counted = let_through(turns)
+    counted = cut(let_through(said.join(touching(actions), ["tree", "ord"], "left")))
     human = security_correction_after(nodes, counted.filter("kind <> 'correction'")).filter("found is not null").select("tree", "ord", F.lit(True).alias("_human"))
     own = scored(counted.join(human, ["tree", "ord"], "left").withColumn("human", F.coalesce("_human", F.lit(False))).drop("_human"))
     kinds = F.array_distinct(F.transform("acts", lambda a: a["kind"]))
@@ -152,7 +152,7 @@ def concerns(nodes: DataFrame, actions: DataFrame) -> DataFrame:
     own = own.select("tree", "ord", "kind", "key", "stem", "tier", "confidence", F.array_join(kinds, ",").alias("kinds"), evidence.alias("evidence"), about.alias("_about"))
     first = lambda c: F.min_by(c, "ord").alias(c)
     merged = own.groupBy("tree", "_about").agg(F.min("ord").alias("_ord"), F.max("confidence").alias("confidence"), F.max_by("tier", tier_rank(C("tier"))).alias("tier"), F.count("*").alias("turns"), *map(first, ("kind", "key", "stem", "kinds", "evidence")))
-    merged = merged.withColumnRenamed("_ord", "ord").drop("_about")
+    merged = cut(merged.withColumnRenamed("_ord", "ord").drop("_about"))
     by = correction_after(nodes)
     merged = merged.join(by, ["tree", "ord"], "left").withColumn("corrector", F.when(C("kind") != "correction", C("corrector")))
     accepted = accepted_after(nodes, merged.select("tree", C("ord").alias("id"), "ord", F.lit(None).cast("long").alias("corrector"))).select("tree", C("id").alias("ord"), C("accepted").alias("resolved"))

@@ -8,7 +8,7 @@ share words with none of a long tree are held against all turns that have one of
 
 nodes has tree, ord (unique in a tree), text, files (an array) and, where known, narration. Nulls are empty.
 
-Fixed values: the words of surfaces, and words that don't count.
+Fixed values: the words of surfaces.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import security as S
 from ..functions import text as T
+from ..functions.constraints import STOP_WORDS
 from ..shared import cut
 
 SURFACE_WORDS = (
@@ -25,12 +26,6 @@ SURFACE_WORDS = (
     "secret", "secrets", "credential", "credentials", "password", "token", "apikey",
     "rbac", "permission", "permissions", "middleware", "crypto", "encrypt", "decrypt",
 )
-STOP_WORDS = (
-    "the", "and", "for", "this", "that", "with", "you", "your", "are", "was", "has", "have",
-    "not", "but", "can", "all", "any", "our", "out", "now", "too", "also", "please", "lol",
-    "from", "into", "just", "like", "more", "some", "than", "then", "them", "they", "what",
-    "when", "where", "which", "will", "about", "agent", "make", "made", "show", "look",
-)
 ACCEPTANCE = r"\b(?:that(?:'?s| is| works| fixed)|works now|looks? good|lgtm|perfect|great|nice|fixed|resolved|that did it|that worked|much better|exactly|correct now)\b"
 REMEDY = r"\b(?:redact(?:s|ed|ing)?|mask(?:s|ed|ing)?|additive|non[\s-]?destructive|restor(?:e|es|ed|ing)|re[\s-]?seed|recover(?:s|ed|ing)?|lock(?:s|ed|ing)?\s*(?:it|this|that|things?|the\s+bucket)?\s*down|lockdown|allow[\s-]?list|fingerprint|rotat(?:e|es|ed|ing)|revok(?:e|es|ed|ing)|workload\s+identity|env\s+var|leave\s+it\s+alone|only\s+(?:a|the)\b)\b"
 DATA = r"\b(?:seed(?:s|\s*data|\s*rows?)?|migrations?|tables?|schemas?|databases?|db|rows?|records?|indexe?s?|columns?|fixtures?|dumps?|backups?|datasets?|collections?)\b"

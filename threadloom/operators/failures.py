@@ -54,7 +54,13 @@ def shared_words(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame
 
 
 def ranked_constraints(constraints: DataFrame, top: int = 10) -> DataFrame:
-    """The top constraints of each tree by summed weight, number and recency; constraints has tree, key, weight and node_ord."""
-    by_key = constraints.groupBy("tree", "key").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"), F.max("node_ord").alias("last_node"))
-    w = Window.partitionBy("tree").orderBy(F.desc("weight"), F.desc("n"), F.desc("last_node"), "key")
-    return by_key.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    """The top constraints of each tree: by weight (the highest), number and recency, then by the first place; their label is the latest of the highest weight.
+
+    constraints has tree, node_ord, place (in the node), key, label and weight. A tree's constraints are ranked in one task, after
+    those of one key are one row.
+    """
+    by_key = constraints.groupBy("tree", "key").agg(
+        F.max_by("label", F.struct("weight", "node_ord")).alias("label"), F.max("weight").alias("weight"), F.count("*").alias("n"), F.max("node_ord").alias("last_node"), F.min(F.struct("node_ord", "place")).alias("_first"),
+    )
+    w = Window.partitionBy("tree").orderBy(F.desc("weight"), F.desc("n"), F.desc("last_node"), "_first")
+    return by_key.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).drop("_first")

@@ -101,6 +101,52 @@ def outline(nodes: DataFrame) -> DataFrame:
     return state.select("tree", "node", "place", "depth")
 
 
+def _tops(links: DataFrame) -> DataFrame:
+    """(tree, node, top): where each node's way up ends; links has tree, node and up, null at the end of a way."""
+    state = cut(links.select("tree", "node", "up", F.coalesce("up", "node").alias("top")))
+    for _ in range(ROUNDS):
+        if state.filter("up is not null").isEmpty():
+            break
+        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("_far"), F.col("top").alias("_top"))
+        state = cut(state.join(above, ["tree", "up"], "left").select("tree", "node", F.col("_far").alias("up"), F.coalesce("_top", "top").alias("top")))
+    return state.select("tree", "node", "top")
+
+
+def summary(nodes: DataFrame) -> DataFrame:
+    """(tree, what, node, above, above_what, steps): each tree's graph with its routine turns folded into counts.
+
+    nodes has tree, node, parent, status and kept. What is drawn, from the tree's first root down: each kept node that isn't
+    abandoned (what is node), each run of others (steps, named by its first), and for a drawn node or one of a run all that is
+    abandoned right under it (abandoned, named by that node). above is the node or run that it hangs from, above_what which of
+    them. A run goes on where its last node has one child that isn't abandoned and isn't kept; where it has kept ones, the first
+    of them follows the run; more than one child, none of them kept, ends it. The first root counts as kept; other
+    roots aren't drawn. steps is the number of nodes folded, 1 for a node.
+
+    Runs and reach come from two rounds of doubling over links between neighbours, so a chain of any length takes as many joins
+    as its length's logarithm.
+    """
+    root = nodes.filter("parent is null").groupBy("tree").agg(F.min("node").alias("_root"))
+    own = nodes.select("tree", "node", "parent", "status", "kept").join(root, "tree")
+    own = own.select("tree", "node", "parent", "_root", (F.col("status") == "abandoned").alias("_off"), (F.coalesce("kept", F.lit(False)) | (F.col("node") == F.col("_root"))).alias("_kept"))
+    live = own.filter((~F.col("_off")) | (F.col("node") == F.col("_root"))).drop("_off")
+    below = live.filter("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count("*").alias("_n"), F.min(F.when(F.col("_kept"), F.col("node"))).alias("_next"))
+    above = live.join(below, ["tree", "node"], "left").select("tree", F.col("node").alias("parent"), F.col("_kept").alias("_pk"), "_n", "_next")
+    linked = live.join(above, ["tree", "parent"], "left")
+    follows = F.when(F.col("_pk"), True).when(F.col("_kept"), F.col("node") == F.col("_next")).otherwise(F.col("_next").isNull() & (F.col("_n") == 1))
+    linked = cut(linked.select("tree", "node", "_root", "_kept", "_pk", F.when(follows, F.col("parent")).alias("up")))
+    drawn = cut(linked.join(_tops(linked), ["tree", "node"]).filter("top = _root").drop("top"))
+    # a run's nodes go up to its first; a kept node stands for itself
+    runs = _tops(drawn.select("tree", "node", F.when(~F.col("_kept") & ~F.coalesce("_pk", F.lit(False)), F.col("up")).alias("up")))
+    placed = cut(drawn.join(runs.withColumnRenamed("top", "_run"), ["tree", "node"]))
+    holders = placed.select("tree", F.col("node").alias("up"), F.col("_run").alias("above"), F.when(F.col("_kept"), "node").otherwise("steps").alias("above_what"))
+    heads = placed.filter("node = _run").join(holders, ["tree", "up"], "left")
+    counts = placed.groupBy("tree", F.col("_run").alias("node")).agg(F.count("*").alias("steps"))
+    shown = heads.join(counts, ["tree", "node"]).select("tree", F.when(F.col("_kept"), "node").otherwise("steps").alias("what"), "node", "above", "above_what", "steps")
+    sized = own.filter((F.col("_off")) & (F.col("node") != F.col("_root"))).join(subtree_sizes(nodes), ["tree", "node"])
+    stubs = sized.groupBy("tree", F.col("parent").alias("up")).agg(F.sum("size").alias("steps")).join(holders, ["tree", "up"])
+    return shown.unionByName(stubs.select("tree", F.lit("abandoned").alias("what"), F.col("up").alias("node"), "above", "above_what", "steps"))
+
+
 def stitched(nodes: DataFrame) -> DataFrame:
     """Every node with its parent over all sessions of its tree, and boundary, whether a session begins there.
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions import secrets, text as T
+from ..functions import constraints, secrets, text as T
 from ..operators import concerns, failures, lineage, redaction, references, sequence, stats
 from . import concern_sql, secret_sql
-from .synthetic import FIELDS_SQL, FILES, PLANTED_SQL, REPEATED_SQL, SQL, fields, planted, repeated_turns, turns
+from .synthetic import FIELDS_SQL, FILES, PLANTED_SQL, REPEATED_SQL, RULED_SQL, SQL, fields, planted, repeated_turns, ruled_turns, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY, ORDER = ["tree"], ["ts", "event_id"]
@@ -232,6 +232,14 @@ def tree_outlines(spark, sf_dir):
     return lineage.outline(_forest(spark, sf_dir))
 
 
+def tree_summaries(spark, sf_dir):
+    """Each tree's graph with runs of routine turns and abandoned branches folded into counts; every fifth turn is kept."""
+    nodes = _forest(spark, sf_dir)
+    marked = lineage.abandoned(nodes, nodes.groupBy("tree").agg(F.max("node").alias("node"))).withColumn("kept", (C("node") % 5 == 0) | (C("node") % 17 == 1))
+    # some branches are put back, so that turns have several children that live
+    return lineage.summary(marked.withColumn("status", F.when(C("node") % 3 > 0, "accepted").otherwise(C("status"))))
+
+
 def missing_files(spark, sf_dir):
     own = turns(spark, sf_dir)
     refs = references.file_references(own.select("tree", C("event_id").alias("ord"), "text"))
@@ -241,9 +249,9 @@ def missing_files(spark, sf_dir):
 
 
 def constraint_ranking(spark, sf_dir):
-    rules = turns(spark, sf_dir).filter(T.matches(C("text"), r"\b(?:never|don'?t|always|please)\b"))
-    rules = rules.select("tree", F.sha2(F.lower("text"), 256).alias("key"), F.when(T.matches(C("text"), r"\bnever\b"), 3).otherwise(1).alias("weight"), C("event_id").alias("node_ord"))
-    return failures.ranked_constraints(rules).select("tree", "key", "weight", "n", "last_node", "rank")
+    """The ten first rules that each session's prompts set."""
+    rules = ruled_turns(spark, sf_dir).select("tree", C("event_id").alias("node_ord"), F.posexplode(constraints.constraints(C("text"))).alias("place", "c"))
+    return failures.ranked_constraints(rules.select("tree", "node_ord", "place", "c.*")).select("tree", "key", "label", "weight", "n", "last_node", "rank")
 
 
 def shared_words(spark, sf_dir):
@@ -316,7 +324,7 @@ def touched_surfaces(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     turn_kinds, turn_relationships, nudges_folded, refusals, declines, rejection_ledger, rejections_by_kind, failures_by_node, tiers_by_tree, lessons_by_type, session_stats, sessions_since, token_totals, prior_file,
-    correction_chains, correction_causes, security_gate, risky_commands, test_skips, secret_findings, secret_spans, secret_decisions, redacted_texts, masked_fields, turns_refolded, token_entropy, titles, main_paths, branch_status, abandoned_branches, subtree_sizes, tree_outlines,
+    correction_chains, correction_causes, security_gate, risky_commands, test_skips, secret_findings, secret_spans, secret_decisions, redacted_texts, masked_fields, turns_refolded, token_entropy, titles, main_paths, branch_status, abandoned_branches, subtree_sizes, tree_outlines, tree_summaries,
     missing_files, constraint_ranking, shared_words, model_totals, props_fields, latest_turn, process_signals, failure_type_counts, signal_lessons, failure_summaries, security_intents, security_concerns, touched_surfaces,
 )}
 
@@ -357,7 +365,40 @@ _INTENT_SQL = [(n, p) for n, p in P.SECURITY_INTENT if n != "email_change"]
 _SECURED = f"""{T_SQL}, u as (select tree, ts, event_id, {concern_sql._at(concern_sql.SAID, 'event_id')} as text, row_number() over (partition by tree order by ts, event_id) as n from t where role = 'user'),
   k as (select *, {KIND_SQL} as kind from u), {concern_sql.ROWS}"""
 
+
+
+def _constraint_sql() -> str:
+    K = constraints
+    any_named = " or ".join(_has("c", p) for p, _ in K.NAMED)
+    named = ", ".join(f"case when {_has('text', p)} then {{'label': {_quoted(label)}, 'weight': {K.NAMED_WEIGHT}}} end" for p, label in K.NAMED)
+    parts = f"string_split_regex(regexp_replace(text, {_quoted(f', +({K.COMMA_BEFORE})')}, chr(10) || '\\1', 'gi'), {_quoted(K.ENDS)})"
+    cue = f"regexp_extract(c, {_quoted(f'(?s){K.CUE}.*')}, 0, 'i')"
+    cut = f"trim(regexp_replace(trim(regexp_replace(case when {cue} <> '' then {cue} else c end, {_quoted(K.LEAD)}, '', 'i')), {_quoted(K.TAIL)}, ''))"
+    stop = "[" + ", ".join(map(_quoted, K.STOP_WORDS)) + "]"
+    key = f"array_to_string(list_sort(list_filter(string_split_regex(regexp_replace(lower(x.label), '[^a-z0-9 ]+', '', 'g'), ' +'), lambda w: length(w) > 2 and not list_contains({stop}, w))), ' ')"
+    return f"""with r as ({RULED_SQL}), c0 as (select *, list_filter(list_transform({parts}, lambda c: trim(regexp_replace(c, '\\s+', ' ', 'g'))), lambda c: length(c) between 6 and 220 and {_has('c', K.DIRECTIVE)} and not {_has('c', K.DESCRIPTIVE)}
+        and not regexp_matches(c, '\\?\\s*$') and not ({any_named})) as cs from r),
+      c1 as (select *, list_filter(list_transform(cs, lambda c: {cut}), lambda p: length(p) >= 6) as ps from c0),
+      c2 as (select tree, event_id, list_concat(list_filter([{named}], lambda x: x is not null), list_transform(ps, lambda p: {{'label': upper(p[1]) || p[2:], 'weight': 1}})) as l from c1),
+      c3 as (select tree, event_id, list_filter(list_transform(l, lambda x: {{'label': x.label, 'weight': x.weight, 'key': {key}}}), lambda x: x.key <> '') as l from c2),
+      c4 as (select tree, event_id, list_filter(l, lambda x, i: list_position(list_transform(l, lambda o: o.key), x.key) = i)[1:3] as l from c3),
+      c5 as (select tree, event_id, generate_subscripts(l, 1) as place, unnest(l) as x from c4),
+      c6 as (select tree, x.key as key, arg_max(x.label, (x.weight, event_id)) as label, max(x.weight) as weight, count(*) as n, max(event_id) as last_node, min((event_id, place)) as first from c5 group by all),
+      c7 as (select *, row_number() over (partition by tree order by weight desc, n desc, last_node desc, first) as rank from c6) select tree, key, label, weight, n, last_node, rank from c7 where rank <= 10"""
+
+
 ORACLE: dict[str, str] = {
+    "tree_summaries": f"""{FOREST_SQL}, m as (select tree, node, parent, node = 1 as root, case when node % 3 > 0 then 'accepted' else status end = 'abandoned' and node > 1 as off, node % 5 = 0 or node % 17 = 1 or node = 1 as kept from s),
+      b as (select tree, parent as node, count(*) as n, min(node) filter (kept) as nxt from m where not off and parent is not null group by all),
+      g as (select m.tree, m.node, m.kept, m.parent, p.kept as pk from m join m p on p.tree = m.tree and p.node = m.parent left join b on b.tree = m.tree and b.node = m.parent
+        where not m.off and not p.off and case when p.kept then true when m.kept then m.node = b.nxt else b.nxt is null and b.n = 1 end),
+      d as (select tree, node, true as kept, null::bigint as up, node as run from m where root union all
+        select g.tree, g.node, g.kept, g.parent, case when g.kept or g.pk then g.node else d.run end from g join d on d.tree = g.tree and d.node = g.parent),
+      sz as (select n.tree, n.node, (select count(*) from up where up.tree = n.tree and up.ancestor = n.node) + 1 as size from n),
+      c as (select tree, run, count(*) as steps from d group by all)
+      select d.tree, case when d.kept then 'node' else 'steps' end as what, d.node, h.run as above, case when h.kept then 'node' when h.run is not null then 'steps' end as above_what, c.steps
+        from d join c on c.tree = d.tree and c.run = d.node left join d h on h.tree = d.tree and h.node = d.up where d.node = d.run
+      union all select m.tree, 'abandoned', m.parent, any_value(d.run), any_value(case when d.kept then 'node' else 'steps' end), sum(size)::bigint from m join sz using (tree, node) join d on d.tree = m.tree and d.node = m.parent where m.off group by m.tree, m.parent""",
     "security_concerns": f"{_SECURED}, {concern_sql.QUERY}",
     "touched_surfaces": f"{_SECURED}, {concern_sql.TOUCHING} select tree, ord, array_to_string(list_transform(acts, lambda a: a.kind), ',') as kinds, array_to_string(list_transform(acts, lambda a: a.evidence), '|') as evidence, surface, key, stem from tu",
     "process_signals": f"{_process_sql()} select tree, event_id, type, confidence from sig",
@@ -434,9 +475,7 @@ ORACLE: dict[str, str] = {
       f as (select tree, regexp_replace(lower(ref), '^\\./', '') as ref, min(event_id) as first_ord from r group by all), e as (select unnest([{', '.join(_quoted(f.lower()) for f in FILES)}]) as p),
       c as (select tree, lower(file) as p from t where event_id % 40 = 7)
       select tree, ref, first_ord from f where ref not in (select p from e union select split_part(p, '/', -1) from e) and not exists (select 1 from c where c.tree = f.tree and (c.p = f.ref or split_part(c.p, '/', -1) = f.ref))""",
-    "constraint_ranking": f"""{T_SQL}, c as (select tree, sha256(lower(text)) as key, case when {_has('text', r'\bnever\b')} then 3 else 1 end as weight, event_id from t where {_has('text', r"\b(?:never|don'?t|always|please)\b")}),
-      g as (select tree, key, sum(weight)::bigint as weight, count(*) as n, max(event_id) as last_node from c group by all), r as (select *, row_number() over (partition by tree order by weight desc, n desc, last_node desc, key)::int as rank from g)
-      select tree, key, weight, n, last_node, rank from r where rank <= 10""",
+    "constraint_ranking": _constraint_sql(),
     "shared_words": """with w as (select distinct conv_id as tree, turn as ord, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{4,}')) as w from conversations)
       select a.tree, a.ord as a, b.ord as b, count(*) as shared from w a join w b on a.tree = b.tree and a.w = b.w and a.ord between b.ord - 2 and b.ord - 1 group by all having count(*) >= 3""",
     "model_totals": f"{T_SQL} select model, count(*)::bigint as turns, sum(input_tokens)::bigint as input_tokens from t group by rollup (model)",

@@ -105,3 +105,16 @@ REPEATED_SQL = f"""select tree, ts, event_id, case when event_id % 8 < 2 then {_
 _SAMPLE = lambda key: f"list_extract({_list(SAMPLES)}, ({key} % {len(SAMPLES)} + 1)::int)"
 FIELDS_SQL = f"""select event_id * 3 + seq as doc_id, tree, event_id, seq, case seq when 0 then case when event_id % 40 = 0 then 'key ' || {_SAMPLE('(event_id // 40)')} else text end
   when 1 then case when event_id % 5 = 1 then 'run_' || {_SAMPLE('(event_id // 5)')} || '_x' else command end else result end as text from ({SQL}), (select unnest([0, 1, 2]) as seq)"""
+
+#: Prompts that set rules for the work, or only look as if they did.
+RULES = (
+    "Build the parser. Never use a web framework, keep the old names; and make sure that errors are shown!", "No em dashes please, and no inline code comments.", "I don't see why it is slow.", "Keep it under apache 2.0, zero dependencies - don't touch the tests",
+    "Please do not leak the token. Local-only!", "Is this only for tests?", "okay, always write tests first", "Also, ensure that errors are shown", "errors are shown; make sure that", "Do not add features you were not asked for, without asking", "nothing to see here", "yes but only the log files", "Avoid em-dash. Stay  on   one page.\nno",
+)
+
+
+def ruled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns(spark, sf_dir).filter("role = 'user'").withColumn("text", F.element_at(F.array(*map(F.lit, RULES)), (F.col("event_id") % len(RULES) + 1).cast("int")))
+
+
+RULED_SQL = f"select tree, ts, event_id, list_extract({_list(RULES)}, (event_id % {len(RULES)} + 1)::int) as text from ({SQL}) where role = 'user'"

@@ -134,14 +134,18 @@ def remedy_texts(nodes: DataFrame, failures: DataFrame, reach: int = REACH) -> D
     return told.select("tree", "ord", F.array_join(F.transform("_t", lambda t: t["_text"]), " ").alias("remedies"))
 
 
-def concerns(nodes: DataFrame, actions: DataFrame) -> DataFrame:
+def counted_turns(nodes: DataFrame, actions: DataFrame) -> DataFrame:
+    """The turns whose actions count, with what they touch, written out."""
+    return cut(let_through(nodes.select("tree", "ord", "text", "kind").join(touching(actions), ["tree", "ord"], "left")))
+
+
+def concerns(nodes: DataFrame, actions: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """One row for each concern of a tree: ord (its first turn), tier and confidence (the highest of its turns), turns, key, stem, kinds, evidence, corrector, resolved, summary and remedies.
 
     Turns about the same file, or else the same credential, are one concern; a turn about neither is its own. What a concern
-    says, and what corrects it, is its first turn's.
+    says, and what corrects it, is its first turn's. counted are the turns that count, if they are there already.
     """
-    said = nodes.select("tree", "ord", "text", "kind")
-    counted = cut(let_through(said.join(touching(actions), ["tree", "ord"], "left")))
+    counted = counted_turns(nodes, actions) if counted is None else counted
     human = security_correction_after(nodes, counted.filter("kind <> 'correction'")).filter("found is not null").select("tree", "ord", F.lit(True).alias("_human"))
     own = scored(counted.join(human, ["tree", "ord"], "left").withColumn("human", F.coalesce("_human", F.lit(False))).drop("_human"))
     kinds = F.array_distinct(F.transform("acts", lambda a: a["kind"]))

@@ -9,6 +9,7 @@ from ..functions import patterns as P
 from ..functions import security as S
 from ..functions import text as T
 from ..operators import concerns, evidence, sequence
+from . import analysis
 from .synthetic import _list, turns
 
 SAID = (
@@ -27,6 +28,14 @@ NARRATIONS = (
 )
 PATHS = ("src/auth/login.ts", "SRC\\Auth\\\\Login.ts", ".env.production", "infra/variables.tf", "charts/values-prod.yaml", "src/tokens.json", "docs/notes.md", "", "src//auth/login.ts", "src/report.py", "Dockerfile", "src/job.py", "lib/rbac_guard.py", "web/page.html", "src/retry.py")
 
+#: Rejections of every sixth turn.
+KINDS = ("user_declined_tool", "permission_denied", "model_refusal", "user_text_decline", "strange", "tool_execution_error")
+SURE = (1.0, 0.85, 0.9, 0.8, 0.5, 0.7)
+
+
+def secured_rejections(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("event_id % 6 = 0").select("tree", "ord", _pick(KINDS, "event_id div 6").alias("kind"), _pick(SURE, "event_id div 6").alias("confidence"))
+
 
 def _pick(values, key):
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.expr(key), F.lit(len(values))) + 1).cast("int"))
@@ -141,3 +150,42 @@ QUERY = f"""{CONCERNS}, lv as (select *, row_number() over (partition by tree or
   c2 as (select c1.*, coalesce((select min(b.ord) from lv b, sh a where a.tree = c1.tree and a.ord = c1.ord and b.tree = c1.tree and b.ord > c1.ord and {MEET}),
     (select min(b.ord) from lv b where b.tree = c1.tree and b.ord > c1.ord and {_has('b.text', evidence.ACCEPTANCE)})) as resolved, (select count(*) from lv b where b.tree = c1.tree and b.ord <= c1.ord) as own from c1)
   select tree, ord, tier, confidence, turns, key, stem, kinds, evidence, corrector, resolved, coalesce((select string_agg(text, ' ' order by ord) from lv b where b.tree = c2.tree and b.r between own + 1 and own + 12 and (c2.corrector is null or b.ord <> c2.corrector) and {_ANY_REMEDY}), '') as remedies from c2"""
+
+_STRONG = " or ".join(f"sig.type = '{n}' and {_has('sig.text', p)}" for n, p in analysis.STRONG)
+_ANALYZED = " or ".join(("nd.kind = 'correction'", *(_has("nd.text", p) for p in (P.CORRECTING, next(p for n, p, _ in P.PROCESS if n == "user_frustration"), P.PRIVACY))))
+_FAILURE_OF = "case rk " + " ".join(f"when '{k}' then '{t}'" for k, t in P.FAILURE_OF.items()) + " end"
+_TIER = "case " + " ".join(f"when conf >= {least} then '{name}'" for least, name in P.TIERS) + " else 'inferred' end"
+_LOST, _BACK = _has("text", S.DESTRUCTIVE), _has("text", S.RECOVERY)
+_NARRATES = "len(list_filter(string_split_regex({0}, %s), lambda c: %s and %s and not %s)) > 0" % (_q(S.CLAUSE_ENDS), *(_has("c", p) for p in (S.NARRATED_INTENT, S.NARRATED_TARGET, S.REMEDIATION)))
+_TOLD = _NARRATES.replace("{0}", "nd.narration")
+_WRITTEN = _NARRATES.replace("{0}", "nd.text")
+_MEANT = " or ".join(_has("nd.text", p) for n, p in P.SECURITY_INTENT if n != "email_change")
+_RISK = "'security_or_privacy_risk'"
+
+
+def failures_sql(signals: str) -> str:
+    """SQL for the failures of all rules; signals makes sig, what went wrong by each turn's words."""
+    return f"""{CONCERNS}{signals},
+      rj as (select tree, ord, rk, conf, {_FAILURE_OF} as type, {_TIER} as tier from (select tree, ord, {_at(KINDS, '(event_id // 6)')} as rk, list_extract({list(SURE)}, (event_id // 6 % {len(SURE)} + 1)::int)::double as conf from nd where event_id % 6 = 0)),
+      rf as (select tree, ord from rj where rk = 'model_refusal'), dc as (select tree, ord from rj where rk in ('user_declined_tool', 'user_text_decline')),
+      q as (select nd.*, exists (select 1 from rf where rf.tree = nd.tree and rf.ord = nd.ord) as own, exists (select 1 from rf where rf.tree = nd.tree and rf.ord in (nd.ord, nd.ord - 1)) as near, exists (select 1 from dc where dc.tree = nd.tree and dc.ord = nd.ord) as complains from nd),
+      lv as (select * from sh where status <> 'abandoned'),
+      tg as (select nd.tree, nd.ord, (select max(b.ord) from lv b, sh a where a.tree = nd.tree and a.ord = nd.ord and b.tree = nd.tree and b.ord < nd.ord and {MEET}) as sem, (select max(b.ord) from lv b where b.tree = nd.tree and b.ord < nd.ord) as last from nd),
+      e1 as (select tree, ord as seen, ord as node, case when kind <> 'correction' then (select min(b.ord) from lv b, sh a where a.tree = c0.tree and a.ord = c0.ord and b.tree = c0.tree and b.ord > c0.ord and b.kind = 'correction' and {MEET}) end as corrector, confidence, tier from c0
+        union all select tree, ord, ord, null, {analysis.INTENT}, 'inferred' from q nd where not exists (select 1 from w2 where w2.tree = nd.tree and w2.ord = nd.ord) and (({_MEANT}) and not near or not own and ({_TOLD} and event_id % 4 <> 3 or not complains and not {HUMAN} and {_WRITTEN}))),
+      hb as (select nd.tree, min(nd.ord) as ord, arg_min(coalesce(sem, last), nd.ord) as target from nd join tg using (tree, ord) where {HUMAN} and coalesce(sem, last) is not null group by nd.tree),
+      sg as (select sig.*, nd.ord, nd.kind, coalesce(sem, last) as target, sem is not null as semantic, coalesce(sem, last) is not null and (nd.kind = 'correction' or sem is not null) as tied from sig join q nd on nd.tree = sig.tree and nd.ord = sig.n join tg on tg.tree = nd.tree and tg.ord = nd.ord
+        where nd.status <> 'abandoned' and not near and ({_ANALYZED})),
+      em as (select tree, ord as seen, 0 as part, type, ord as node, null as corrector, conf as confidence, tier, false as settle from rj where type is not null
+        union all select tree, seen, 1, {_RISK}, node, corrector, confidence, tier, true from e1
+        union all select tree, ord, 2, {_RISK}, target, ord, {analysis.BACKSTOP}, 'inferred', true from hb where not exists (select 1 from e1 where e1.tree = hb.tree and e1.seen <= hb.ord)
+        union all select tree, ord, 3, 'abandoned_path', ord, null, {analysis.LEFT}, 'verified', true from nd where status = 'abandoned'
+        union all select tree, ord, 4, 'abandoned_path', ord, null, case when {_LOST} and {_BACK} then 0.9 else 0.75 end, case when {_LOST} and {_BACK} then 'verified' else 'high' end, true from nd where status <> 'abandoned'
+          and ({_LOST} or {_BACK} and {_has('text', S.APOLOGY)}) and not {_has('text', S.FIGURATIVE)} and not {_has('text', S.NOT_THE_AGENT)}
+        union all select tree, ord, 5, type, case when tied then target else ord end, case when tied then ord end,
+          least(case when tied then greatest(confidence, {analysis.CONFIRMED_LEAST}) else least(confidence, {analysis.INFERRED_MOST}) end, case when tied and semantic then 1.0 else {analysis.PLACED_MOST} end), case when tied and semantic then 'confirmed' else 'inferred' end, true from sg where tied or kind = 'correction'
+        union all select tree, ord, 5, type, coalesce(target, ord), null, least(confidence, {analysis.BACKSTOP}), 'inferred', true from sg sig where not tied and kind <> 'correction' and ({_STRONG})),
+      f0 as (select tree, type, node, max(confidence)::double as confidence, arg_max(tier, case tier when 'verified' then 4 when 'high' then 3 when 'confirmed' then 2 else 1 end) as tier, arg_min(corrector, (seen, part)) filter (corrector is not null) as corrector,
+        arg_min(coalesce(corrector, -1), (seen, part)) as first, arg_min(settle, (seen, part)) as settle from em group by tree, type, node)
+      select tree, type, node, confidence, tier, corrector, case when settle then coalesce((select min(b.ord) from lv b, sh a where a.tree = f0.tree and a.ord = f0.node and b.tree = f0.tree and b.ord <> f0.node and b.ord > case when first < 0 then f0.node else first end and {MEET}),
+        (select min(b.ord) from lv b where b.tree = f0.tree and b.ord > case when first < 0 then f0.node else first end and {_has('b.text', evidence.ACCEPTANCE)})) end as resolved from f0"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import constraints, secrets, text as T
 from ..operators import concerns, failures, lineage, redaction, references, sequence, stats
-from . import concern_sql, secret_sql
+from . import analysis, concern_sql, secret_sql
 from .synthetic import FIELDS_SQL, FILES, PLANTED_SQL, REPEATED_SQL, RULED_SQL, SQL, fields, planted, repeated_turns, ruled_turns, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,6 +316,14 @@ def security_concerns(spark, sf_dir):
     return concerns.concerns(nodes.drop("event_id"), concern_sql.secured_actions(nodes)).drop("summary")
 
 
+def tree_failures(spark, sf_dir):
+    """The failures that all rules find in each tree, with their correctors and what settles them."""
+    nodes = concern_sql.secured_nodes(spark, sf_dir)
+    own = nodes.withColumn("parent", F.nullif(C("ord") - 1, F.lit(0))).drop("event_id")
+    found = analysis.emissions(own, concern_sql.secured_rejections(nodes), concern_sql.secured_actions(nodes))
+    return analysis.failures(found).select("tree", "type", "node", "confidence", "tier", "corrector", "resolved")
+
+
 def touched_surfaces(spark, sf_dir):
     """What each turn's actions touch, with the key or stem by which it is told from others."""
     own = concerns.touching(concern_sql.secured_actions(concern_sql.secured_nodes(spark, sf_dir)))
@@ -325,7 +333,7 @@ def touched_surfaces(spark, sf_dir):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     turn_kinds, turn_relationships, nudges_folded, refusals, declines, rejection_ledger, rejections_by_kind, failures_by_node, tiers_by_tree, lessons_by_type, session_stats, sessions_since, token_totals, prior_file,
     correction_chains, correction_causes, security_gate, risky_commands, test_skips, secret_findings, secret_spans, secret_decisions, redacted_texts, masked_fields, turns_refolded, token_entropy, titles, main_paths, branch_status, abandoned_branches, subtree_sizes, tree_outlines, tree_summaries,
-    missing_files, constraint_ranking, shared_words, model_totals, props_fields, latest_turn, process_signals, failure_type_counts, signal_lessons, failure_summaries, security_intents, security_concerns, touched_surfaces,
+    missing_files, constraint_ranking, shared_words, model_totals, props_fields, latest_turn, process_signals, failure_type_counts, signal_lessons, failure_summaries, security_intents, security_concerns, touched_surfaces, tree_failures,
 )}
 
 _PLANTED = f"with p as ({PLANTED_SQL}), {secret_sql.scan('p', 'x')}"
@@ -399,6 +407,7 @@ ORACLE: dict[str, str] = {
       select d.tree, case when d.kept then 'node' else 'steps' end as what, d.node, h.run as above, case when h.kept then 'node' when h.run is not null then 'steps' end as above_what, c.steps
         from d join c on c.tree = d.tree and c.run = d.node left join d h on h.tree = d.tree and h.node = d.up where d.node = d.run
       union all select m.tree, 'abandoned', m.parent, any_value(d.run), any_value(case when d.kept then 'node' else 'steps' end), sum(size)::bigint from m join sz using (tree, node) join d on d.tree = m.tree and d.node = m.parent where m.off group by m.tree, m.parent""",
+    "tree_failures": f"{_SECURED}, {concern_sql.failures_sql(_process_sql()[len(K_SQL):])}",
     "security_concerns": f"{_SECURED}, {concern_sql.QUERY}",
     "touched_surfaces": f"{_SECURED}, {concern_sql.TOUCHING} select tree, ord, array_to_string(list_transform(acts, lambda a: a.kind), ',') as kinds, array_to_string(list_transform(acts, lambda a: a.evidence), '|') as evidence, surface, key, stem from tu",
     "process_signals": f"{_process_sql()} select tree, event_id, type, confidence from sig",

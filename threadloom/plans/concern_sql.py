@@ -16,6 +16,7 @@ SAID = (
     "Set up the export job for the nightly report.", "Never commit the api key, rotate that key now.", "No, that is wrong. Read the key from an env var instead.", "Now write the summary of the weekly report.", "Looks good, thanks.",
     "Don't leak the token in the log output of the export job.", "Move that password into the secret manager.", "What does the login guard do?", "Also add a retry to the client of the export job.", "Revoke the exposed token and use workload identity.",
     "Make the migration additive, keep the old rows.", "That helper in src/auth/login.ts is broken.", "Keep the nightly report small and quick.",
+    "Still failing, the same error again in the export job.", "wtf this sucks", "No, that's not what I meant, you built the wrong thing.", "way too heavy, you massively overbuilt the client",
 )
 ACTS = (
     "ls -la", "export STRIPE_API_KEY=abc", "curl -H 'x: y' https://example.com", "chmod 777 run.sh", "git push --force", "echo done", "deploy --acl public-read", "terraform apply", "node build.js", "psql -c 'GRANT ALL ON t TO PUBLIC'", "npm test",

@@ -44,7 +44,7 @@ def test_one_tree(spark):
 
 def test_backstop_and_refusals(spark):
     nodes = [
-        ("a", 1, "Write the notes.", "root", "accepted", [], None, None), ("a", 2, "don't leak the token", "direction", "accepted", [], 1, None), ("a", 3, "never expose that key", "direction", "accepted", [], 2, None),
+        ("a", 1, "Write the notes.", "root", "accepted", [], None, None), ("a", 2, "don't commit that password", "direction", "accepted", [], 1, None), ("a", 3, "never hardcode the password here", "direction", "accepted", [], 2, None),
         ("r", 1, "Write it.", "root", "accepted", [], None, None), ("r", 2, "No, that is wrong, you forgot it again.", "correction", "accepted", [], 1, None),
         ("s", 1, "Write it.", "root", "accepted", [], None, None), ("s", 2, "wtf this sucks", "direction", "accepted", [], 1, None),
     ]

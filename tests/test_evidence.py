@@ -158,3 +158,16 @@ def test_names_anywhere_in_a_text(spark):
     rows = [(1, 1, "see src/Login.ts!", ["a/b.ts"]), (1, 2, "nothing", ["src/login.ts", "x/makefile"]), (1, 3, "themakefileisbroken", []), (2, 1, "login.ts", []), (1, 4, None, None)]
     own = evidence.with_words(spark.createDataFrame(rows, "tree int, ord int, text string, files array<string>"))
     assert {tuple(r) for r in evidence.naming(own).collect()} == {(1, 1, "login.ts"), (1, 3, "makefile")}
+
+
+def sent_whole(df):
+    """Whether a plan sends a table to all tasks by way of the driver."""
+    return "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_files_with_many_words_are_dealt(trees, spark, tmp_path):
+    # the planner takes a small file's words and names for small too
+    trees[1].write.parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    assert not sent_whole(evidence.naming(evidence.with_words(nodes)))
+    assert not sent_whole(evidence.correction_after(nodes))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import security as S
 from ..functions import text as T
-from ..shared import cut
-from .evidence import accepted_after, correction_after, nearest
+from ..shared import cut, dealt
+from .evidence import Evidence, accepted_after, correction_after, gathered, nearest
 from .failures import tier_rank
 
 # Kinds of what is touched with what they are called as signals, kinds that show content, the scale of confidence.
@@ -35,10 +35,8 @@ C = F.col
 
 
 def _touched() -> Column:
-    """What one action touches, in order: structs of late (0 before all others), seq, rank, kind, strong, weak, evidence, file and said."""
-    body = F.concat_ws(" ", F.coalesce("command", F.lit("")), F.coalesce("input", F.lit("")))
-    clause = S.mishandled_credential(F.concat_ws(" ", F.coalesce("narration", F.lit("")), body))
-    opened = S.public_exposure(body).isNotNull() | T.matches(body, S.ACCESS_CONTENT)
+    """What one action touches, in order: structs of late (0 before all others), seq, rank, kind, strong, weak, evidence, file and said; of the columns that touching() makes."""
+    body, clause, opened = C("_body"), C("_clause"), C("_opened")
     found = (
         ("credential-mishandling", clause.isNotNull(), True, False),
         ("credential", S.has_secret_content(body) | S.is_secret_value(body) | S.is_config_secret(body, C("file")), True, False),
@@ -68,7 +66,12 @@ def touching(actions: DataFrame) -> DataFrame:
     The key is the first file that is a credential's or lies on a surface, of strong acts if there is one; the stem is the
     credential that a turn without such a file speaks of. Only a turn's first mishandled credential counts.
     """
-    own = actions.select("tree", "ord", "seq", _touched().alias("_a"), T.security_surface(C("file")).alias("_s"))
+    # rows are dealt before what costs most, and by the number of partitions, as few bytes of them are much work; each value that is used again is a column
+    own = actions.select("tree", "ord", "seq", "file", "command", "input", "narration").repartition(int(actions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tree", "ord")
+    own = own.withColumn("_body", F.concat_ws(" ", F.coalesce("command", F.lit("")), F.coalesce("input", F.lit(""))))
+    clause = S.mishandled_credential(F.concat_ws(" ", F.coalesce("narration", F.lit("")), C("_body")))
+    own = own.withColumns({"_clause": clause, "_opened": S.public_exposure(C("_body")).isNotNull() | T.matches(C("_body"), S.ACCESS_CONTENT)})
+    own = own.select("tree", "ord", "seq", _touched().alias("_a"), T.security_surface(C("file")).alias("_s"))
     turn = own.groupBy("tree", "ord").agg(F.sort_array(F.flatten(F.collect_list("_a"))).alias("_a"), F.min_by("_s", F.when(C("_s").isNotNull(), C("seq"))).alias("surface"))
     turn = turn.filter(F.size("_a") > 0).withColumn("acts", F.filter("_a", lambda a, i: (i == 0) | (a["kind"] != "credential-mishandling")))
     keyed = lambda a: S.is_credential_file(a["file"]) | T.security_surface(a["file"]).isNotNull()
@@ -111,11 +114,11 @@ def let_through(turns: DataFrame) -> DataFrame:
     return marked.filter(C("acts").isNotNull() & (~C("_named") | C("_first") | C("_calm"))).drop("_named", "_sure", "_first", "_calm")
 
 
-def security_correction_after(nodes: DataFrame, askers: DataFrame) -> DataFrame:
+def security_correction_after(nodes: DataFrame, askers: DataFrame, known: Evidence | None = None) -> DataFrame:
     """(tree, ord, found): for turns the nearest later one in which a person corrects something about security and shares evidence, else null."""
     asked = askers.select("tree", C("ord").alias("id"), "ord", C("ord").alias("at"))
     wanted = (C("status") != "abandoned") & S.is_security_correction(C("text"))
-    return nearest(nodes, asked, wanted).select("tree", C("id").alias("ord"), "found")
+    return nearest(nodes, asked, wanted, known=known).select("tree", C("id").alias("ord"), "found")
 
 
 def remedy_texts(nodes: DataFrame, failures: DataFrame, reach: int = REACH) -> DataFrame:
@@ -127,8 +130,8 @@ def remedy_texts(nodes: DataFrame, failures: DataFrame, reach: int = REACH) -> D
     ranked = nodes.withColumn("_rank", F.count(F.when(C("status") != "abandoned", 1)).over(w)).select("tree", "ord", "status", "text", "_rank")
     later = ranked.filter((C("status") != "abandoned") & (T.remedies(C("text")) != "")).select("tree", C("ord").alias("_ord"), C("text").alias("_text"), "_rank")
     steps = F.explode(F.sequence(F.lit(1), F.lit(reach)))
-    asked = failures.select("tree", "ord", "corrector").join(ranked.select("tree", "ord", C("_rank").alias("_own")), ["tree", "ord"])
-    met = asked.withColumn("_step", steps).withColumn("_rank", C("_own") + C("_step")).join(later, ["tree", "_rank"])
+    asked = dealt(failures.select("tree", "ord", "corrector"), ranked.select("tree", "ord", C("_rank").alias("_own")), ["tree", "ord"])
+    met = dealt(asked.withColumn("_step", steps).withColumn("_rank", C("_own") + C("_step")), later, ["tree", "_rank"])
     met = met.filter(C("corrector").isNull() | (C("corrector") != C("_ord")))
     told = met.groupBy("tree", "ord").agg(F.sort_array(F.collect_list(F.struct("_rank", "_text"))).alias("_t"))
     return told.select("tree", "ord", F.array_join(F.transform("_t", lambda t: t["_text"]), " ").alias("remedies"))
@@ -136,18 +139,21 @@ def remedy_texts(nodes: DataFrame, failures: DataFrame, reach: int = REACH) -> D
 
 def counted_turns(nodes: DataFrame, actions: DataFrame) -> DataFrame:
     """The turns whose actions count, with what they touch, written out."""
-    return cut(let_through(nodes.select("tree", "ord", "text", "kind").join(touching(actions), ["tree", "ord"], "left")))
+    return cut(let_through(dealt(nodes.select("tree", "ord", "text", "kind"), touching(actions), ["tree", "ord"], "left")))
 
 
-def concerns(nodes: DataFrame, actions: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+def concerns(nodes: DataFrame, actions: DataFrame, counted: DataFrame | None = None, known: Evidence | None = None) -> DataFrame:
     """One row for each concern of a tree: ord (its first turn), tier and confidence (the highest of its turns), turns, key, stem, kinds, evidence, corrector, resolved, summary and remedies.
 
     Turns about the same file, or else the same credential, are one concern; a turn about neither is its own. What a concern
-    says, and what corrects it, is its first turn's. counted are the turns that count, if they are there already.
+    says, and what corrects it, is its first turn's. counted are the turns that count, and known what evidence.gathered has for nodes, if they are there already.
     """
-    counted = counted_turns(nodes, actions) if counted is None else counted
-    human = security_correction_after(nodes, counted.filter("kind <> 'correction'")).filter("found is not null").select("tree", "ord", F.lit(True).alias("_human"))
-    own = scored(counted.join(human, ["tree", "ord"], "left").withColumn("human", F.coalesce("_human", F.lit(False))).drop("_human"))
+    if counted is None:
+        nodes = cut(nodes)
+        counted = counted_turns(nodes, actions)
+    known = gathered(nodes) if known is None else known
+    human = security_correction_after(nodes, counted.filter("kind <> 'correction'"), known).filter("found is not null").select("tree", "ord", F.lit(True).alias("_human"))
+    own = scored(dealt(counted, human, ["tree", "ord"], "left").withColumn("human", F.coalesce("_human", F.lit(False))).drop("_human"))
     kinds = F.array_distinct(F.transform("acts", lambda a: a["kind"]))
     shown = F.slice(F.array_distinct(F.transform("acts", lambda a: a["evidence"])), 1, 3)
     quoted = F.array_join(F.transform(shown, lambda t: F.concat(F.lit('"'), T.truncate(t, 80), F.lit('"'))), ", ")
@@ -157,13 +163,13 @@ def concerns(nodes: DataFrame, actions: DataFrame, counted: DataFrame | None = N
     first = lambda c: F.min_by(c, "ord").alias(c)
     merged = own.groupBy("tree", "_about").agg(F.min("ord").alias("_ord"), F.max("confidence").alias("confidence"), F.max_by("tier", tier_rank(C("tier"))).alias("tier"), F.count("*").alias("turns"), *map(first, ("kind", "key", "stem", "kinds", "evidence")))
     merged = cut(merged.withColumnRenamed("_ord", "ord").drop("_about"))
-    by = correction_after(nodes)
-    merged = merged.join(by, ["tree", "ord"], "left").withColumn("corrector", F.when(C("kind") != "correction", C("corrector")))
-    accepted = accepted_after(nodes, merged.select("tree", C("ord").alias("id"), "ord", F.lit(None).cast("long").alias("corrector"))).select("tree", C("id").alias("ord"), C("accepted").alias("resolved"))
-    merged = merged.join(accepted, ["tree", "ord"], "left").join(remedy_texts(nodes, merged), ["tree", "ord"], "left")
+    by = correction_after(nodes, known)
+    merged = dealt(merged, by, ["tree", "ord"], "left").withColumn("corrector", F.when(C("kind") != "correction", C("corrector")))
+    accepted = accepted_after(nodes, merged.select("tree", C("ord").alias("id"), "ord", F.lit(None).cast("long").alias("corrector")), known).select("tree", C("id").alias("ord"), C("accepted").alias("resolved"))
+    merged = dealt(dealt(merged, accepted, ["tree", "ord"], "left"), remedy_texts(nodes, merged), ["tree", "ord"], "left")
     titles = nodes.select("tree", "ord", T.title(C("text")).alias("_title"))
     texts = nodes.select("tree", C("ord").alias("corrector"), C("text").alias("_by"))
-    merged = merged.join(titles, ["tree", "ord"], "left").join(texts, ["tree", "corrector"], "left")
+    merged = dealt(dealt(merged, titles, ["tree", "ord"], "left"), texts, ["tree", "corrector"], "left")
     near = F.concat(F.lit('An agent action touched auth, secrets, or access control near "'), T.truncate(C("_title"), 90), F.lit('"'))
     summary = F.concat(near, F.when(C("corrector").isNotNull(), F.concat(F.lit('; corrected by: "'), T.quote(C("_by")), F.lit('".'))).otherwise("."))
     return merged.select("tree", "ord", "tier", "confidence", "turns", "key", "stem", "kinds", "evidence", "corrector", "resolved", F.coalesce("remedies", F.lit("")).alias("remedies"), summary.alias("summary"))

@@ -13,13 +13,15 @@ Fixed values: the words of surfaces.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import security as S
 from ..functions import text as T
 from ..functions.constraints import STOP_WORDS
-from ..shared import cut
+from ..shared import cut, dealt
 
 SURFACE_WORDS = (
     "auth", "session", "login", "signin", "signup", "oauth", "jwt", "sso", "saml",
@@ -60,8 +62,9 @@ def naming(own: DataFrame) -> DataFrame:
     said = own.select("tree", "ord", F.lower(F.coalesce("text", F.lit(""))).alias("_t"))
     letters = said.withColumn("_l", F.split("_t", ""))
     runs = F.transform("_l", lambda c, i: F.concat(c, *(F.coalesce(F.get("_l", i + k), F.lit("")) for k in range(1, GRAM))))
-    met = letters.select("tree", "ord", F.explode(F.array_distinct(runs)).alias("_g")).join(names, ["tree", "_g"]).select("tree", "ord", "_b")
-    return met.join(said, ["tree", "ord"]).filter(F.contains("_t", F.col("_b"))).select("tree", "ord", "_b")
+    met = letters.select("tree", "ord", F.explode(F.array_distinct(runs)).alias("_g"))
+    met = dealt(met, names, ["tree", "_g"]).select("tree", "ord", "_b")
+    return dealt(met, said, ["tree", "ord"]).filter(F.contains("_t", F.col("_b"))).select("tree", "ord", "_b")
 
 
 def keys(nodes: DataFrame) -> DataFrame:
@@ -78,23 +81,33 @@ def keys(nodes: DataFrame) -> DataFrame:
     )
 
 
-def by_words(nodes: DataFrame, askers: DataFrame, fit: DataFrame, met: DataFrame, after: bool) -> DataFrame:
+class Evidence(NamedTuple):
+    """What the turns of some trees have, written out once for all look-ups: keys() and (tree, ord, _w), the words of each turn."""
+
+    keys: DataFrame
+    words: DataFrame | None
+
+
+def gathered(nodes: DataFrame) -> Evidence:
+    return Evidence(cut(keys(nodes)), cut(with_words(nodes).select("tree", "ord", F.explode("words").alias("_w"))))
+
+
+def by_words(words: DataFrame, askers: DataFrame, fit: DataFrame, met: DataFrame, after: bool) -> DataFrame:
     """(tree, id, found): the nearest fit turn that has LEAST_WORDS words in common, for askers that find one nearer than what they have met.
 
     Fit turns have places in their tree. Each round looks FURTHER times as far as the last, only for those who have found
     nothing yet and have nothing as near; a word's turns meet within cells as wide as the round's reach, so that common words,
     which find soon, cost their turns and not the square of them.
     """
-    words = with_words(nodes).select("tree", "ord", F.explode("words").alias("_w"))
     spots = fit.withColumn("_c", F.row_number().over(Window.partitionBy("tree").orderBy("ord")))
-    held = cut(words.join(spots, ["tree", "ord"]).select("tree", "_w", "_c", F.col("ord").alias("found")))
+    held = cut(dealt(words, spots, ["tree", "ord"]).select("tree", "_w", "_c", F.col("ord").alias("found")))
     mark = spots.select("tree", F.col("ord").alias("at"), F.col("_c"), F.lit(None).cast("long").alias("id"))
     asked = mark.unionByName(askers.select("tree", "at", F.lit(None).cast("int").alias("_c"), F.col("id").cast("long").alias("id")))
     upto = Window.partitionBy("tree").orderBy("at").rangeBetween(Window.unboundedPreceding, 0 if after else -1)
     start = asked.withColumn("_p", F.coalesce(F.max("_c").over(upto), F.lit(0)) + (0 if after else 1)).filter("id is not null").select("tree", "id", "_p")
-    known = met.join(spots.select("tree", F.col("ord").alias("found"), F.col("_c").alias("_k")), ["tree", "found"]).select("tree", "id", F.abs("_k").alias("_k"))
+    known = dealt(met, spots.select("tree", F.col("ord").alias("found"), F.col("_c").alias("_k")), ["tree", "found"]).select("tree", "id", F.abs("_k").alias("_k"))
     most = spots.groupBy("tree").agg(F.max("_c").alias("_m"))
-    own = askers.select("tree", "id", "ord").join(start, ["tree", "id"]).join(most, "tree").join(known, ["tree", "id"], "left")
+    own = dealt(dealt(dealt(askers.select("tree", "id", "ord"), start, ["tree", "id"]), most, ["tree"]), known, ["tree", "id"], "left")
     sign = 1 if after else -1
     far = F.when(F.col("_k").isNotNull(), F.abs(F.col("_k") - F.col("_p")) - 1).when(F.lit(after), F.col("_m") - F.col("_p")).otherwise(F.col("_p") - 1)
     own = cut(own.withColumn("_far", far).drop("_k", "_m"))
@@ -104,29 +117,32 @@ def by_words(nodes: DataFrame, askers: DataFrame, fit: DataFrame, met: DataFrame
         reach = F.least(F.lit(high), F.col("_far"))
         ends = [F.col("_p") + sign * (low + 1), F.col("_p") + sign * reach]
         cells = F.array_distinct(F.transform(F.array(*ends), lambda c: F.floor(c / high)))
-        left = own.filter(F.col("_far") > low).join(words, ["tree", "ord"]).withColumn("_cell", F.explode(cells))
-        near = left.join(held.withColumn("_cell", F.floor(F.col("_c") / high)), ["tree", "_w", "_cell"])
+        left = dealt(own.filter(F.col("_far") > low), words, ["tree", "ord"]).withColumn("_cell", F.explode(cells))
+        near = dealt(left, held.withColumn("_cell", F.floor(F.col("_c") / high)), ["tree", "_w", "_cell"])
         distance = sign * (F.col("_c") - F.col("_p"))
         common = near.filter((distance > low) & (distance <= reach) & (F.col("found") != F.col("ord"))).groupBy("tree", "id", "found").agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_WORDS)
         common = cut(common.groupBy("tree", "id").agg((F.min if after else F.max)("found").alias("found")))
         out = common if out is None else out.unionByName(common)
-        own = cut(own.filter(F.col("_far") > high).join(common, ["tree", "id"], "leftanti"))
+        own = cut(dealt(own.filter(F.col("_far") > high), common, ["tree", "id"], "leftanti"))
         if own.isEmpty():
             return out
         low, high = high, high * FURTHER
 
 
-def nearest(nodes: DataFrame, askers: DataFrame, wanted: Column, after: bool = True, concrete_only: bool = False) -> DataFrame:
+def nearest(nodes: DataFrame, askers: DataFrame, wanted: Column, after: bool = True, concrete_only: bool = False, known: Evidence | None = None) -> DataFrame:
     """(tree, id, found): for each asker the nearest wanted turn strictly after (or before) it that shares evidence with a turn, null if none does.
 
     askers has tree, id (unique in a tree), ord, the turn whose evidence counts, and at, the place after (or before) which it
     looks; wanted is a condition on nodes. With concrete_only common words don't count. The turn itself is never found.
+    known is what gathered() has for nodes, if it is there already.
     """
-    held = keys(nodes)
+    if known is None:
+        known = Evidence(keys(nodes), None) if concrete_only else gathered(nodes)
+    held = known.keys
     fit = nodes.filter(wanted).select("tree", "ord")
-    can = held.join(fit, ["tree", "ord"]).select("tree", "key", "role", F.col("ord").alias("at"), F.col("ord").alias("_cand"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("_own"))
+    can = dealt(held, fit, ["tree", "ord"]).select("tree", "key", "role", F.col("ord").alias("at"), F.col("ord").alias("_cand"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("_own"))
     other = F.when(F.col("role") == 0, 0).otherwise(3 - F.col("role"))
-    ask = askers.join(held, ["tree", "ord"]).select("tree", "key", other.alias("role"), "at", F.lit(None).cast("long").alias("_cand"), F.col("id").cast("long").alias("id"), F.col("ord").cast("long").alias("_own"))
+    ask = dealt(askers, held, ["tree", "ord"]).select("tree", "key", other.alias("role"), "at", F.lit(None).cast("long").alias("_cand"), F.col("id").cast("long").alias("id"), F.col("ord").cast("long").alias("_own"))
     sign = -1 if after else 1
     w = Window.partitionBy("tree", "key", "role").orderBy((sign * F.col("at")).alias("_o"))
     best = F.min if after else F.max
@@ -135,44 +151,44 @@ def nearest(nodes: DataFrame, askers: DataFrame, wanted: Column, after: bool = T
     met = can.unionByName(ask).withColumn("_n", first).filter("id is not null and _n is not null and _n <> _own").select("tree", "id", F.col("_n").alias("found"))
     out = met
     if not concrete_only:
-        out = out.unionByName(by_words(nodes, askers, fit, met.groupBy("tree", "id").agg(best("found").alias("found")), after))
+        out = out.unionByName(by_words(known.words, askers, fit, met.groupBy("tree", "id").agg(best("found").alias("found")), after))
     nearest_found = out.groupBy("tree", "id").agg(best("found").alias("found"))
-    return askers.select("tree", "id").join(nearest_found, ["tree", "id"], "left")
+    return dealt(askers.select("tree", "id"), nearest_found, ["tree", "id"], "left")
 
 
-def correction_after(nodes: DataFrame) -> DataFrame:
+def correction_after(nodes: DataFrame, known: Evidence | None = None) -> DataFrame:
     """(tree, ord, corrector): the nearest later correction that shares evidence; nodes has kind and status."""
     asked = nodes.select("tree", F.col("ord").alias("id"), "ord", F.col("ord").alias("at"))
-    return nearest(nodes, asked, (F.col("status") != "abandoned") & (F.col("kind") == "correction")).select("tree", F.col("id").alias("ord"), F.col("found").alias("corrector"))
+    return nearest(nodes, asked, (F.col("status") != "abandoned") & (F.col("kind") == "correction"), known=known).select("tree", F.col("id").alias("ord"), F.col("found").alias("corrector"))
 
 
-def failure_target(nodes: DataFrame) -> DataFrame:
+def failure_target(nodes: DataFrame, known: Evidence | None = None) -> DataFrame:
     """(tree, ord, target, linkage): the turn that a turn's complaint is about: the nearest earlier one that shares evidence (semantic), else the parent, else the one before (positional); abandoned ones never.
 
     nodes has parent (an ord) and status.
     """
     live = F.col("status") != "abandoned"
     asked = nodes.select("tree", F.col("ord").alias("id"), "ord", F.col("ord").alias("at"))
-    semantic = nearest(nodes, asked, live, after=False).select("tree", F.col("id").alias("ord"), F.col("found").alias("_semantic"))
+    semantic = nearest(nodes, asked, live, after=False, known=known).select("tree", F.col("id").alias("ord"), F.col("found").alias("_semantic"))
     w = Window.partitionBy("tree").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     placed = nodes.withColumn("_last", F.max(F.when(live, F.col("ord"))).over(w)).select("tree", "ord", "parent", "_last")
     parents = nodes.filter(live).select("tree", F.col("ord").alias("parent"), F.lit(True).alias("_live"))
-    own = placed.join(parents, ["tree", "parent"], "left").join(semantic, ["tree", "ord"], "left")
+    own = dealt(dealt(placed, parents, ["tree", "parent"], "left"), semantic, ["tree", "ord"], "left")
     parent = F.when(F.col("_live") & (F.col("parent") < F.col("ord")), F.col("parent"))
     target = F.coalesce("_semantic", parent, "_last")
     return own.select("tree", "ord", target.alias("target"), F.when(F.col("_semantic").isNotNull(), "semantic").when(target.isNotNull(), "positional").alias("linkage"))
 
 
-def accepted_after(nodes: DataFrame, failures: DataFrame) -> DataFrame:
+def accepted_after(nodes: DataFrame, failures: DataFrame, known: Evidence | None = None) -> DataFrame:
     """(tree, id, accepted): for failures (tree, id, ord and corrector, an ord or null) the nearest turn after the corrector, or else the failure, that shares evidence with the failure; else the nearest that accepts."""
     live = F.col("status") != "abandoned"
     asked = failures.select("tree", "id", "ord", F.coalesce("corrector", "ord").alias("at"))
-    found = nearest(nodes, asked, live)
+    found = nearest(nodes, asked, live, known=known)
     said = nodes.filter(live & accepts(F.col("text"))).select("tree", F.col("ord").alias("at"), F.col("ord").alias("_cand"), F.lit(None).cast("long").alias("id"))
     both = said.unionByName(asked.select("tree", "at", F.lit(None).cast("long").alias("_cand"), F.col("id").cast("long").alias("id")))
     w = Window.partitionBy("tree").orderBy((-F.col("at")).alias("_o")).rangeBetween(Window.unboundedPreceding, -1)
     accepting = both.withColumn("_said", F.min("_cand").over(w)).filter("id is not null").select("tree", "id", "_said")
-    return found.join(accepting, ["tree", "id"]).select("tree", "id", F.coalesce("found", "_said").alias("accepted"))
+    return dealt(found, accepting, ["tree", "id"]).select("tree", "id", F.coalesce("found", "_said").alias("accepted"))
 
 
 def forward_chains(nodes: DataFrame, reach: int = 6) -> DataFrame:
@@ -186,7 +202,7 @@ def forward_chains(nodes: DataFrame, reach: int = 6) -> DataFrame:
     asked = live.filter("failing").select("tree", F.col("ord").alias("id"), "ord", F.col("ord").alias("at"))
     found = nearest(live, asked, redirects, concrete_only=True).filter("found is not null")
     ranks = live.select("tree", "ord", "_rank")
-    near = found.join(ranks.select("tree", F.col("ord").alias("id"), F.col("_rank").alias("_a")), ["tree", "id"]).join(ranks.select("tree", F.col("ord").alias("found"), F.col("_rank").alias("_b")), ["tree", "found"])
+    near = dealt(dealt(found, ranks.select("tree", F.col("ord").alias("id"), F.col("_rank").alias("_a")), ["tree", "id"]), ranks.select("tree", F.col("ord").alias("found"), F.col("_rank").alias("_b")), ["tree", "found"])
     return near.filter(F.col("_b") - F.col("_a") <= reach).select("tree", F.col("id").alias("failure"), F.col("found").alias("correction"))
 
 
@@ -222,7 +238,7 @@ def backward_chains(nodes: DataFrame, reach: int = 10) -> DataFrame:
     acted = F.size("files") > 0
     tie = F.arrays_overlap("files", "_files") | F.exists("bases", lambda b: F.contains(F.col("_text"), b)) | F.exists("_bases", lambda b: F.contains(F.col("_said"), b))
     about = (tie & (F.col("_remedy") | acted)) | (acted & F.coalesce(F.arrays_overlap("_data", "_held"), F.lit(False)))
-    met = later.join(prior, ["tree", "_rank"]).filter(about)
+    met = dealt(later, prior, ["tree", "_rank"]).filter(about)
     return met.groupBy("tree", "correction").agg(F.max("failure").alias("failure")).select("tree", "failure", "correction")
 
 

@@ -61,3 +61,11 @@ def test_backstop_and_refusals(spark):
 def test_nothing(spark):
     n, r, found = analysed(spark, [])
     assert found.count() == 0 and analysis.failures(found).count() == 0 and analysis.lessons(found, n).count() == 0
+
+
+def test_refusals_of_small_files_are_dealt(spark, tmp_path):
+    spark.createDataFrame([(1, 1, None), (1, 2, 1)], "tree long, ord long, parent long").write.parquet(str(tmp_path / "nodes"))
+    spark.createDataFrame([(1, 1, "model_refusal", 0.9)], "tree long, ord long, kind string, confidence double").write.parquet(str(tmp_path / "rejections"))
+    own = analysis.refused(spark.read.parquet(str(tmp_path / "nodes")), spark.read.parquet(str(tmp_path / "rejections")))
+    assert "BroadcastExchange" not in own._jdf.queryExecution().executedPlan().toString()
+    assert {(r["ord"], r["own_refusal"], r["refusal"]) for r in own.collect()} == {(1, True, True), (2, False, True)}

@@ -19,7 +19,7 @@ from ..operators import concerns as K
 from ..operators import evidence
 from ..operators.failures import tier_rank
 from ..operators.sequence import numbered, padded_id
-from ..shared import cut
+from ..shared import cut, dealt
 from . import reports
 
 # Wordings strong enough without anything that they could be about, and the figures of each rule.
@@ -48,8 +48,8 @@ def _rows(df: DataFrame, **given: Column) -> DataFrame:
 def refused(nodes: DataFrame, rejections: DataFrame) -> DataFrame:
     """nodes with own_refusal and refusal: whether the model refused at the turn, and there or at its parent."""
     bad = rejections.filter("kind = 'model_refusal'").select("tree", "ord").distinct()
-    own = nodes.join(bad.withColumn("own_refusal", F.lit(True)), ["tree", "ord"], "left")
-    own = own.join(bad.select("tree", C("ord").alias("parent"), F.lit(True).alias("_above")), ["tree", "parent"], "left")
+    own = dealt(nodes, bad.withColumn("own_refusal", F.lit(True)), ["tree", "ord"], "left")
+    own = dealt(own, bad.select("tree", C("ord").alias("parent"), F.lit(True).alias("_above")), ["tree", "parent"], "left")
     no = F.lit(False)
     return own.withColumns({"own_refusal": F.coalesce("own_refusal", no), "refusal": F.coalesce("own_refusal", no) | F.coalesce("_above", no)}).drop("_above")
 
@@ -58,22 +58,24 @@ def emissions(nodes: DataFrame, rejections: DataFrame, actions: DataFrame) -> Da
     """All that the rules find, before it is deduplicated, with seq, its place in the tree, and resolved, the turn that settles it."""
     nodes = cut(nodes.withColumn("text", F.coalesce("text", F.lit(""))))
     titles = nodes.select("tree", C("ord").alias("node"), T.title(C("text")).alias("title"))
+    known = evidence.gathered(nodes)
     told = cut(refused(nodes, rejections).withColumn("title", T.title(C("text"))))
 
     w = Window.partitionBy("tree", "ord").orderBy("kind", "confidence")
-    own = rejections.withColumn("type", T.failure_type(C("kind"))).filter("type is not null").withColumn("_n", F.row_number().over(w)).withColumnRenamed("kind", "_kind").join(told.select("tree", "ord", "text", "title"), ["tree", "ord"])
+    own = rejections.withColumn("type", T.failure_type(C("kind"))).filter("type is not null").withColumn("_n", F.row_number().over(w)).withColumnRenamed("kind", "_kind")
+    own = dealt(own, told.select("tree", "ord", "text", "title"), ["tree", "ord"])
     damped = (C("type") == "user_rejected_action") & (C("_kind") == "user_text_decline") & ~S.redirects_tool(C("text"))
     sure = F.coalesce("confidence", F.lit(0.7))
     out = _rows(own, at=C("ord"), part=F.lit(0), pos=C("_n"), type=C("type"), node=C("ord"), confidence=sure, tier=T.tier(F.coalesce("confidence", F.lit(0.0))), lesson=~damped, settle=F.lit(False), summary=T.rejection_summary(C("_kind"), C("title")))
 
     counted = K.counted_turns(nodes, actions)
-    found = K.concerns(nodes, actions, counted)
+    found = K.concerns(nodes, actions, counted, known)
     risk = F.lit("security_or_privacy_risk")
     safe = _rows(found, at=C("ord"), part=F.lit(1), type=risk, node=C("ord"), corrector=C("corrector"), confidence=C("confidence"), tier=C("tier"), summary=C("summary"), extra=C("remedies"))
-    quiet = told.join(counted.select("tree", "ord"), ["tree", "ord"], "left_anti")
+    quiet = dealt(told, counted.select("tree", "ord"), ["tree", "ord"], "left_anti")
     clause = actions.select("tree", "ord", "seq", S.narrated_intent(C("narration")).alias("_c")).filter("_c is not null").groupBy("tree", "ord").agg(F.min_by("_c", "seq").alias("_c"))
     complains = rejections.filter(C("kind").isin(*DECLINES)).select("tree", "ord", F.lit(True).alias("_complains")).distinct()
-    quiet = quiet.join(clause, ["tree", "ord"], "left").join(complains, ["tree", "ord"], "left")
+    quiet = dealt(dealt(quiet, clause, ["tree", "ord"], "left"), complains, ["tree", "ord"], "left")
     meant = T.security_intent(C("text")).isNotNull() & ~C("refusal")
     by_text = F.when(C("_complains").isNull() & ~S.is_security_correction(C("text")) & (F.length("text") <= 1200), S.narrated_intent(C("text")))
     narrated = ~C("own_refusal") & F.coalesce("_c", by_text).isNotNull()
@@ -82,11 +84,12 @@ def emissions(nodes: DataFrame, rejections: DataFrame, actions: DataFrame) -> Da
     stated = F.when(meant, near("A security-sensitive intent was stated")).otherwise(near("A security-sensitive intent was narrated"))
     safe = cut(safe.unionByName(_rows(intents, at=C("ord"), part=F.lit(1), type=risk, node=C("ord"), confidence=F.lit(INTENT), tier=F.lit("inferred"), summary=stated)))
 
-    target = cut(evidence.failure_target(nodes).select("tree", "ord", "target", "linkage"))
+    target = cut(evidence.failure_target(nodes, known).select("tree", "ord", "target", "linkage"))
     # a person's first correction about security counts by itself only where nothing was found up to it
-    asks = nodes.filter(S.is_security_correction(C("text"))).select("tree", "ord").join(target, ["tree", "ord"]).filter("target is not null")
-    first = asks.groupBy("tree").agg(F.min("ord").alias("ord"), F.min_by("target", "ord").alias("target")).join(safe.groupBy("tree").agg(F.min("at").alias("_at")), "tree", "left").filter("_at is null or _at > ord")
-    first = first.join(titles.withColumnRenamed("node", "target"), ["tree", "target"])
+    asks = dealt(nodes.filter(S.is_security_correction(C("text"))).select("tree", "ord"), target, ["tree", "ord"]).filter("target is not null")
+    first = asks.groupBy("tree").agg(F.min("ord").alias("ord"), F.min_by("target", "ord").alias("target"))
+    first = dealt(first, safe.groupBy("tree").agg(F.min("at").alias("_at")), ["tree"], "left").filter("_at is null or _at > ord")
+    first = dealt(first, titles.withColumnRenamed("node", "target"), ["tree", "target"])
     flagged = F.concat(F.lit('A human security correction was raised near "'), T.truncate(C("title"), 90), F.lit('" with no matching action-level signal.'))
     out = out.unionByName(safe).unionByName(_rows(first, at=C("ord"), part=F.lit(2), type=risk, node=C("target"), corrector=C("ord"), confidence=F.lit(BACKSTOP), tier=F.lit("inferred"), summary=flagged))
 
@@ -97,9 +100,9 @@ def emissions(nodes: DataFrame, rejections: DataFrame, actions: DataFrame) -> Da
     lost = live.withColumn("_b", S.bad_path(C("text"))).filter("_b is not null")
     out = out.unionByName(_rows(lost, at=C("ord"), part=F.lit(4), type=path, node=C("ord"), confidence=C("_b.confidence"), tier=C("_b.tier"), summary=S.bad_path_summary(S.file_hint(C("text"), C("files")), C("_b.recovered"))))
 
-    asked = live.filter(T.is_analyzed(C("text"), C("kind")) & ~C("refusal")).join(target, ["tree", "ord"], "left")
+    asked = dealt(live.filter(T.is_analyzed(C("text"), C("kind")) & ~C("refusal")), target, ["tree", "ord"], "left")
     each = asked.select("tree", "ord", "kind", "text", "title", "target", "linkage", F.posexplode(T.process_signals(C("text"), C("kind"))).alias("pos", "s"))
-    each = each.join(titles.withColumnsRenamed({"node": "target", "title": "_title"}), ["tree", "target"], "left")
+    each = dealt(each, titles.withColumnsRenamed({"node": "target", "title": "_title"}), ["tree", "target"], "left")
     corrects = C("kind") == "correction"
     tied = C("target").isNotNull() & (corrects | (C("linkage") == "semantic"))
     placed = ~tied | (C("linkage") == "positional")
@@ -120,8 +123,8 @@ def emissions(nodes: DataFrame, rejections: DataFrame, actions: DataFrame) -> Da
     # a number for each pair of a failing turn and what corrects it, which later acceptances are looked for
     out = out.withColumn("id", F.when(C("settle"), C("node") * (1 << 31) + F.coalesce("corrector", F.lit(0))))
     pairs = out.filter("settle").select("tree", "id", C("node").alias("ord"), "corrector").distinct()
-    settled = evidence.accepted_after(nodes, pairs).withColumnRenamed("accepted", "resolved")
-    return cut(out.join(settled, ["tree", "id"], "left").select(*COLUMNS, "seq", "resolved"))
+    settled = evidence.accepted_after(nodes, pairs, known).withColumnRenamed("accepted", "resolved")
+    return cut(dealt(out, settled, ["tree", "id"], "left").select(*COLUMNS, "seq", "resolved"))
 
 
 
@@ -137,7 +140,7 @@ def chains(found: DataFrame, nodes: DataFrame, rejections: DataFrame) -> DataFra
     linked = found.filter("corrector is not null and corrector > node").select("tree", C("node").alias("failure"), C("corrector").alias("correction"), "type", "confidence", F.lit(0).alias("pass"), C("seq").cast("long").alias("seq"))
     failing = found.select("tree", C("node").alias("ord")).union(rejections.select("tree", "ord")).distinct().withColumn("failing", F.lit(True))
     declined = rejections.filter(C("kind").isin(*DECLINES)).select("tree", "ord").distinct().withColumn("declined", F.lit(True))
-    marked = nodes.join(failing, ["tree", "ord"], "left").join(declined, ["tree", "ord"], "left").na.fill(False, ["failing", "declined"])
+    marked = dealt(dealt(nodes, failing, ["tree", "ord"], "left"), declined, ["tree", "ord"], "left").na.fill(False, ["failing", "declined"])
     more = lambda df, n, by: df.select("tree", "failure", "correction", F.lit(FORWARD_TYPE).alias("type"), F.lit(FORWARD).alias("confidence"), F.lit(n).alias("pass"), C(by).cast("long").alias("seq"))
     every = linked.unionByName(more(evidence.forward_chains(marked), 1, "failure")).unionByName(more(evidence.backward_chains(marked), 2, "correction"))
     return evidence.unique_chains(every).select("tree", "chain_id", "failure", "correction", "type", "confidence")
@@ -146,7 +149,7 @@ def chains(found: DataFrame, nodes: DataFrame, rejections: DataFrame) -> DataFra
 def _worded(found: DataFrame, nodes: DataFrame) -> DataFrame:
     said = nodes.select("tree", C("ord").alias("node"), "text")
     by = nodes.select("tree", C("ord").alias("corrector"), C("text").alias("corrected_text"))
-    own = found.join(said, ["tree", "node"]).join(by, ["tree", "corrector"], "left")
+    own = dealt(dealt(found, said, ["tree", "node"]), by, ["tree", "corrector"], "left")
     return own.select("tree", "seq", "type", "node", "text", C("corrector").alias("correction"), "corrected_text", "summary", "lesson", "extra")
 
 

@@ -30,3 +30,8 @@ def dealt(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     the planner would send whole tables by way of the driver.
     """
     return left.join(right.hint("merge"), on, how)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys (or in turn) into as many tasks as a shuffle has, before work that is long for its bytes: a file of one row group is one task's otherwise, and few bytes are put together in few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import secrets
-from ..shared import cut
+from ..shared import cut, spread
 
 #: Entries of a block, and letters of all matches of a round up to which its table is sent to all tasks.
 BLOCK, SENT = 256, 1 << 22
@@ -37,7 +37,7 @@ def everywhere(rows: DataFrame, key: str, order: list[str], text: str = "text",
     With soft unset only what blocks is masked. The texts are scanned once more after the last round, for what masks have left.
     """
     keep = lambda f: F.lit(soft) | (f["severity"] != "soft")
-    scanned = secrets.scanned(rows.select(key, *order, text), text).select(key, *order, F.filter("found", keep).alias("found"))
+    scanned = secrets.scanned(spread(rows.select(key, *order, text), key, *order), text).select(key, *order, F.filter("found", keep).alias("found"))
     blocks = cut(dictionary(scanned, key, order))
     letters = F.sum(F.aggregate("entries", F.lit(0), lambda a, e: a + F.length(e["match"])))
     sizes = {r["block"]: r["letters"] for r in blocks.groupBy("block").agg(letters.alias("letters")).collect()}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import security as S
 from ..functions import text as T
-from ..shared import cut, dealt
+from ..shared import cut, dealt, spread
 from .evidence import Evidence, accepted_after, correction_after, gathered, nearest
 from .failures import tier_rank
 
@@ -66,8 +66,8 @@ def touching(actions: DataFrame) -> DataFrame:
     The key is the first file that is a credential's or lies on a surface, of strong acts if there is one; the stem is the
     credential that a turn without such a file speaks of. Only a turn's first mishandled credential counts.
     """
-    # rows are dealt before what costs most, and by the number of partitions, as few bytes of them are much work; each value that is used again is a column
-    own = actions.select("tree", "ord", "seq", "file", "command", "input", "narration").repartition(int(actions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tree", "ord")
+    # each value that is used again is a column
+    own = spread(actions.select("tree", "ord", "seq", "file", "command", "input", "narration"), "tree", "ord")
     own = own.withColumn("_body", F.concat_ws(" ", F.coalesce("command", F.lit("")), F.coalesce("input", F.lit(""))))
     clause = S.mishandled_credential(F.concat_ws(" ", F.coalesce("narration", F.lit("")), C("_body")))
     own = own.withColumns({"_clause": clause, "_opened": S.public_exposure(C("_body")).isNotNull() | T.matches(C("_body"), S.ACCESS_CONTENT)})

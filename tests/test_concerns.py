@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.plans import queries
 from threadloom.functions import constraints, security as S
 from threadloom.operators import concerns, failures
 
@@ -100,3 +101,15 @@ def test_constraints(spark):
     rows = [("t", 1, 1, "k", "old", 1), ("t", 2, 1, "k", "named", 3), ("t", 3, 1, "k", "late", 1), ("t", 3, 2, "m", "m", 1), ("t", 3, 3, "n", "n", 1)]
     ranked = failures.ranked_constraints(spark.createDataFrame(rows, "tree string, node_ord int, place int, key string, label string, weight int")).orderBy("rank").collect()
     assert [(r["key"], r["label"], r["weight"], r["n"], r["last_node"]) for r in ranked] == [("k", "named", 3, 3, 3), ("m", "m", 1, 1, 3), ("n", "n", 1, 1, 3)]
+
+
+def test_actions_of_one_row_group_are_dealt(spark, tmp_path):
+    spark.createDataFrame([("a", 1, 0, "src/auth/login.ts", "ls", "", "")], "tree string, ord long, seq int, file string, command string, input string, narration string").write.parquet(str(tmp_path / "a"))
+    own = concerns.touching(spark.read.parquet(str(tmp_path / "a")))
+    assert "REPARTITION_BY_NUM" in own._jdf.queryExecution().executedPlan().toString()
+    assert [(r["surface"], r["key"]) for r in own.collect()] == [("auth", "src/auth/login.ts")]
+
+
+def test_rules_of_one_row_group_are_dealt(spark):
+    own = queries.constraint_ranking(spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in own._jdf.queryExecution().executedPlan().toString()

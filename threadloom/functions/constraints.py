@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
+from .spans import let
 
 # Rules with names, what sets a rule, what only asks or tells, where a rule begins, words that don't count, bounds.
 NAMED = (
@@ -68,5 +69,5 @@ def constraints(text: Column) -> Column:
     said = F.filter(F.transform(F.filter(clauses(text), sets), phrase), lambda p: F.length(p) >= SHORTEST_CLAUSE)
     rest = F.transform(said, lambda p: row(F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2))), CLAUSE_WEIGHT))
     both = F.filter(F.concat(first, rest), lambda r: r["key"] != "")
-    once = F.filter(both, lambda r, i: F.array_position(F.transform(both, lambda o: o["key"]), r["key"]) == i + 1)
+    once = let(both, lambda b: F.filter(b, lambda r, i: F.array_position(F.transform(b, lambda o: o["key"]), r["key"]) == i + 1))
     return F.coalesce(F.slice(once, 1, MOST), F.array().cast("array<struct<label:string,key:string,weight:int>>"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import constraints, secrets, text as T
 from ..operators import concerns, failures, lineage, redaction, references, sequence, stats
+from ..shared import spread
 from . import analysis, concern_sql, secret_sql
 from .synthetic import FIELDS_SQL, FILES, PLANTED_SQL, REPEATED_SQL, RULED_SQL, SQL, fields, planted, repeated_turns, ruled_turns, turns
 
@@ -250,7 +251,7 @@ def missing_files(spark, sf_dir):
 
 def constraint_ranking(spark, sf_dir):
     """The ten first rules that each session's prompts set."""
-    rules = ruled_turns(spark, sf_dir).select("tree", C("event_id").alias("node_ord"), F.posexplode(constraints.constraints(C("text"))).alias("place", "c"))
+    rules = spread(ruled_turns(spark, sf_dir).select("tree", "event_id", "text"), "tree").select("tree", C("event_id").alias("node_ord"), F.posexplode(constraints.constraints(C("text"))).alias("place", "c"))
     return failures.ranked_constraints(rules.select("tree", "node_ord", "place", "c.*")).select("tree", "key", "label", "weight", "n", "last_node", "rank")
 
 

@@ -711,3 +711,26 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(ids)
     assert isinstance(packed.toPandas(), pd.DataFrame)
+
+
+def test_pipeline_keeps_workers_small(spark):
+    """What a stage caches doesn't stay in the workers that later stages use, and their batches are small."""
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        spark.conf.unset(key)
+        docs = documents(spark, [f"river stone{i} garden word{i}, end" for i in range(400)]).repartition(4)
+        assert corpus_pipeline.pack(spark, docs, "").count() == 400
+
+        def kept(batches):
+            for batch in batches:
+                yield pd.DataFrame({"rows": [len(batch)], "chunks": [sum(len(t.first) + len(t.later) for t in packing._loaded.values())]})
+
+        found = spark.range(0, 12_000, 1, 4).mapInPandas(kept, "rows long, chunks long").agg(F.max("rows"), F.sum("chunks")).first()
+        assert tuple(found) == (1000, 0)
+        spark.conf.set(key, 77)
+        corpus_pipeline.pack(spark, docs, "")
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.unset(key)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker handles at a time; a longer single text is a slice of its own.
 SLICE_CHARS = 1 << 20
+#: Rows that Spark hands a Python worker at a time, where the session doesn't say how many.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have BATCH_ROWS rows at most, unless the session says how many. A batch of Spark's 10,000 whole texts lies in each task as rows, as Arrow and as strings at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no earlier stage."""
     shared_folder(df.sparkSession)

@@ -31,7 +31,7 @@ from .common import cut, slices, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
-#: Chunks of text whose ids a worker keeps; it starts afresh beyond.
+#: Chunks of text whose ids a task keeps; it starts afresh beyond.
 MAX_CHUNKS = 400_000
 
 #: Runs of white space that a split at single blanks would tear.
@@ -93,11 +93,15 @@ class ChunkTokenizer:
         ids = dict(zip(marks, self._ask(marks)))
         later.update((c, later[w] + ids[m]) for c, (w, m) in ended.items())
 
+    def forget(self) -> None:
+        """Drop the chunks that are kept."""
+        self.first.clear()
+        self.later.clear()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.first) + len(self.later) > MAX_CHUNKS:
-            self.first.clear()
-            self.later.clear()
+            self.forget()
         whole = [i for i, t in enumerate(texts) if TORN.search(t)]
         done = dict(zip(whole, self._ask([texts[i] for i in whole]))) if whole else {}
         rows = [[] if i in done else t.split(" ") for i, t in enumerate(texts)]
@@ -130,16 +134,20 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, name: str = "byte_bpe_5
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer, task, seen = _tokenizer(name), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in batches:
-            texts, keys, rows = ["" if t is None else t for t in batch["text"]], batch["doc_id"].tolist(), []
-            for a, b in slices([len(t) for t in texts]):
-                for key, ids in zip(keys[a:b], tokenizer.encode(texts[a:b])):
-                    for piece, start, length, crc in pieces_of(np.append(ids.astype("<u4"), np.uint32(end_id)), capacity):
-                        rows.append((key, piece, start, length, crc, task, seen[length]))
-                        seen[length] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
-            out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-            yield out
+        try:
+            for batch in batches:
+                texts, keys, rows = ["" if t is None else t for t in batch["text"]], batch["doc_id"].tolist(), []
+                for a, b in slices([len(t) for t in texts]):
+                    for key, ids in zip(keys[a:b], tokenizer.encode(texts[a:b])):
+                        for piece, start, length, crc in pieces_of(np.append(ids.astype("<u4"), np.uint32(end_id)), capacity):
+                            rows.append((key, piece, start, length, crc, task, seen[length]))
+                            seen[length] += 1
+                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+                out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
+                yield out
+        finally:
+            # a worker goes on to other stages, whose memory the chunks would take
+            tokenizer.forget()
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 

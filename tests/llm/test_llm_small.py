@@ -330,6 +330,19 @@ def test_all_trusted_documents_count(spark):
     assert rules.trusted_ids(marks.union(marks).union(spark.createDataFrame([(7, 0, 0)], marks.schema))).count() == 20_049
 
 
+def test_only_what_may_be_trusted_is_dealt(spark, monkeypatch):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), "id").alias("text"))
+    base, ids = rules.counts(docs), spark.range(0, 4000, 40).select(F.col("id").alias("_trusted"))
+    held = {r["_id"] for r in rules.maybe_trusted(base, ids).select("_id").collect()}
+    assert {*range(0, 4000, 40)} <= held and len(held) < 1000
+    assert rules.maybe_trusted(base, ids.limit(0)).count() == 0
+    # a filter too small to tell loses nothing, and the join stays exact
+    marks = ids.select(F.col("_trusted").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    first = rules.weights(base, marks).first()["weights"]
+    monkeypatch.setattr(rules, "MAX_BITS", 64)
+    assert rules.weights(base, marks).first()["weights"] == first
+
+
 def _chained(xxhash, parts):
     """Spark's xxhash64 of several strings: each one's hash is the next one's seed."""
     seed = 42

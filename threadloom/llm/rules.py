@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Bits of the filter of trusted ids, for each id and at most.
+FILTER_BITS, MAX_BITS = 16, 1 << 24
 #: Hash buckets, and standard deviations below the trusted mean that are still kept.
 BUCKETS = 1 << 14
 DEVIATIONS = 3.0
@@ -90,12 +92,28 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min("quality").alias("_q")).filter("_q = 1").select(F.col("doc_id").alias("_trusted"))
 
 
+def maybe_trusted(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of base whose _id may be among ids: all that are, and few others while MAX_BITS allow FILTER_BITS for each id.
+
+    The ids' hashes are bits of whole numbers, a row for every 64 bits that has one set; only these are sent to all tasks.
+    """
+    bits = min(MAX_BITS, max(64, ids.count() * FILTER_BITS))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(bits))
+    bit = F.expr("shiftleft(1L, cast(_p % 64 as int))")
+    words = ids.select(place("_trusted").alias("_p")).groupBy(F.floor(F.col("_p") / 64).alias("_at")).agg(F.bit_or(bit).alias("_bits"))
+    own = base.withColumn("_p", place("_id")).withColumn("_at", F.floor(F.col("_p") / 64))
+    return own.join(F.broadcast(words), "_at").filter(F.col("_bits").bitwiseAND(bit) != 0).select(*base.columns)
+
+
 def weights(base: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row with an array of the log ratio of each bucket; base has _id and _ngrams."""
-    ids = trusted_ids(labels)
-    own = base.select("_id", "_ngrams").join(ids, base["_id"] == ids["_trusted"], "left")
-    each = own.select(F.col("_trusted").isNotNull().cast("int").alias("_good"), F.explode("_ngrams").alias("_n"))
-    seen = each.groupBy("_n").agg(F.count("*").alias("raw"), F.sum("_good").alias("good")).withColumn("_b", F.col("_n").cast("int") + BUCKETS // 2)
+    """One row with an array of the log ratio of each bucket; base has _id and _ngrams.
+
+    Trusted documents are told exactly, by a join that deals by id whatever the sizes; only what may be trusted is dealt.
+    """
+    ids, own = trusted_ids(labels), base.select("_id", "_ngrams")
+    good = maybe_trusted(own, ids).join(ids.hint("merge"), F.col("_id") == F.col("_trusted"))
+    count = lambda rows, name: rows.select(F.explode("_ngrams").alias("_n")).groupBy("_n").agg(F.count("*").alias(name))
+    seen = count(own, "raw").join(count(good, "good"), "_n", "left").withColumn("_b", F.col("_n").cast("int") + BUCKETS // 2)
     full = base.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("_b")).join(seen, "_b", "left")
     full = full.select("_b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     rows = full.agg(F.sort_array(F.collect_list(F.struct("_b", "raw", "good"))).alias("r"), F.sum("raw").alias("raw"), F.sum("good").alias("good"))
@@ -113,7 +131,7 @@ def judge(docs: DataFrame, labels: DataFrame, deviations: float = DEVIATIONS) ->
     scored = cut(scored)
     ids = trusted_ids(labels)
     s = F.col("score").cast("decimal(20,9)")
-    sums = scored.join(ids, scored["_id"] == ids["_trusted"]).agg(F.count("*").alias("n"), F.sum(s).alias("s"), F.sum(s * s).alias("q")).first()
+    sums = scored.select("_id", "score").join(ids.hint("merge"), F.col("_id") == F.col("_trusted")).agg(F.count("*").alias("n"), F.sum(s).alias("s"), F.sum(s * s).alias("q")).first()
     least = None
     if sums["n"]:
         mean = float(sums["s"]) / sums["n"]

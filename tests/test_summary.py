@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from threadloom.operators import lineage
 
 
@@ -56,3 +58,17 @@ def test_summary_equals_a_walk(spark):
 
 def test_nothing_gives_nothing(spark):
     assert lineage.summary(spark.createDataFrame([], "tree int, node long, parent long, status string, kept boolean")).count() == 0
+
+
+def test_nodes_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(n):
+        seen.add(1)
+        return n
+
+    rows = [(1, n, n - 1 if n > 1 else None, "accepted", n % 5 == 0) for n in range(1, 101)]
+    nodes = spark.createDataFrame(rows, "tree int, node long, parent long, status string, kept boolean")
+    assert lineage.summary(nodes.withColumn("node", counted("node"))).count() > 0
+    assert seen.value == 100

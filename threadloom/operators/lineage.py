@@ -125,6 +125,8 @@ def summary(nodes: DataFrame) -> DataFrame:
     Runs and reach come from two rounds of doubling over links between neighbours, so a chain of any length takes as many joins
     as its length's logarithm.
     """
+    # many branches of the plan read the nodes, which are worked out once
+    nodes = cut(nodes.select("tree", "node", "parent", "status", "kept"))
     root = nodes.filter("parent is null").groupBy("tree").agg(F.min("node").alias("_root"))
     own = nodes.select("tree", "node", "parent", "status", "kept").join(root, "tree")
     own = own.select("tree", "node", "parent", "_root", (F.col("status") == "abandoned").alias("_off"), (F.coalesce("kept", F.lit(False)) | (F.col("node") == F.col("_root"))).alias("_kept"))

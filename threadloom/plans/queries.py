@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import constraints, secrets, text as T
 from ..operators import concerns, failures, lineage, redaction, references, sequence, stats
-from ..shared import spread
+from ..shared import cut, spread
 from . import analysis, concern_sql, secret_sql
 from .synthetic import FIELDS_SQL, FILES, PLANTED_SQL, REPEATED_SQL, RULED_SQL, SQL, fields, planted, repeated_turns, ruled_turns, turns
 
@@ -62,9 +62,9 @@ def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's turns as a tree: a turn's parent is half its number, or every seventh the turn before."""
+    """Each user's turns as a tree: a turn's parent is half its number, or every seventh the turn before. Written out, as the queries read it many times."""
     own = sequence.numbered(turns(spark, sf_dir), KEY, ORDER, "node")
-    return own.select("tree", C("node").cast("long").alias("node"), F.when(C("node") == 1, None).when(C("node") % 7 == 0, C("node") - 1).otherwise(F.expr("node div 2")).cast("long").alias("parent"))
+    return cut(own.select("tree", C("node").cast("long").alias("node"), F.when(C("node") == 1, None).when(C("node") % 7 == 0, C("node") - 1).otherwise(F.expr("node div 2")).cast("long").alias("parent")))
 
 
 FOREST_SQL = f"""with recursive t as ({SQL}), n0 as (select tree, row_number() over (partition by tree order by ts, event_id) as node from t),

@@ -120,6 +120,17 @@ def test_pii_adds_spans_and_redacts(spark):
     assert pii.judge(empty(spark)).count() == 0
 
 
+def test_thresholds_count_all_documents(spark, monkeypatch):
+    docs = documents(spark, [f"see {x} now {i}" for i in range(600) for x in personal(i).values()])
+    seen, bounds_of = [], pii.bounds_of
+    monkeypatch.setattr(pii, "bounds_of", lambda cells: seen.append(cells) or bounds_of(cells))
+    pii.fit(docs, max_docs=200)
+    apart = {k: sum(n for (kind, label, own, step), n in seen[0].items() if kind == k and label == 1 and not own and step >= 0) for k in pii.KINDS}
+    # all but some 150 of 2,400 texts, each with a slip, tell the thresholds; base spans are those of all
+    assert min(apart.values()) >= 450, apart
+    assert all(seen[0][k, 2, True, -1] >= 600 for k in pii.KINDS)
+
+
 def test_slips_are_candidates_and_look_alikes_are_not_base():
     seen = Counter()
     for i in range(400):

@@ -8,9 +8,10 @@ slips: in the surroundings of base spans of the corpus, the span is written in a
 range, prose; label 0). Candidates of the corpus that aren't base spans are of label 1 only if they are spelled in brackets
 and read as a base span when written plainly; all others are of label 0, so numbers that fail the check digit are left alone.
 
-Thresholds by kind are set on documents apart, as the least probability above which PRECISION of the candidates are real.
-There, the corpus's own candidates weigh as their number over all documents, which Spark counts, and slips as SLIPS times the
-number of base spans of their kind. Below MIN_SEEN slips nothing is added for the kind.
+Thresholds by kind are set on all documents but those that the trees were fitted on, as the least probability, in steps of
+1 / PARTS, above which PRECISION of the candidates are real; Spark counts candidates by step. The corpus's own candidates weigh
+as their number over all documents, and slips as SLIPS times the number of base spans of their kind. Below MIN_SEEN slips
+nothing is added for the kind.
 
 The trees are fitted on at most MAX_DOCS distinct texts, picked by hash, and MAX_EACH candidates of a kind and label in each;
 all documents' whole texts are then searched, row by row, without a shuffle.
@@ -43,6 +44,8 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_DOCS, MAX_EACH = 4000, 8
 #: What is asked of a threshold and its least value, the share of slips assumed among base spans, and the slips it must be seen on.
 PRECISION, LEAST, SLIPS, MIN_SEEN = 0.97, 0.5, 0.1, 12
+#: Steps of the probabilities that are counted.
+PARTS = 1000
 #: Characters around a candidate that its features look at.
 NEAR = 24
 
@@ -277,29 +280,66 @@ class Finder:
         return out
 
 
-def _bound(likely: np.ndarray, real: np.ndarray, weight: np.ndarray) -> float | None:
-    """The least probability at and above which PRECISION of the weighed candidates are real; None if too few are seen."""
+def _bound(likely: np.ndarray, real: np.ndarray, n: np.ndarray, weight: np.ndarray) -> float | None:
+    """The least probability at and above which PRECISION of the weighed candidates are real; None if too few are seen. A row stands for n candidates."""
     order = np.argsort(-likely, kind="stable")
-    right, every, seen = np.cumsum((real * weight)[order]), np.cumsum(weight[order]), np.cumsum(real[order])
+    right, every, seen = np.cumsum((real * weight)[order]), np.cumsum(weight[order]), np.cumsum((real * n)[order])
     last = np.flatnonzero(np.r_[np.diff(likely[order]) != 0, True])
     good = [i for i in last if right[i] >= PRECISION * every[i] and seen[i] >= MIN_SEEN]
     return max(LEAST, float(likely[order][good[-1]])) if good else None
 
 
-def counted(docs: DataFrame) -> dict[tuple[str, int], int]:
-    """How many candidates all documents have by kind and label; base spans have label 2."""
+def judged(docs: DataFrame, trees: BoostedTrees, trained: set[int]) -> dict[tuple[str, int, bool, int], int]:
+    """How many examples all documents have by kind, label, whether of the corpus, and probability in steps of 1 / PARTS.
+
+    The step is -1 in texts that the trees were fitted on, by hash; base spans have label 2 and step -1.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             n: Counter = Counter()
-            for text in batch["text"]:
-                base = base_spans(text)
-                n.update((s[0], 2) for s in base)
-                n.update((s[0], natural_label(text, s)) for s in beside_base(text, base))
-            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["kind", "label", "n"])
-
-    rows = docs.select("text").filter(F.col("text").rlike(r"[0-9@]| at |[\[({]at[\])}]"))
-    return {(r["kind"], r["label"]): r["n"] for r in rows.mapInPandas(run, "kind string, label int, n long").groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}
+            for a, b in slices([len(t) for t in batch["text"]]):
+                keys, rows = [], []
+                for h, text in zip(batch["h"][a:b], batch["text"][a:b]):
+                    base = base_spans(text)
+                    n.update((s[0], 2, True, -1) for s in base)
+                    if h in trained:
+                        n.update((s[0], natural_label(text, s), True, -1) for s in beside_base(text, base))
+                        continue
+                    for *key, x in examples(text, len(text) + 1):
+                        keys.append(key)
+                        rows.append(x)
+                if rows:
+                    steps = np.floor(trees.predict(np.array(rows, float)) * PARTS).astype(int).tolist()
+                    n.update((*key, step) for key, step in zip(keys, steps))
+            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["kind", "label", "own", "step", "n"])
+
+    own = docs.select("text", F.xxhash64("text").alias("h")).filter(F.col("text").rlike(r"[0-9@]| at |[\[({]at[\])}]"))
+    cells = own.mapInPandas(run, "kind string, label int, own boolean, step int, n long").groupBy("kind", "label", "own", "step")
+    return {(r["kind"], r["label"], r["own"], r["step"]): r["n"] for r in cells.agg(F.sum("n").alias("n")).collect()}
+
+
+def bounds_of(cells: dict[tuple[str, int, bool, int], int]) -> dict[str, float]:
+    """The kinds' thresholds, from what judged() counts."""
+    bounds = {}
+    for kind in KINDS:
+        own = [(label, real, step, n) for (k, label, real, step), n in cells.items() if k == kind and label < 2 and step >= 0]
+        if not own:
+            continue
+        # what stands for the corpus's own candidates weighs as they all do, and slips as their share of base spans
+        totals: Counter = Counter()
+        for (k, label, real, _), n in cells.items():
+            if k == kind and label < 2 and real:
+                totals[label, True] += n
+        seen: Counter = Counter()
+        for label, real, _, n in own:
+            seen[label, real] += n
+        totals |= {(label, False): SLIPS * cells.get((kind, 2, True, -1), 0) for label in (0, 1)}
+        label, real, step, n = zip(*own)
+        weight = np.array([totals[g] / seen[g] * k for g, k in zip(zip(label, real), n)])
+        if (bound := _bound(np.array(step) / PARTS, np.array(label, float), np.array(n), weight)) is not None:
+            bounds[kind] = bound
+    return bounds
 
 
 def sampled(docs: DataFrame, limit: int) -> DataFrame:
@@ -311,7 +351,7 @@ def sampled(docs: DataFrame, limit: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_each: int = MAX_EACH) -> Finder:
-    """Trees from the candidates of at most max_docs texts; a quarter of the texts sets the bounds."""
+    """Trees from the candidates of at most max_docs texts, but for a quarter of these; bounds from all documents that the trees weren't fitted on."""
 
     @F.pandas_udf("array<struct<kind:string,label:int,own:boolean,x:array<double>>>")
     def propose(texts: pd.Series) -> pd.Series:
@@ -325,19 +365,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_each: int = MAX_EACH) ->
         return Finder(None, {})
     x = np.array(found["x"].tolist(), float)
     trees = BoostedTrees(trees=100, depth=5).fit(x[~apart], y[~apart])
-    likely = trees.predict(x[apart])
-    full, bounds = counted(docs), {}
-    check = found[apart].assign(likely=likely)
-    for kind in KINDS:
-        own = check[check["kind"] == kind]
-        # what stands for the corpus's own candidates weighs as they all do, and slips as their share of base spans
-        totals = {(label, True): full.get((kind, label), 0) for label in (0, 1)} | {(label, False): SLIPS * full.get((kind, 2), 0) for label in (0, 1)}
-        groups = list(zip(own["label"], own["own"]))
-        n = Counter(groups)
-        weight = np.array([totals[g] / n[g] for g in groups])
-        if len(own) and (bound := _bound(own["likely"].to_numpy(), own["label"].to_numpy(float), weight)) is not None:
-            bounds[kind] = bound
-    return Finder(trees, bounds)
+    return Finder(trees, bounds_of(judged(docs, trees, set(found["h"][~apart].tolist()))))
 
 
 def spelled(spans: list[Span]) -> str:

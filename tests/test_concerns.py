@@ -113,3 +113,13 @@ def test_actions_of_one_row_group_are_dealt(spark, tmp_path):
 def test_rules_of_one_row_group_are_dealt(spark):
     own = queries.constraint_ranking(spark, "/root/testdata/sf0.001")
     assert "REPARTITION_BY_NUM" in own._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_actions_are_looked_into_once(spark):
+    """Actions of the same values are one row for the patterns, however many turns have them; each turn keeps its own order."""
+    rows = [(t, o, s, f, c, None, None) for t in "ab" for o in (1, 2) for s, f, c in [(o, "src/auth/login.ts", "ls"), (3 - o, None, "chmod 777 x")]]
+    own = concerns.touching(spark.createDataFrame([(*r, "clash") for r in rows], ACTION))
+    assert "keys=[file" in own._jdf.queryExecution().executedPlan().toString()
+    got = {(r["tree"], r["ord"]): ([a["kind"] for a in r["acts"]], r["key"]) for r in own.collect()}
+    first, second = ["file", "access-control", "risky-command"], ["access-control", "risky-command", "file"]
+    assert got == {(t, o): (first if o == 1 else second, "src/auth/login.ts") for t in "ab" for o in (1, 2)}

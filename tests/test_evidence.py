@@ -171,3 +171,31 @@ def test_small_files_with_many_words_are_dealt(trees, spark, tmp_path):
     nodes = spark.read.parquet(str(tmp_path / "nodes"))
     assert not sent_whole(evidence.naming(evidence.with_words(nodes)))
     assert not sent_whole(evidence.correction_after(nodes))
+
+
+def test_what_is_next_door_costs_no_rounds(trees, monkeypatch):
+    """Trees no longer than the turns that are looked through one by one need no search by words and keys."""
+    def never(*args, **kwargs):
+        raise AssertionError("searched whole trees")
+
+    monkeypatch.setattr(evidence, "nearest", never)
+    own = evidence.looked_up(trees[1], tuple(evidence.LOOKED_FOR), listed=True)
+    assert own.count() == len(trees[0]) and own.filter("on or back").count() == 0
+    asked = trees[1].select("tree", F.col("ord").alias("id"), "ord", F.lit(None).cast("long").alias("corrector"))
+    assert evidence.accepted_after(trees[1], asked, own).count() == len(trees[0])
+
+
+def test_what_is_further_away_is_found_too(trees, monkeypatch):
+    monkeypatch.setattr(evidence, "NEXT_DOOR", 3)
+    monkeypatch.setattr(evidence, "AT_A_TIME", (1, 2))
+    rows, nodes = trees
+    wanted = {"correction": lambda b: b[4] == "correction", "secured": lambda b: False, "later": lambda b: True, "earlier": lambda b: True}
+    expected = {}
+    for t, own in by_tree(rows).items():
+        for a in own:
+            for name, fit in wanted.items():
+                side = [b for b in reversed(own) if b[1] < a[1]] if name == "earlier" else [b for b in own if b[1] > a[1]]
+                expected[t, a[1], name] = next((b[1] for b in side if b[5] != "abandoned" and fit(b) and shares(a, b)), None)
+    found = evidence.looked_up(nodes, tuple(wanted))
+    assert {(x["tree"], x["ord"], name): x[name] for x in found.collect() for name in wanted} == expected
+    test_accepted_after(trees)

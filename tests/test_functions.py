@@ -1,5 +1,7 @@
 """Turn texts, secrets and titles, case by case."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,18 @@ def test_every_kind_of_secret_is_masked_and_gated(spark):
             assert rule == "escaped" or f"[REDACTED:{rule}]" in out[rule]["t"], (rule, out[rule]["t"])
     found = {(r["id"], r["rule"]) for r in secrets.findings(rows, "id", "text").collect()}
     assert ("email", "email") in found and ("escaped", "secret-assignment") in found
+
+
+@pytest.mark.parametrize(
+    "pattern, opens",
+    [
+        (r"\bfoo\b", True), (r"\b(?:don'?t|never)\b", True), (r"\b[a-z]+x", True), (r"\b(?:a?b|c)", False), (r"\b(?:full )?audit", False), (r"\b[a-z-]", False), (r"x\b", False), (r"(?:\b|x)a", False), (r"\b(?:a|(?:b|[^c]))", False), (r"\ba|\bb", True),
+    ],
+)
+def test_word_edges(spark, pattern, opens):
+    """A word's beginning is one look back, where a word can only begin there; what is found is the same."""
+    edges = T.ascii_edges(pattern)
+    assert (T.OPENING in edges.replace(T.EDGE, "")) is opens
+    texts = ["foo", "éfoo", "_foo", "a foo b", "Never", "xb", "b", "ab", "audit", "full audit", "xaudit", "x", "-a", "", "c-b", "don't"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["m"] for r in df.select(T.matches(F.col("t"), pattern).alias("m")).collect()] == [re.search(pattern, t, re.I | re.A) is not None for t in texts]

@@ -2,19 +2,60 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
 from .spans import BLANKS, EDGE
 
+#: A word's edge where a word begins: one look back, where EDGE takes up to four looks at each place of a text.
+OPENING = r"(?<![A-Za-z0-9_])"
+WORD_CLASS = r"\[(?:a-z|A-Z|0-9|[A-Za-z0-9_](?!-))+\]"
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """A pattern's alternatives outside of its groups, up to the end of the group that it stands in."""
+    out, depth, start, i = [], 0, 0, 0
+    while i < len(pattern) and depth >= 0:
+        c = pattern[i]
+        if c == "[":
+            i += 2 if pattern[i + 1] == "^" else 1
+            i += pattern[i] == "]"
+            while pattern[i] != "]":
+                i += 2 if pattern[i] == "\\" else 1
+        depth += (c == "(") - (c == ")")
+        if depth < 0 or (c == "|" and depth == 0):
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 2 if c == "\\" else 1
+    return out if depth < 0 else [*out, pattern[start:]]
+
+
+def _opens_word(pattern: str) -> bool:
+    """Whether all that the pattern matches begins with an ASCII letter, a digit or _; false where that isn't plain to see."""
+    head = re.match(r"\(\?:|\((?!\?)", pattern)
+    if head:
+        inner = _alternatives(pattern[head.end():])
+        then = pattern[head.end() + sum(map(len, inner)) + len(inner):]
+        return then[:1] not in ("?", "*", "{") and all(map(_opens_word, inner))
+    first = re.match(rf"[A-Za-z0-9_]|{WORD_CLASS}", pattern)
+    return first is not None and pattern[first.end():first.end() + 1] not in ("?", "*", "{")
+
+
 def ascii_edges(pattern: str) -> str:
-    return pattern.replace(r"\b", EDGE)
+    r"""The pattern with \b over ASCII alone."""
+    return re.sub(r"\\b", lambda m: OPENING if _opens_word(_alternatives(pattern[m.end():])[0]) else EDGE, pattern)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Whether the pattern is found, in either case; false for null."""
-    return F.coalesce(text.rlike(f"(?i){ascii_edges(pattern)}"), F.lit(False))
+    plain = ascii_edges(pattern)
+    parts = _alternatives(plain)
+    if len(parts) > 1 and all(p.startswith(OPENING) for p in parts):
+        plain = OPENING + "(?:" + "|".join(p[len(OPENING):] for p in parts) + ")"
+    return F.coalesce(text.rlike(f"(?i){plain}"), F.lit(False))
 
 
 def first_match(text: Column, named: tuple[tuple[str, str], ...]) -> Column:

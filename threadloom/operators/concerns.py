@@ -13,10 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import security as S
 from ..functions import text as T
 from ..shared import cut, dealt, spread
-from .evidence import Evidence, accepted_after, correction_after, gathered, nearest
+from .evidence import looked_up
 from .failures import tier_rank
 
 # Kinds of what is touched with what they are called as signals, kinds that show content, the scale of confidence.
@@ -28,6 +29,9 @@ CONTENT = ("credential", "credential-mishandling", "access-control", "safety-gat
 NAME_ONLY = ("file", "risky-command")
 SCALE = (("verified", 0.95, 0.95), ("high", 0.84, 0.9), ("inferred", 0.62, 0.7))
 EACH_MORE = 0.02
+#: What an action is told by, and the fields of what it touches, after its place.
+VALUES = ("file", "command", "input", "narration")
+TOUCH = ("rank", "kind", "strong", "weak", "evidence", "file", "said", "key")
 #: Later turns that may name a remedy.
 REACH = 12
 
@@ -35,7 +39,7 @@ C = F.col
 
 
 def _touched() -> Column:
-    """What one action touches, in order: structs of late (0 before all others), seq, rank, kind, strong, weak, evidence, file and said; of the columns that touching() makes."""
+    """What an action of some values touches, in order: structs of late (0 before all others) and of TOUCH; of the columns that touching() makes."""
     body, clause, opened = C("_body"), C("_clause"), C("_opened")
     found = (
         ("credential-mishandling", clause.isNotNull(), True, False),
@@ -47,11 +51,12 @@ def _touched() -> Column:
         ("safety-gate-weakening", S.weakens_gate(body), False, True),
     )
     shown = F.coalesce(*(F.nullif(C(c), F.lit("")) for c in ("file", "command", "input")), F.lit(""))
+    key = F.when(S.is_credential_file(C("file")) | C("_s").isNotNull(), file_key(C("file")))
     rows = []
     for i, (kind, met, strong, weak) in enumerate(found):
         evidence = F.coalesce(F.nullif(clause, F.lit("")), shown) if i == 0 else shown
         said = F.concat_ws(" ", clause, body) if i == 0 else body
-        row = F.struct(F.lit(min(i, 1)).alias("late"), C("seq"), F.lit(i).alias("rank"), F.lit(kind).alias("kind"), F.lit(strong).alias("strong"), F.lit(weak).alias("weak"), evidence.alias("evidence"), F.nullif(C("file"), F.lit("")).alias("file"), said.alias("said"))
+        row = F.struct(F.lit(min(i, 1)).alias("late"), F.lit(i).alias("rank"), F.lit(kind).alias("kind"), F.lit(strong).alias("strong"), F.lit(weak).alias("weak"), evidence.alias("evidence"), F.nullif(C("file"), F.lit("")).alias("file"), said.alias("said"), key.alias("key"))
         rows.append(F.when(met, row))
     return F.array_compact(F.array(*rows))
 
@@ -66,18 +71,21 @@ def touching(actions: DataFrame) -> DataFrame:
     The key is the first file that is a credential's or lies on a surface, of strong acts if there is one; the stem is the
     credential that a turn without such a file speaks of. Only a turn's first mishandled credential counts.
     """
+    # an action is told by its values, and many have the same ones: these are looked into once, dealt to all tasks
+    values = [F.coalesce(C(c), F.lit("")).alias(c) for c in VALUES]
+    each = actions.select("tree", "ord", "seq", *values)
+    own = spread(each.select(*VALUES).distinct())
     # each value that is used again is a column
-    own = spread(actions.select("tree", "ord", "seq", "file", "command", "input", "narration"), "tree", "ord")
-    own = own.withColumn("_body", F.concat_ws(" ", F.coalesce("command", F.lit("")), F.coalesce("input", F.lit(""))))
-    clause = S.mishandled_credential(F.concat_ws(" ", F.coalesce("narration", F.lit("")), C("_body")))
-    own = own.withColumns({"_clause": clause, "_opened": S.public_exposure(C("_body")).isNotNull() | T.matches(C("_body"), S.ACCESS_CONTENT)})
-    own = own.select("tree", "ord", "seq", _touched().alias("_a"), T.security_surface(C("file")).alias("_s"))
+    own = own.withColumn("_body", F.concat_ws(" ", "command", "input"))
+    clause = S.mishandled_credential(F.concat_ws(" ", "narration", "_body"))
+    own = own.withColumns({"_s": T.security_surface(C("file")), "_clause": clause, "_opened": S.public_exposure(C("_body")).isNotNull() | T.matches(C("_body"), S.ACCESS_CONTENT)})
+    own = own.select(*VALUES, _touched().alias("_v"), "_s")
+    own = dealt(each, own, list(VALUES)).select("tree", "ord", "seq", F.transform("_v", lambda v: F.struct(v["late"].alias("late"), C("seq").alias("seq"), *(v[c].alias(c) for c in TOUCH))).alias("_a"), "_s")
     turn = own.groupBy("tree", "ord").agg(F.sort_array(F.flatten(F.collect_list("_a"))).alias("_a"), F.min_by("_s", F.when(C("_s").isNotNull(), C("seq"))).alias("surface"))
     turn = turn.filter(F.size("_a") > 0).withColumn("acts", F.filter("_a", lambda a, i: (i == 0) | (a["kind"] != "credential-mishandling")))
-    keyed = lambda a: S.is_credential_file(a["file"]) | T.security_surface(a["file"]).isNotNull()
-    files = F.filter("acts", keyed)
+    files = F.filter("acts", lambda a: a["key"].isNotNull())
     first = F.coalesce(F.try_element_at(F.filter(files, lambda a: a["strong"]), F.lit(1)), F.try_element_at(files, F.lit(1)))
-    turn = turn.withColumn("key", file_key(first["file"]))
+    turn = turn.withColumn("key", first["key"])
     stem = T.first_match(F.array_join(F.transform("acts", lambda a: a["said"]), " "), S.STEMS)
     return turn.select("tree", "ord", "acts", "surface", "key", F.when(C("key").isNull(), stem).alias("stem"))
 
@@ -99,7 +107,7 @@ def scored(touched: DataFrame) -> DataFrame:
 
 
 def let_through(turns: DataFrame) -> DataFrame:
-    """The turns of a tree that count, of turns with tree, ord, acts (null where nothing is touched) and text.
+    """The turns of a tree that count, of turns with tree, ord, acts (null where nothing is touched) and secures (whether a person corrects something about security).
 
     One that shows but a name or a risky command counts only if it is the first such, or if no content and no correction by a
     person came before it.
@@ -109,67 +117,73 @@ def let_through(turns: DataFrame) -> DataFrame:
     acts = F.coalesce("acts", F.filter("acts", lambda a: F.lit(False)))
     named = C("acts").isNotNull() & F.forall(acts, lambda a: a["kind"].isin(*NAME_ONLY))
     content = F.coalesce(F.exists("acts", lambda a: a["kind"].isin(*CONTENT)), F.lit(False))
-    marked = turns.withColumns({"_named": named, "_sure": content | S.is_security_correction(C("text"))})
+    marked = turns.withColumns({"_named": named, "_sure": content | C("secures")})
     marked = marked.withColumns({"_first": ~seen(C("_named")), "_calm": ~seen(C("_sure"))})
     return marked.filter(C("acts").isNotNull() & (~C("_named") | C("_first") | C("_calm"))).drop("_named", "_sure", "_first", "_calm")
 
 
-def security_correction_after(nodes: DataFrame, askers: DataFrame, known: Evidence | None = None) -> DataFrame:
-    """(tree, ord, found): for turns the nearest later one in which a person corrects something about security and shares evidence, else null."""
-    asked = askers.select("tree", C("ord").alias("id"), "ord", C("ord").alias("at"))
-    wanted = (C("status") != "abandoned") & S.is_security_correction(C("text"))
-    return nearest(nodes, asked, wanted, known=known).select("tree", C("id").alias("ord"), "found")
+def remedies_ahead(nodes: DataFrame, reach: int = REACH) -> DataFrame:
+    """nodes with told: structs of ord and text of the next live turns, up to reach, that name a remedy, in order."""
+    live = C("status") != "abandoned"
+    upto = Window.partitionBy("tree").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    named = T.matches(C("text"), "|".join(p for p, _ in P.REMEDIES))
+    own = nodes.withColumns({"_rank": F.count(F.when(live, 1)).over(upto), "_told": F.when(live & named, F.struct("ord", "text"))})
+    ahead = Window.partitionBy("tree").orderBy("_rank").rangeBetween(1, reach)
+    return own.withColumn("told", F.sort_array(F.collect_list("_told").over(ahead))).drop("_rank", "_told")
+
+
+def _remedies(told: Column, corrector: Column) -> Column:
+    return F.array_join(F.transform(F.filter(told, lambda t: corrector.isNull() | (t["ord"] != corrector)), lambda t: t["text"]), " ")
 
 
 def remedy_texts(nodes: DataFrame, failures: DataFrame, reach: int = REACH) -> DataFrame:
     """(tree, ord, remedies): the texts of the next live turns, up to reach, that name a remedy, joined in order; the failure's corrector is left out.
 
-    failures has tree, ord and corrector (an ord or null). Turns are met by their rank, so a failure meets reach rows at most.
+    failures has tree, ord and corrector (an ord or null).
     """
-    w = Window.partitionBy("tree").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = nodes.withColumn("_rank", F.count(F.when(C("status") != "abandoned", 1)).over(w)).select("tree", "ord", "status", "text", "_rank")
-    later = ranked.filter((C("status") != "abandoned") & (T.remedies(C("text")) != "")).select("tree", C("ord").alias("_ord"), C("text").alias("_text"), "_rank")
-    steps = F.explode(F.sequence(F.lit(1), F.lit(reach)))
-    asked = dealt(failures.select("tree", "ord", "corrector"), ranked.select("tree", "ord", C("_rank").alias("_own")), ["tree", "ord"])
-    met = dealt(asked.withColumn("_step", steps).withColumn("_rank", C("_own") + C("_step")), later, ["tree", "_rank"])
-    met = met.filter(C("corrector").isNull() | (C("corrector") != C("_ord")))
-    told = met.groupBy("tree", "ord").agg(F.sort_array(F.collect_list(F.struct("_rank", "_text"))).alias("_t"))
-    return told.select("tree", "ord", F.array_join(F.transform("_t", lambda t: t["_text"]), " ").alias("remedies"))
+    met = dealt(failures.select("tree", "ord", "corrector"), remedies_ahead(nodes, reach).select("tree", "ord", "told"), ["tree", "ord"])
+    return met.select("tree", "ord", _remedies(C("told"), C("corrector")).alias("remedies")).filter("remedies <> ''")
 
 
-def counted_turns(nodes: DataFrame, actions: DataFrame) -> DataFrame:
-    """The turns whose actions count, with what they touch, written out."""
-    return cut(let_through(dealt(nodes.select("tree", "ord", "text", "kind"), touching(actions), ["tree", "ord"], "left")))
+#: What concerns look for around a turn, of evidence.LOOKED_FOR, and what they need of the turn itself.
+WANTED, KEPT = ("correction", "secured", "later"), ("kind", "told")
 
 
-def concerns(nodes: DataFrame, actions: DataFrame, counted: DataFrame | None = None, known: Evidence | None = None) -> DataFrame:
-    """One row for each concern of a tree: ord (its first turn), tier and confidence (the highest of its turns), turns, key, stem, kinds, evidence, corrector, resolved, summary and remedies.
+def counted_turns(known: DataFrame, actions: DataFrame) -> DataFrame:
+    """The turns whose actions count, with what they touch and what was looked up for them; known is what looked_up() has for remedies_ahead() of nodes, with WANTED and KEPT."""
+    turns = known.select("tree", "ord", "secures", "accepting", *WANTED, *KEPT)
+    return let_through(dealt(turns, touching(actions), ["tree", "ord"], "left"))
 
-    Turns about the same file, or else the same credential, are one concern; a turn about neither is its own. What a concern
-    says, and what corrects it, is its first turn's. counted are the turns that count, and known what evidence.gathered has for nodes, if they are there already.
-    """
-    if counted is None:
-        nodes = cut(nodes)
-        counted = counted_turns(nodes, actions)
-    known = gathered(nodes) if known is None else known
-    human = security_correction_after(nodes, counted.filter("kind <> 'correction'"), known).filter("found is not null").select("tree", "ord", F.lit(True).alias("_human"))
-    own = scored(dealt(counted, human, ["tree", "ord"], "left").withColumn("human", F.coalesce("_human", F.lit(False))).drop("_human"))
+
+def merged(counted: DataFrame) -> DataFrame:
+    """concerns() without summary, of counted turns."""
+    human = F.coalesce((C("kind") != "correction") & C("secured").isNotNull(), F.lit(False))
+    own = scored(counted.withColumn("human", human))
     kinds = F.array_distinct(F.transform("acts", lambda a: a["kind"]))
     shown = F.slice(F.array_distinct(F.transform("acts", lambda a: a["evidence"])), 1, 3)
     quoted = F.array_join(F.transform(shown, lambda t: F.concat(F.lit('"'), T.truncate(t, 80), F.lit('"'))), ", ")
     evidence = F.concat(F.lit("Agent action touched "), F.array_join(kinds, ", "), F.lit(" [signals: "), F.array_join("signals", "; "), F.lit("]: "), quoted)
     about = F.coalesce(F.concat(F.lit("f:"), C("key")), F.concat(F.lit("s:"), C("stem")), F.concat(F.lit("t:"), C("ord").cast("string")))
-    own = own.select("tree", "ord", "kind", "key", "stem", "tier", "confidence", F.array_join(kinds, ",").alias("kinds"), evidence.alias("evidence"), about.alias("_about"))
-    first = lambda c: F.min_by(c, "ord").alias(c)
-    merged = own.groupBy("tree", "_about").agg(F.min("ord").alias("_ord"), F.max("confidence").alias("confidence"), F.max_by("tier", tier_rank(C("tier"))).alias("tier"), F.count("*").alias("turns"), *map(first, ("kind", "key", "stem", "kinds", "evidence")))
-    merged = cut(merged.withColumnRenamed("_ord", "ord").drop("_about"))
-    by = correction_after(nodes, known)
-    merged = dealt(merged, by, ["tree", "ord"], "left").withColumn("corrector", F.when(C("kind") != "correction", C("corrector")))
-    accepted = accepted_after(nodes, merged.select("tree", C("ord").alias("id"), "ord", F.lit(None).cast("long").alias("corrector")), known).select("tree", C("id").alias("ord"), C("accepted").alias("resolved"))
-    merged = dealt(dealt(merged, accepted, ["tree", "ord"], "left"), remedy_texts(nodes, merged), ["tree", "ord"], "left")
+    corrector = F.when(C("kind") != "correction", C("correction"))
+    own = own.withColumns({"kinds": kinds, "_about": about, "corrector": corrector, "resolved": F.coalesce("later", "accepting")})
+    first = F.struct("ord", "key", "stem", "kinds", "corrector", "resolved", "told", "acts", "signals")
+    best = own.groupBy("tree", "_about").agg(F.min_by(first, "ord").alias("_f"), F.max("confidence").alias("confidence"), F.max_by("tier", tier_rank(C("tier"))).alias("tier"), F.count("*").alias("turns"))
+    best = best.select("tree", "tier", "confidence", "turns", "_f.*").withColumns({"remedies": _remedies(C("told"), C("corrector")), "evidence": evidence})
+    return best.select("tree", "ord", "tier", "confidence", "turns", "key", "stem", F.array_join("kinds", ",").alias("kinds"), "evidence", "corrector", "resolved", "remedies")
+
+
+def concerns(nodes: DataFrame, actions: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """One row for each concern of a tree: ord (its first turn), tier and confidence (the highest of its turns), turns, key, stem, kinds, evidence, corrector, resolved, summary and remedies.
+
+    Turns about the same file, or else the same credential, are one concern; a turn about neither is its own. What a concern
+    says, and what corrects it, is its first turn's. counted are the turns that count, if they are there already.
+    """
+    if counted is None:
+        nodes = cut(nodes)
+        counted = counted_turns(looked_up(remedies_ahead(nodes), WANTED, KEPT), actions)
     titles = nodes.select("tree", "ord", T.title(C("text")).alias("_title"))
     texts = nodes.select("tree", C("ord").alias("corrector"), C("text").alias("_by"))
-    merged = dealt(dealt(merged, titles, ["tree", "ord"], "left"), texts, ["tree", "corrector"], "left")
+    found = dealt(dealt(merged(counted), titles, ["tree", "ord"], "left"), texts, ["tree", "corrector"], "left")
     near = F.concat(F.lit('An agent action touched auth, secrets, or access control near "'), T.truncate(C("_title"), 90), F.lit('"'))
     summary = F.concat(near, F.when(C("corrector").isNotNull(), F.concat(F.lit('; corrected by: "'), T.quote(C("_by")), F.lit('".'))).otherwise("."))
-    return merged.select("tree", "ord", "tier", "confidence", "turns", "key", "stem", "kinds", "evidence", "corrector", "resolved", F.coalesce("remedies", F.lit("")).alias("remedies"), summary.alias("summary"))
+    return found.withColumn("summary", summary).drop("_title", "_by")

@@ -1,10 +1,12 @@
 """Turns that speak of the same thing, and the nearest of them before or after a turn.
 
 Two turns of a tree share evidence if their tool calls touch the same file, if one names a file that the other touches, if
-both have a word of a security surface, or if they have three words or more in common. All but the last are equal keys: what
-each key was last or next seen with comes from one pass over the key's turns in order, so no pairs are made. Common words are
-looked for from the nearest turn outwards, in rounds that reach further, and only where nothing nearer is known; turns that
-share words with none of a long tree are held against all turns that have one of their words.
+both have a word of a security surface, or if they have three words or more in common. Most turns share with one close by, so
+looked_up() holds each against the turns within NEXT_DOOR of it, in one pass over the trees in order for all look-ups. Only trees
+with turns that found nothing there, and that go on beyond, are looked through whole, by nearest(). All but common words are equal
+keys there: what each key was last or next seen with comes from one pass over the key's turns in order, so no pairs are made.
+Common words are looked for from the nearest turn outwards, in rounds that reach further, and only where nothing nearer is known;
+turns that share words with none of a long tree are held against all turns that have one of their words.
 
 nodes has tree, ord (unique in a tree), text, files (an array) and, where known, narration. Nulls are empty.
 
@@ -36,6 +38,8 @@ DATA_BACK = r"\b(?:restore|re[\s-]?seed|recover|recreate|bring (?:it|them) back|
 LEAST_WORDS = 3
 #: Letters by which file names are looked up; names have as many at least. Turns that the first round of common words looks through, and how many times as far each next one reaches.
 GRAM, NEAR, FURTHER = 4, 16, 4
+#: Turns on each side that a turn is held against one by one, and how many of them at a time until one is found.
+NEXT_DOOR, AT_A_TIME = 64, (4, 12, 48)
 
 
 def accepts(text: Column) -> Column:
@@ -156,20 +160,96 @@ def nearest(nodes: DataFrame, askers: DataFrame, wanted: Column, after: bool = T
     return dealt(askers.select("tree", "id"), nearest_found, ["tree", "id"], "left")
 
 
-def correction_after(nodes: DataFrame, known: Evidence | None = None) -> DataFrame:
-    """(tree, ord, corrector): the nearest later correction that shares evidence; nodes has kind and status."""
-    asked = nodes.select("tree", F.col("ord").alias("id"), "ord", F.col("ord").alias("at"))
-    return nearest(nodes, asked, (F.col("status") != "abandoned") & (F.col("kind") == "correction"), known=known).select("tree", F.col("id").alias("ord"), F.col("found").alias("corrector"))
+def shares(a: Column, b: Column) -> Column:
+    """Whether two turns share evidence; both are structs of files, bases, words, surface and said, the lower-case text."""
+    named = F.exists(a["bases"], lambda n: F.contains(b["said"], n)) | F.exists(b["bases"], lambda n: F.contains(a["said"], n))
+    return F.arrays_overlap(a["files"], b["files"]) | F.arrays_overlap(a["surface"], b["surface"]) | (F.size(F.array_intersect(a["words"], b["words"])) >= LEAST_WORDS) | named
 
 
-def failure_target(nodes: DataFrame, known: Evidence | None = None) -> DataFrame:
+def _first_shared(turns: Column, own: Column) -> Column:
+    """The ord of the first of some turns that shares evidence, by few at a time."""
+    found, at = [], 1
+    for n in AT_A_TIME:
+        found.append(F.try_element_at(F.filter(F.slice(turns, at, n), lambda t: shares(own, t)), F.lit(1))["ord"])
+        at += n
+    return F.coalesce(*found)
+
+
+#: What is looked for: the turns that are wanted, and whether it is a later one; looked_up() has a column of each name.
+LOOKED_FOR = {
+    "correction": (lambda: (F.col("status") != "abandoned") & (F.col("kind") == "correction"), True),
+    "secured": (lambda: (F.col("status") != "abandoned") & S.is_security_correction(F.col("text")), True),
+    "later": (lambda: F.col("status") != "abandoned", True),
+    "earlier": (lambda: F.col("status") != "abandoned", False),
+}
+
+
+def next_door(nodes: DataFrame, wanted: tuple[str, ...], keep: tuple[str, ...] = (), listed: bool = False) -> DataFrame:
+    """(tree, ord, those of LOOKED_FOR that are wanted, on, back, secures, accepting, and nodes' columns of keep): the nearest turns of NEXT_DOOR that share evidence.
+
+    on and back say whether the tree has turns beyond those that were looked at, secures whether the turn corrects something about
+    security, and accepting is the next live turn that accepts. With listed, met has the ords of all live turns after it that
+    were looked at and share evidence, in order. A turn is held against a fixed number of turns, however long its tree is.
+    """
+    live = F.col("status") != "abandoned"
+    own = with_words(nodes).withColumns({"said": F.lower(F.coalesce("text", F.lit(""))), "surface": F.array_intersect("words", F.array(*map(F.lit, SURFACE_WORDS))), "secures": S.is_security_correction(F.col("text"))})
+    own = own.withColumns({"_accepting": F.when(live & accepts(F.col("text")), F.col("ord")), "_turn": F.struct("ord", (F.col("kind") == "correction").alias("corrects"), "secures", "files", "bases", "words", "surface", "said")})
+    own = own.select("tree", "ord", "secures", "_accepting", "_turn", live.alias("_live"), *keep)
+    back = Window.partitionBy("tree").orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("accepting", F.min("_accepting").over(back)).drop("_accepting")
+    w = Window.partitionBy("tree").orderBy("ord")
+    frames = {"on": F.lead("ord", NEXT_DOOR + 1).over(w).isNotNull(), "back": F.lag("ord", NEXT_DOOR + 1).over(w).isNotNull()}
+    one = F.when(F.col("_live"), F.col("_turn"))
+    frames["_next"] = F.collect_list(one).over(w.rowsBetween(1, NEXT_DOOR))
+    if "earlier" in wanted:
+        frames["_last"] = F.collect_list(one).over(w.rowsBetween(-NEXT_DOOR, -1))
+    own = own.withColumns(frames)
+    turn, ahead = F.col("_turn"), F.col("_next")
+    found = {
+        "correction": lambda: _first_shared(F.filter(ahead, lambda t: t["corrects"]), turn), "secured": lambda: _first_shared(F.filter(ahead, lambda t: t["secures"]), turn),
+        "later": lambda: _first_shared(ahead, turn), "earlier": lambda: _first_shared(F.reverse("_last"), turn),
+    }
+    met = [F.transform(F.filter(ahead, lambda t: shares(turn, t)), lambda t: t["ord"]).alias("met")] if listed else []
+    return own.select("tree", "ord", "on", "back", "secures", "accepting", *(found[n]().alias(n) for n in wanted), *met, *keep)
+
+
+def looked_up(nodes: DataFrame, wanted: tuple[str, ...], keep: tuple[str, ...] = (), listed: bool = False) -> DataFrame:
+    """next_door(), with what is further away found as well; written out once for all look-ups. nodes has kind and status."""
+    out = cut(next_door(nodes, wanted, keep, listed))
+    if not wanted:
+        return out
+    open_ = {n: F.col(n).isNull() & F.col("on" if LOOKED_FOR[n][1] else "back") for n in wanted}
+    left = out.agg(*(F.count_if(c).alias(n) for n, c in open_.items())).first()
+    names = [n for n in wanted if left[n]]
+    if not names:
+        return out
+    some = open_[names[0]]
+    for n in names[1:]:
+        some = some | open_[n]
+    own = cut(dealt(nodes, out.filter(some).select("tree").distinct(), ["tree"], "left_semi"))
+    known = gathered(own)
+    for n in names:
+        fit, after = LOOKED_FOR[n]
+        asked = out.filter(open_[n]).select("tree", F.col("ord").alias("id"), "ord", F.col("ord").alias("at"))
+        far = nearest(own, asked, fit(), after=after, known=known).filter("found is not null").select("tree", F.col("id").alias("ord"), F.col("found").alias("_far"))
+        out = dealt(out, far, ["tree", "ord"], "left").withColumn(n, F.coalesce(n, "_far")).drop("_far")
+    return cut(out)
+
+
+def correction_after(nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(tree, ord, corrector): the nearest later correction that shares evidence; nodes has kind and status. known is what looked_up() has for nodes, if it is there already."""
+    known = looked_up(nodes, ("correction",)) if known is None else known
+    return known.select("tree", "ord", F.col("correction").alias("corrector"))
+
+
+def failure_target(nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(tree, ord, target, linkage): the turn that a turn's complaint is about: the nearest earlier one that shares evidence (semantic), else the parent, else the one before (positional); abandoned ones never.
 
-    nodes has parent (an ord) and status.
+    nodes has parent (an ord), kind and status.
     """
     live = F.col("status") != "abandoned"
-    asked = nodes.select("tree", F.col("ord").alias("id"), "ord", F.col("ord").alias("at"))
-    semantic = nearest(nodes, asked, live, after=False, known=known).select("tree", F.col("id").alias("ord"), F.col("found").alias("_semantic"))
+    known = looked_up(nodes, ("earlier",)) if known is None else known
+    semantic = known.select("tree", "ord", F.col("earlier").alias("_semantic"))
     w = Window.partitionBy("tree").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     placed = nodes.withColumn("_last", F.max(F.when(live, F.col("ord"))).over(w)).select("tree", "ord", "parent", "_last")
     parents = nodes.filter(live).select("tree", F.col("ord").alias("parent"), F.lit(True).alias("_live"))
@@ -179,16 +259,25 @@ def failure_target(nodes: DataFrame, known: Evidence | None = None) -> DataFrame
     return own.select("tree", "ord", target.alias("target"), F.when(F.col("_semantic").isNotNull(), "semantic").when(target.isNotNull(), "positional").alias("linkage"))
 
 
-def accepted_after(nodes: DataFrame, failures: DataFrame, known: Evidence | None = None) -> DataFrame:
-    """(tree, id, accepted): for failures (tree, id, ord and corrector, an ord or null) the nearest turn after the corrector, or else the failure, that shares evidence with the failure; else the nearest that accepts."""
-    live = F.col("status") != "abandoned"
-    asked = failures.select("tree", "id", "ord", F.coalesce("corrector", "ord").alias("at"))
-    found = nearest(nodes, asked, live, known=known)
-    said = nodes.filter(live & accepts(F.col("text"))).select("tree", F.col("ord").alias("at"), F.col("ord").alias("_cand"), F.lit(None).cast("long").alias("id"))
-    both = said.unionByName(asked.select("tree", "at", F.lit(None).cast("long").alias("_cand"), F.col("id").cast("long").alias("id")))
-    w = Window.partitionBy("tree").orderBy((-F.col("at")).alias("_o")).rangeBetween(Window.unboundedPreceding, -1)
-    accepting = both.withColumn("_said", F.min("_cand").over(w)).filter("id is not null").select("tree", "id", "_said")
-    return dealt(found, accepting, ["tree", "id"]).select("tree", "id", F.coalesce("found", "_said").alias("accepted"))
+def accepted_after(nodes: DataFrame, failures: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(tree, id, accepted): for failures (tree, id, ord and corrector, an ord or null) the nearest turn after the corrector, or else the failure, that shares evidence with the failure; else the nearest that accepts.
+
+    known is what looked_up() has for nodes with listed, if it is there already.
+    """
+    known = looked_up(nodes, (), listed=True) if known is None else known
+    asked = failures.select("tree", F.col("id").cast("long").alias("id"), "ord", F.coalesce("corrector", "ord").alias("at"))
+    near = F.try_element_at(F.filter("met", lambda o: o > F.col("at")), F.lit(1))
+    asked = dealt(asked, known.select("tree", "ord", "met", "on"), ["tree", "ord"]).withColumn("_near", near)
+    # turns before the one that is asked about aren't among those that it met
+    asked = cut(asked.withColumn("_open", (F.col("_near").isNull() & F.col("on")) | (F.col("at") < F.col("ord"))).drop("met", "on"))
+    own = asked.filter("not _open").select("tree", "id", "at", F.col("_near").alias("found"))
+    far = asked.filter("_open").drop("_near", "_open")
+    if not far.isEmpty():
+        around = cut(dealt(nodes, far.select("tree").distinct(), ["tree"], "left_semi"))
+        found = nearest(around, far, F.col("status") != "abandoned")
+        own = own.unionByName(dealt(far.select("tree", "id", "at"), found, ["tree", "id"]))
+    accepting = known.select("tree", F.col("ord").alias("at"), F.col("accepting"))
+    return dealt(own, accepting, ["tree", "at"], "left").select("tree", "id", F.coalesce("found", "accepting").alias("accepted"))
 
 
 def forward_chains(nodes: DataFrame, reach: int = 6) -> DataFrame:

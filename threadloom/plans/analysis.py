@@ -56,9 +56,9 @@ def refused(nodes: DataFrame, rejections: DataFrame) -> DataFrame:
 
 def emissions(nodes: DataFrame, rejections: DataFrame, actions: DataFrame) -> DataFrame:
     """All that the rules find, before it is deduplicated, with seq, its place in the tree, and resolved, the turn that settles it."""
-    nodes = cut(nodes.withColumn("text", F.coalesce("text", F.lit(""))))
+    nodes = cut(K.remedies_ahead(nodes.withColumn("text", F.coalesce("text", F.lit("")))))
     titles = nodes.select("tree", C("ord").alias("node"), T.title(C("text")).alias("title"))
-    known = evidence.gathered(nodes)
+    known = evidence.looked_up(nodes, (*K.WANTED, "earlier"), K.KEPT, listed=True)
     told = cut(refused(nodes, rejections).withColumn("title", T.title(C("text"))))
 
     w = Window.partitionBy("tree", "ord").orderBy("kind", "confidence")
@@ -68,8 +68,8 @@ def emissions(nodes: DataFrame, rejections: DataFrame, actions: DataFrame) -> Da
     sure = F.coalesce("confidence", F.lit(0.7))
     out = _rows(own, at=C("ord"), part=F.lit(0), pos=C("_n"), type=C("type"), node=C("ord"), confidence=sure, tier=T.tier(F.coalesce("confidence", F.lit(0.0))), lesson=~damped, settle=F.lit(False), summary=T.rejection_summary(C("_kind"), C("title")))
 
-    counted = K.counted_turns(nodes, actions)
-    found = K.concerns(nodes, actions, counted, known)
+    counted = cut(K.counted_turns(known, actions))
+    found = K.concerns(nodes, actions, counted)
     risk = F.lit("security_or_privacy_risk")
     safe = _rows(found, at=C("ord"), part=F.lit(1), type=risk, node=C("ord"), corrector=C("corrector"), confidence=C("confidence"), tier=C("tier"), summary=C("summary"), extra=C("remedies"))
     quiet = dealt(told, counted.select("tree", "ord"), ["tree", "ord"], "left_anti")

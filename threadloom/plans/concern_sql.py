@@ -9,6 +9,7 @@ from ..functions import patterns as P
 from ..functions import security as S
 from ..functions import text as T
 from ..operators import concerns, evidence, sequence
+from ..shared import spread
 from . import analysis
 from .synthetic import _list, turns
 
@@ -43,7 +44,8 @@ def _pick(values, key):
 
 
 def secured_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = sequence.numbered(turns(spark, sf_dir).filter("role = 'user'").withColumn("text", _pick(SAID, "event_id")), ["tree"], ["ts", "event_id"], "ord")
+    each = spread(turns(spark, sf_dir).filter("role = 'user'").select("tree", "ts", "event_id"), "tree")
+    own = sequence.numbered(each, ["tree"], ["ts", "event_id"], "ord").withColumn("text", _pick(SAID, "event_id"))
     paths = F.array(_pick(PATHS, "event_id div 2"), _pick(PATHS, "event_id div 5"))
     return own.select(
         "tree", F.col("ord").cast("long").alias("ord"), "event_id", "text", T.turn_kind(F.col("text"), F.col("ord") == 1).alias("kind"), F.when(F.expr("event_id % 13 = 0"), "abandoned").otherwise("accepted").alias("status"),

@@ -123,3 +123,15 @@ def test_equal_actions_are_looked_into_once(spark):
     got = {(r["tree"], r["ord"]): ([a["kind"] for a in r["acts"]], r["key"]) for r in own.collect()}
     first, second = ["file", "access-control", "risky-command"], ["access-control", "risky-command", "file"]
     assert got == {(t, o): (first if o == 1 else second, "src/auth/login.ts") for t in "ab" for o in (1, 2)}
+
+
+def test_concerns_without_summary_read_no_titles(spark):
+    """What was looked up for a turn comes with it, so a concern's row is made without joins after its turns are known."""
+    nodes = [("a", 1, "Store the login form.", "root", "accepted", []), ("a", 2, "rotate the key", "correction", "accepted", []), ("a", 3, "store the login form, use a secret manager", "direction", "accepted", [])]
+    nodes, actions = build(spark, [("a", 1, 0, "src/auth/login.ts", "ls", None, None), ("a", 3, 0, None, "chmod 777 x", None, None)], nodes)
+    counted = concerns.counted_turns(concerns.looked_up(concerns.remedies_ahead(nodes), concerns.WANTED, concerns.KEPT), actions)
+    own = concerns.merged(counted)
+    joins = lambda df: df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+    assert joins(own) == joins(counted) > 0
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, concerns.concerns(nodes, actions).drop("summary").collect()))
+    assert {(r["ord"], r["resolved"], r["remedies"]) for r in own.collect()} == {(1, 3, "rotate the key store the login form, use a secret manager"), (3, None, "")}

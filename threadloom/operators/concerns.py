@@ -183,7 +183,8 @@ def concerns(nodes: DataFrame, actions: DataFrame, counted: DataFrame | None = N
         counted = counted_turns(looked_up(remedies_ahead(nodes), WANTED, KEPT), actions)
     titles = nodes.select("tree", "ord", T.title(C("text")).alias("_title"))
     texts = nodes.select("tree", C("ord").alias("corrector"), C("text").alias("_by"))
-    found = dealt(dealt(merged(counted), titles, ["tree", "ord"], "left"), texts, ["tree", "corrector"], "left")
+    own = merged(counted)
+    found = dealt(dealt(own, titles, ["tree", "ord"], "left"), texts, ["tree", "corrector"], "left")
     near = F.concat(F.lit('An agent action touched auth, secrets, or access control near "'), T.truncate(C("_title"), 90), F.lit('"'))
     summary = F.concat(near, F.when(C("corrector").isNotNull(), F.concat(F.lit('; corrected by: "'), T.quote(C("_by")), F.lit('".'))).otherwise("."))
-    return found.withColumn("summary", summary).drop("_title", "_by")
+    return found.select(*own.columns, summary.alias("summary"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import constraints, secrets, text as T
 from ..operators import concerns, failures, lineage, redaction, references, sequence, stats
+from ..operators.evidence import looked_up
 from ..shared import cut, spread
 from . import analysis, concern_sql, secret_sql
 from .synthetic import FIELDS_SQL, FILES, PLANTED_SQL, REPEATED_SQL, RULED_SQL, SQL, fields, planted, repeated_turns, ruled_turns, turns
@@ -314,7 +315,8 @@ def security_intents(spark, sf_dir):
 def security_concerns(spark, sf_dir):
     """Security concerns of each tree, with their scores, correctors and later remedies."""
     nodes = concern_sql.secured_nodes(spark, sf_dir)
-    return concerns.concerns(nodes.drop("event_id"), concern_sql.secured_actions(nodes)).drop("summary")
+    known = looked_up(concerns.remedies_ahead(nodes), concerns.WANTED, concerns.KEPT)
+    return concerns.merged(concerns.counted_turns(known, concern_sql.secured_actions(nodes)))
 
 
 def tree_failures(spark, sf_dir):
